@@ -8,27 +8,39 @@ vectorised Pandas UDF, so rows spread over the cluster in any way Spark likes.
 
 from __future__ import annotations
 
+import sys
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from .moments import moments
 from .calendars import Calendar
+from .moments import moments
 from .weights import COLUMNS, normalise
 
+# workers get the solver with the task, so they need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _project(v: np.ndarray, top: float) -> np.ndarray:
-    """Nearest points with sum one and entries in [0, top], per row."""
-    low, high = v.min(1) - top - 1.0, v.max(1) + 1.0
-    for _ in range(60):
-        mid = (low + high) / 2.0
-        over = np.clip(v - mid[:, None], 0.0, top).sum(1) > 1.0
-        low, high = np.where(over, mid, low), np.where(over, high, mid)
-    w = np.clip(v - high[:, None], 0.0, top)
+    """Nearest points with sum one and entries in [0, top], per row.
+
+    The sum of clip(v - tau, 0, top) is piecewise linear in tau with its corners at
+    v and v - top, so the right tau lies on a line between two corners.
+    """
+    corners = np.sort(np.concatenate([v - top, v], axis=1), axis=1)
+    sums = np.clip(v[:, None, :] - corners[:, :, None], 0.0, top).sum(2)
+    right = np.clip((sums >= 1.0).sum(1), 1, corners.shape[1] - 1)[:, None]
+    t0, t1 = np.take_along_axis(corners, right - 1, 1), np.take_along_axis(corners, right, 1)
+    s0, s1 = np.take_along_axis(sums, right - 1, 1), np.take_along_axis(sums, right, 1)
+    drop = s0 - s1
+    tau = t0 + (t1 - t0) * np.where(drop > 0, (s0 - 1.0) / np.where(drop > 0, drop, 1.0), 0.0)
+    w = np.clip(v - tau, 0.0, top)
     return w / w.sum(1, keepdims=True)
 
 
@@ -82,7 +94,7 @@ def solve(mu: np.ndarray, cov: np.ndarray, cap: np.ndarray, top: float = 1.0) ->
     return np.where(reach[:, None], best, low)
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_rows(mu: pd.Series, cov: pd.Series, cap: pd.Series, top: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(mu), dtype=object)
     for (n, w_max), idx in mu.index.to_series().groupby([mu.map(len), top]).groups.items():

@@ -79,13 +79,14 @@ def price_legs(prices: DataFrame, calendar: Calendar) -> DataFrame:
 
 
 def history_asof(prices: DataFrame, calendar: Calendar, last: int | None = None,
-                 dropna: bool = True) -> DataFrame:
+                 dropna: bool = True, exact: bool = True) -> DataFrame:
     """J4 + W9: (k, symbol, event_date, close), for each date the history visible then.
 
     Per (symbol, event_date) the newest available version counts. With ``last``
     only the newest that many event dates are kept; an event date is expanded no
     further than the ordinal at which that many later ones are certainly visible,
-    so the expansion is calendar x last per symbol, not calendar x history.
+    so the expansion is calendar x last per symbol, not calendar x history. With
+    ``exact`` off the caller trims the few surplus rows itself.
     """
     version = F.max(F.struct("available_date", "close")).alias("row")
     versions = first_visible(prices, calendar).groupBy("symbol", "event_date", "k").agg(version)
@@ -107,7 +108,7 @@ def history_asof(prices: DataFrame, calendar: Calendar, last: int | None = None,
         spans = spans.filter(present(F.col("close")))
     rows = (spans.filter("k < until")
             .select("symbol", "event_date", F.explode(F.sequence("k", F.col("until") - 1)).alias("k"), "close"))
-    return rows if last is None else last_rows(rows, last)
+    return rows if last is None or not exact else last_rows(rows, last)
 
 
 def _drop_out(dates: DataFrame, calendar: Calendar, last: int) -> DataFrame:
@@ -133,10 +134,18 @@ def last_rows(history: DataFrame, n: int) -> DataFrame:
     return history.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= n).drop("rank")
 
 
-def period_returns(history: DataFrame) -> DataFrame:
-    """Close over the previous close per (date, symbol), first row dropped."""
-    before = F.lag("close").over(Window.partitionBy("symbol", "k").orderBy("event_date"))
-    out = history.withColumn("before", before).filter(F.col("before").isNotNull())
+def period_returns(history: DataFrame, last: int | None = None) -> DataFrame:
+    """Close over the previous close per (date, symbol), first row dropped.
+
+    With ``last`` only the newest that many returns; rank and previous close come
+    from one sort.
+    """
+    back = Window.partitionBy("symbol", "k").orderBy(F.desc("event_date"))
+    out = history.select("*", F.lead("close").over(back).alias("before"),
+                         *([] if last is None else [F.row_number().over(back).alias("rank")]))
+    out = out.filter(F.col("before").isNotNull())
+    if last is not None:
+        out = out.filter(F.col("rank") <= last).drop("rank")
     return out.withColumn("ret", F.when(F.col("before") != 0, F.col("close") / F.col("before") - 1.0)).drop("before")
 
 

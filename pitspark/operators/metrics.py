@@ -46,18 +46,21 @@ def by_segment(returns: DataFrame, calendar: Calendar, plan: WalkForward | None)
 
 
 def performance(returns: DataFrame, periods_per_year: float, by: list[str]) -> DataFrame:
-    """A1: the metric record of each group; expects ``ret`` (null = no return) and ``turnover``."""
-    path = wealth_path(returns.filter("ret is not null"), by)
+    """A1: the metric record of each group; expects ``ret`` (null = no return) and ``turnover``.
+
+    A date without a return leaves the running product as it was, so returns and
+    turnovers share one pass; a group without any return has no record.
+    """
+    path = wealth_path(returns, by)
     stats = path.groupBy(*by).agg(
-        F.count("*").alias("periods"), F.avg("ret").alias("mean"),
+        F.count("ret").alias("periods"), F.avg("ret").alias("mean"),
         F.coalesce(F.stddev_samp("ret"), F.lit(0.0)).alias("std"),
-        F.max_by("wealth", "k").alias("final"), F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"))
-    spent = returns.groupBy(*by).agg(F.sum("turnover").alias("turnover"))
+        F.max_by("wealth", "k").alias("final"), F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"),
+        F.sum("turnover").alias("turnover"))
     root = math.sqrt(periods_per_year)
     annual = F.when(F.col("final") <= 0, -1.0).otherwise(F.pow("final", F.lit(periods_per_year) / F.col("periods")) - 1.0)
-    return stats.join(spent, by).select(
-        *by, F.col("periods").cast("long").alias("periods"),
-        (F.col("final") - 1.0).alias("cumulative_return"), annual.alias("annualized_return"),
+    return stats.filter("periods > 0").select(
+        *by, "periods", (F.col("final") - 1.0).alias("cumulative_return"), annual.alias("annualized_return"),
         (F.col("std") * root).alias("annualized_vol"), "max_drawdown",
         F.when(F.col("std") > 0, F.col("mean") / F.col("std") * root).otherwise(0.0).alias("sharpe"),
         "turnover")

@@ -56,7 +56,7 @@ def covariance_rows(moment_rows: DataFrame, symbols: list[str]) -> DataFrame:
 
 
 def _own_returns(prices: DataFrame, calendar: Calendar, lookback: int) -> DataFrame:
-    return period_returns(history_asof(prices, calendar, last=lookback + 1))
+    return period_returns(history_asof(prices, calendar, last=lookback + 1, exact=False), lookback)
 
 
 def _with_missing(stats: DataFrame, symbols: DataFrame, calendar: Calendar) -> DataFrame:

@@ -66,7 +66,7 @@ def day(column):
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
-    close = 50.0 + F.col("l_extendedprice") / (F.col("l_quantity") * 97.0)
+    close = 500.0 + F.col("l_extendedprice") / (F.col("l_quantity") * 97.0)
     worst = F.col("l_discount") == 0.1
     return line.select(
         F.col("l_suppkey").cast("string").alias("symbol"),
@@ -103,6 +103,11 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("value") * F.col("release.factor")).alias("value"), F.lit(False).alias("is_approximate")))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tradable symbols, from the dimension rather than a scan of the quotes."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"))
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     extent = (table(spark, sf_dir, "lineitem").groupBy("l_suppkey")
               .agg(F.min("l_shipdate").alias("list_date"), F.max("l_shipdate").alias("last_date")))
@@ -119,8 +124,8 @@ _CTE = {
         SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS event_date,
                CAST(l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS TIMESTAMP) AS available_date,
                CASE WHEN l_discount = 0.1 AND l_tax = 0.0 THEN CAST('NaN' AS DOUBLE)
-                    WHEN l_discount = 0.1 AND l_tax = 0.08 THEN -(50.0 + l_extendedprice / (l_quantity * 97.0))
-                    ELSE CAST(50.0 + l_extendedprice / (l_quantity * 97.0) AS DOUBLE) END AS close,
+                    WHEN l_discount = 0.1 AND l_tax = 0.08 THEN -(500.0 + l_extendedprice / (l_quantity * 97.0))
+                    ELSE CAST(500.0 + l_extendedprice / (l_quantity * 97.0) AS DOUBLE) END AS close,
                l_linestatus = 'F' AS is_approximate
         FROM lineitem""",
     "index_prices": """
@@ -208,7 +213,7 @@ def sql(needs: str, body: str, **local: str) -> str:
     for name in needs.split():
         visit(name)
     parts = [f"{n} AS ({_CTE[n]})" for n in order] + [f"{n} AS ({text})" for n, text in local.items()]
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 D = "strftime({0}, '%Y-%m-%d')"

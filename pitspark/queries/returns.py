@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import trading_cost
-from ..operators import asof, metrics, pit, weights
+from ..operators import asof, metrics, weights
 from ..operators.backtest import Backtest, Costs, portfolio_returns, run_backtest, turnover_parts
 from ..operators.calendars import WalkForward
 from . import base
@@ -17,10 +16,10 @@ PLAN = WalkForward(36, 12, 12)
 CONFIG = Backtest(MONTHLY, "monthly", "net", COSTS, PLAN)
 STATIC = [("1-URGENT", 3.0), ("2-HIGH", 1.0), ("3-MEDIUM", -2.0), ("5-LOW", 1.0)]
 
-cte("w_equal", """SELECT 'equal_weight' AS run, k, symbol, 1.0 / (SELECT count(DISTINCT symbol) FROM prices) AS weight
-    FROM cal, (SELECT DISTINCT symbol FROM prices)""", ["cal", "prices"])
+cte("w_equal", """SELECT 'equal_weight' AS run, k, symbol, 1.0 / (SELECT count(*) FROM supplier) AS weight
+    FROM cal, (SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier)""", ["cal", "prices"])
 cte("u_raw", """SELECT k, symbol, CAST(('0x' || substr(md5('7|' || strftime(as_of, '%Y-%m-%d') || '|' || symbol), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 AS u
-    FROM cal, (SELECT DISTINCT symbol FROM prices)""", ["cal", "prices"])
+    FROM cal, (SELECT CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier)""", ["cal", "prices"])
 cte("w_random", "SELECT 'random' AS run, k, symbol, u / sum(u) OVER (PARTITION BY k) AS weight FROM u_raw", ["u_raw"])
 cte("iu_raw", """SELECT k, symbol, CAST(('0x' || substr(md5('7|' || strftime(as_of, '%Y-%m-%d') || '|' || symbol), 1, 8))::BIGINT AS DOUBLE) / 4294967296.0 AS u
     FROM cal, (SELECT DISTINCT symbol FROM index_prices)""", ["cal", "index_prices"])
@@ -56,7 +55,7 @@ def index_runs(spark):
                                        **backtest_blocks("w_equal", "legs", 45)))
 def _(spark, d):
     px = base.prices(spark, d)
-    _, m = run_backtest(weights.equal_weight(pit.symbols(px), MONTHLY), px, CONFIG, spark.createDataFrame([("equal_weight",)], "run string"))
+    _, m = run_backtest(weights.equal_weight(base.suppliers(spark, d), MONTHLY), px, CONFIG, spark.createDataFrame([("equal_weight",)], "run string"))
     return metric_output(m, "run", "segment", "basis")
 
 
@@ -64,7 +63,7 @@ def _(spark, d):
                                         **backtest_blocks("w_random", "legs", 45)))
 def _(spark, d):
     px = base.prices(spark, d)
-    _, m = run_backtest(weights.random_weights(pit.symbols(px), MONTHLY, 7), px, CONFIG)
+    _, m = run_backtest(weights.random_weights(base.suppliers(spark, d), MONTHLY, 7), px, CONFIG)
     return metric_output(m, "run", "segment")
 
 
@@ -79,7 +78,7 @@ def _(spark, d):
 def _(spark, d):
     px = base.prices(spark, d)
     legs = asof.price_legs(px, MONTHLY).filter("leg is not null")
-    joined = weights.random_weights(pit.symbols(px), MONTHLY, 7).join(legs, ["symbol", "k"])
+    joined = weights.random_weights(base.suppliers(spark, d), MONTHLY, 7).join(legs, ["symbol", "k"])
     return joined.groupBy(F.col("k").cast("long").alias("k")).agg(
         F.count("*").alias("legs"), r(F.sum(F.col("weight") * F.col("leg")), 9).alias("gross"))
 
