@@ -83,12 +83,12 @@ class Calendar:
 
     def as_of(self, k: Column) -> Column:
         """Ordinal to date, a constant-array lookup."""
-        return F.get(_constant(self.dates, "timestamp_ntz"), k)
+        return F.get(constant_array(self.dates, "timestamp_ntz"), k)
 
     def ordinal(self, t: Column) -> Column:
         """Ordinal of the first calendar date at or after ``t``; null after the last one."""
         if not self.daily:
-            k = F.size(F.filter(_constant(self.dates, "timestamp_ntz"), lambda d: d < t))
+            k = F.size(F.filter(constant_array(self.dates, "timestamp_ntz"), lambda d: d < t))
             return F.when(t.isNotNull() & (k < len(self)), k)
         first, last = self.dates[0].date(), self.dates[-1].date()
         lookup, k = [], 0
@@ -99,13 +99,13 @@ class Calendar:
         # a time of day after midnight is only visible from the next day on
         day = F.to_date(t + F.expr("INTERVAL '1' DAY - INTERVAL '0.000001' SECOND"))
         offset = F.greatest(F.date_diff(day, F.lit(first)), F.lit(0))
-        return F.when(t.isNotNull(), F.get(_constant(lookup, "int"), offset))
+        return F.when(t.isNotNull(), F.get(constant_array(lookup, "int"), offset))
 
     def select(self, keep) -> "Calendar":
         return Calendar(tuple(d for k, d in enumerate(self.dates) if k in set(keep)))
 
 
-def _constant(values, sql_type: str) -> Column:
+def constant_array(values, sql_type: str) -> Column:
     """An array literal; written as text so the optimizer folds it into one constant."""
     text = ",".join(str(v) for v in values)
     return F.expr(f"cast(split('{text}', ',') as array<{sql_type}>)")

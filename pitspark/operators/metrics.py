@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calendars import Calendar, WalkForward, segments
+from .calendars import Calendar, WalkForward, constant_array, segments
 
 
 def _path(by: list[str], order: str) -> Window:
@@ -41,7 +41,7 @@ def rolling_sharpe(returns: DataFrame, by: list[str], window: int, periods_per_y
 
 def by_segment(returns: DataFrame, calendar: Calendar, plan: WalkForward | None) -> DataFrame:
     """A3: repeat each row once per segment its date belongs to."""
-    member = [F.when(F.col("k").isin(ks), F.lit(name)) for name, ks in segments(calendar, plan).items() if ks]
+    member = [F.when(F.array_contains(constant_array(ks, "int"), F.col("k")), F.lit(name)) for name, ks in segments(calendar, plan).items() if ks]
     return returns.withColumn("segment", F.explode(F.filter(F.array(*member), lambda s: s.isNotNull())))
 
 

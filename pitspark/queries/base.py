@@ -65,7 +65,10 @@ def day(column):
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
+    return quotes_of(table(spark, sf_dir, "lineitem"))
+
+
+def quotes_of(line: DataFrame) -> DataFrame:
     close = 500.0 + F.col("l_extendedprice") / (F.col("l_quantity") * 97.0)
     worst = F.col("l_discount") == 0.1
     return line.select(
@@ -108,6 +111,11 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("symbol"))
 
 
+def assets(spark: SparkSession) -> DataFrame:
+    """The configured symbols of the index panel."""
+    return spark.createDataFrame([(a,) for a in ASSETS], "symbol string")
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     extent = (table(spark, sf_dir, "lineitem").groupBy("l_suppkey")
               .agg(F.min("l_shipdate").alias("list_date"), F.max("l_shipdate").alias("last_date")))

@@ -40,7 +40,7 @@ cte("wi_all", "SELECT * FROM wi_equal UNION ALL SELECT * FROM wi_static UNION AL
 def index_weights(spark, d):
     """Four strategies on the index panel as one weights table."""
     px = base.index_prices(spark, d)
-    names = px.select("symbol").distinct()
+    names = base.assets(spark)
     static = spark.createDataFrame(STATIC, "symbol string, weight double")
     sma = weights.sma_timing(px, names, MONTHLY, 6).withColumn("weight", F.col("weight") / 5.0)
     return (weights.equal_weight(names, MONTHLY).unionByName(weights.static_weights(static, MONTHLY))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import allocation, asof, calendars, moments, screen, weights
-from ..operators.pit import symbols
 from . import base
 from .base import ASSETS, D, MONTHLY, cte, day, query, r, rd, sql
 from .returns import STATIC, index_weights
@@ -212,13 +211,13 @@ def _(spark, d):
 @query("m9_forecast_allocation")
 def _(spark, d):
     px = base.index_prices(spark, d)
-    return _weights(allocation.diagonal_allocation(moments.return_risk(px, symbols(px), MONTHLY), ASSETS))
+    return _weights(allocation.diagonal_allocation(moments.return_risk(px, base.assets(spark), MONTHLY), ASSETS))
 
 
 @query("m10_robust_allocation")
 def _(spark, d):
     px = base.index_prices(spark, d)
-    est = moments.downside_risk(px, symbols(px), MONTHLY)
+    est = moments.downside_risk(px, base.assets(spark), MONTHLY)
     return _weights(allocation.diagonal_allocation(est, ASSETS, mean="adjusted_return", run="robust_allocation"))
 
 
