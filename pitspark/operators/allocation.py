@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .calendars import Calendar
-from .moments import moments
-from .weights import COLUMNS, normalise
+from .moments import horizon_moments, moments
+from .weights import COLUMNS
 
 # workers get the solver with the task, so they need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -97,7 +97,8 @@ def solve(mu: np.ndarray, cov: np.ndarray, cap: np.ndarray, top: float = 1.0) ->
 @pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve_rows(mu: pd.Series, cov: pd.Series, cap: pd.Series, top: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(mu), dtype=object)
-    for (n, w_max), idx in mu.index.to_series().groupby([mu.map(len), top]).groups.items():
+    known = mu.dropna()
+    for (n, w_max), idx in known.index.to_series().groupby([known.map(len), top[known.index]]).groups.items():
         m = np.stack([np.asarray(mu[i], dtype=float) for i in idx])
         c = np.stack([np.asarray(cov[i], dtype=float).reshape(n, n) for i in idx])
         for i, w in zip(idx, solve(m, c, cap[idx].to_numpy(dtype=float), w_max)):
@@ -125,9 +126,9 @@ def mean_variance(history: DataFrame, symbols: list[str], calendar: Calendar, vo
 
 
 def _solved(rows: DataFrame, vol_cap: float, w_max: float) -> DataFrame:
-    known = rows.filter("n > 0").withColumn("w", best_weights(F.col("mu"), F.col("cov"), F.lit(vol_cap), F.lit(w_max)))
-    empty = rows.filter("n = 0").withColumn("w", F.lit(None).cast("array<double>"))
-    return known.unionByName(empty)
+    """A null mean, on a thin date, gives null weights."""
+    mu = F.when(F.col("n") > 0, F.col("mu"))
+    return rows.select("k", best_weights(mu, F.col("cov"), F.lit(float(vol_cap)), F.lit(float(w_max))).alias("w"))
 
 
 # Name, lookback, volatility cap and budget share of the default horizons.
@@ -139,14 +140,16 @@ def multi_horizon(history: DataFrame, symbols: list[str], calendar: Calendar, ho
     """M8: one M7 per horizon, mixed by budget share; a horizon with too little history is equal weight."""
     if not horizons or sum(h[3] for h in horizons) <= 0:
         raise ValueError("at least one horizon needs a positive budget")
-    total = sum(h[3] for h in horizons)
-    parts = None
-    for name, lookback, cap, budget in horizons:
-        part = mean_variance(history, symbols, calendar, cap, lookback, min_obs, periods_per_year, run=name)
-        part = part.withColumn("weight", F.col("weight") * (budget / total))
-        parts = part if parts is None else parts.unionByName(part)
-    mixed = parts.groupBy("k", "symbol").agg(F.sum("weight").alias("weight"))
-    return normalise(mixed, ["k"]).withColumn("run", F.lit(run)).select(*COLUMNS)
+    total, size = sum(h[3] for h in horizons), len(symbols)
+    rows = horizon_moments(history, symbols, calendar, [h[1] for h in horizons], min_obs, periods_per_year)
+    caps = F.get(F.array(*[F.lit(float(h[2])) for h in horizons]), F.col("horizon"))
+    shares = F.get(F.array(*[F.lit(h[3] / total) for h in horizons]), F.col("horizon"))
+    solved = rows.select("k", shares.alias("share"), best_weights(F.col("mu"), F.col("cov"), caps, F.lit(1.0)).alias("w"))
+    equal = F.array(*[F.lit(1.0 / size) for _ in symbols])
+    book = solved.select("k", "share", F.coalesce("w", equal).alias("w"))
+    mixed = book.groupBy("k").agg(F.array(*[F.sum(F.col("share") * F.get("w", F.lit(i))) for i in range(size)]).alias("w"))
+    whole = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
+    return _spread(mixed.withColumn("w", F.transform("w", lambda x: x / whole)), symbols, run)
 
 
 def diagonal_allocation(estimates: DataFrame, symbols: list[str], vol_cap: float = 0.30, w_max: float = 1.0,

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 # Periods per year of the rebalance frequencies.
 PERIODS_PER_YEAR = {"monthly": 12.0, "quarterly": 4.0, "semiannual": 2.0}
 # How many ordered dates make one period.
@@ -79,7 +81,7 @@ class Calendar:
     def frame(self, spark: SparkSession) -> DataFrame:
         """(k, as_of, next_as_of), a local relation."""
         rows = [(k, d, self.dates[k + 1] if k + 1 < len(self) else None) for k, d in enumerate(self.dates)]
-        return spark.createDataFrame(rows, "k int, as_of timestamp_ntz, next_as_of timestamp_ntz")
+        return local_table(spark, rows, "k int, as_of timestamp_ntz, next_as_of timestamp_ntz")
 
     def as_of(self, k: Column) -> Column:
         """Ordinal to date, a constant-array lookup."""
@@ -204,7 +206,7 @@ def fold_members(spark: SparkSession, calendar: Calendar, plan: WalkForward) ->
     for fold, start, split, end in folds(calendar, plan):
         rows += [(fold, "in_sample", d) for d in calendar.dates if start <= d < split]
         rows += [(fold, "out_of_sample", d) for d in calendar.dates if split <= d < end]
-    return spark.createDataFrame(rows, "fold int, segment string, as_of timestamp_ntz")
+    return local_table(spark, rows, "fold int, segment string, as_of timestamp_ntz")
 
 
 def segments(calendar: Calendar, plan: WalkForward | None) -> dict[str, list[int]]:

@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import local_table, materialise
 from .asof import period_returns
 from .calendars import Calendar
 
@@ -174,11 +174,13 @@ def forecast(history: DataFrame, symbols: Sequence[str], calendar: Calendar, net
 
     full = newest.join(whole.filter("whole"), "k", "left_semi").select("k", "symbol", "x")
     guessed = full.mapInPandas(predict, "net int, k int, symbol string, value double")
-    grid = spark.createDataFrame([(s,) for s in symbols], "symbol string").withColumn(
+    grid = local_table(spark, [(s,) for s in symbols], "symbol string").withColumn(
         "k", F.explode(F.sequence(F.lit(0), F.lit(len(calendar) - 1)))).withColumn(
         "net", F.explode(F.sequence(F.lit(0), F.lit(len(nets) - 1))))
     good = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
     rows = grid.join(guessed, ["net", "k", "symbol"], "left").select(
         "net", "k", "symbol", F.when(good, F.col("value")).otherwise(0.0).alias("expected_return"), F.when(good, "ok").otherwise("degraded").alias("status"))
+    # training stands behind every row, so it must not run again for each use
+    rows = materialise(rows, "forecast")
     trace = [(i, k, e, v) for (i, k), values in losses.items() for e, v in enumerate(values)]
     return rows, spark.createDataFrame(trace, "net int, k int, epoch int, loss double")

@@ -16,9 +16,18 @@ def moments(history: DataFrame, symbols: list[str], calendar: Calendar, lookback
     """(k, n, mu, cov) per date for a configured list of symbols.
 
     Means and sample covariances of the last ``lookback`` complete-case returns,
-    annualised; ``cov`` is flattened by rows. Each symbol becomes a column first,
-    so the covariances are aggregates over one row per event date instead of a
-    self-join over pairs. ``n`` is zero, and the arrays null, on a thin date.
+    annualised; ``cov`` is flattened by rows. ``n`` is zero, and the arrays null, on
+    a thin date.
+    """
+    return horizon_moments(history, symbols, calendar, [lookback], min_obs, periods_per_year).drop("horizon")
+
+
+def horizon_moments(history: DataFrame, symbols: list[str], calendar: Calendar, lookbacks: list[int],
+                    min_obs: int = 24, periods_per_year: int = 12) -> DataFrame:
+    """A9 for several lookbacks in one pass: (k, horizon, n, mu, cov), horizon an index into them.
+
+    Each symbol becomes a column first, so the covariances are aggregates over one
+    row per event date instead of a self-join over pairs.
     """
     if len(symbols) > 64:
         raise ValueError("moments are for a configured universe of at most 64 symbols")
@@ -27,23 +36,25 @@ def moments(history: DataFrame, symbols: list[str], calendar: Calendar, lookback
         *[F.max(F.when(F.col("symbol") == s, F.col("close"))).alias(c) for s, c in zip(symbols, columns)])
     for c in columns:
         wide = wide.filter(present(F.col(c)))
-    order = Window.partitionBy("k").orderBy("event_date")
+    # newest first: rank and the close before come from one sort
     back = Window.partitionBy("k").orderBy(F.desc("event_date"))
     rets = wide.select("k", F.row_number().over(back).alias("rank"),
-                       *[(F.col(c) / F.lag(c).over(order) - 1.0).alias(c) for c in columns])
-    rets = rets.filter((F.col("rank") <= lookback) & F.col(columns[0]).isNotNull())
+                       *[(F.col(c) / F.lead(c).over(back) - 1.0).alias(c) for c in columns])
+    reach = [F.when(F.col("rank") <= n, F.lit(i)) for i, n in enumerate(lookbacks)]
+    rets = rets.filter(F.col(columns[0]).isNotNull()).withColumn(
+        "horizon", F.explode(F.filter(F.array(*reach), lambda h: h.isNotNull())))
     pairs = {}
     for i, a in enumerate(columns):
         for j, b in enumerate(columns[i:], i):
             pairs[(i, j)] = F.covar_samp(a, b) * periods_per_year
-    stats = rets.groupBy("k").agg(
+    stats = rets.groupBy("k", "horizon").agg(
         F.count("*").alias("n"),
         F.array(*[F.avg(c) * periods_per_year for c in columns]).alias("mu"),
         F.array(*[pairs[tuple(sorted((i, j)))] for i in range(len(columns)) for j in range(len(columns))]).alias("cov"))
     enough = F.col("n") >= min_obs
-    dates = calendar.frame(history.sparkSession).select("k")
-    return dates.join(stats, "k", "left").select(
-        "k", F.when(enough, F.col("n")).otherwise(0).alias("n"),
+    dates = calendar.frame(history.sparkSession).select("k", F.explode(F.sequence(F.lit(0), F.lit(len(lookbacks) - 1))).alias("horizon"))
+    return dates.join(stats, ["k", "horizon"], "left").select(
+        "k", "horizon", F.when(enough, F.col("n")).otherwise(0).alias("n"),
         F.when(enough, F.col("mu")).alias("mu"), F.when(enough, F.col("cov")).alias("cov"))
 
 

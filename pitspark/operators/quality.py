@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_table
+
 # Source groups a broad snapshot must cover, one source each.
 REQUIRED_GROUPS = {
     "fred_macro": ["fred:FEDFUNDS"],
@@ -63,7 +65,7 @@ def snapshot_gate(jobs: DataFrame, reported: DataFrame | None = None, allow_fail
 
 def _groups(spark: SparkSession, required: Mapping[str, Sequence[str]]) -> DataFrame:
     rows = [(g, s) for g, members in required.items() for s in members]
-    return spark.createDataFrame(rows, "group string, source_id string")
+    return local_table(spark, rows, "group string, source_id string")
 
 
 def source_quorum(jobs: DataFrame, required: Mapping[str, Sequence[str]] = REQUIRED_GROUPS, by: str = "run") -> DataFrame:

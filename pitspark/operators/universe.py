@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAYS_PER_MONTH, cadence, months_between_dates
-from .pit import asset_spans, event_span
+from ..session import materialise
+from .asof import usable
+from .pit import event_span
 
 # Market episodes used to label the windows a report spans.
 EPISODES = [("dot_com", "2000-03-10"), ("gfc", "2008-09-15"), ("covid", "2020-03-23"), ("rate_shock_2022", "2022-06-16")]
@@ -113,9 +115,11 @@ def sufficiency(prices: DataFrame, min_assets: int = 2, min_months: float = 18.0
 
     Its facts are a dozen scalars; the universe itself stays a table (J10).
     """
-    spans = asset_spans(prices)
-    members = cotemporal_universe(spans, min_months, min_assets)
-    extent = event_span(prices).select(
+    # one pass over the quotes; what follows reads dates and spans per symbol
+    dates = materialise(prices.groupBy("symbol", "event_date").agg(F.bool_or(usable(F.col("close"))).alias("ok")), "dates")
+    spans = materialise(dates.filter("ok").groupBy("symbol").agg(F.min("event_date").alias("start"), F.max("event_date").alias("end")), "spans")
+    members = materialise(cotemporal_universe(spans, min_months, min_assets), "members")
+    extent = event_span(dates).select(
         F.col("start").alias("history_start"), F.col("end").alias("history_end"),
         F.round(months_between_dates(F.col("start"), F.col("end")), 4).alias("history_months"))
     everyone = shared_window(spans).select(F.col("assets").alias("asset_count"), F.col("months").alias("full_overlap"))
@@ -124,7 +128,7 @@ def sufficiency(prices: DataFrame, min_assets: int = 2, min_months: float = 18.0
         F.when(F.col("assets") > 0, F.round("months", 4)).otherwise(0.0).alias("overlap_months"))
     chosen = members.agg(F.count("*")).scalar() > 0
     scope = spans.join(members.select("symbol", F.lit(True).alias("chosen")), "symbol", "left").filter(F.col("chosen") | ~chosen)
-    rhythm = sampling(prices).join(scope.select("symbol"), "symbol", "left_semi").agg(
+    rhythm = sampling(dates).join(scope.select("symbol"), "symbol", "left_semi").agg(
         F.coalesce(F.round(F.max("median_days"), 4), F.lit(0.0)).alias("coarsest_days"),
         (F.count_distinct("cadence") <= 1).alias("homogeneous"))
     one = F.lit(1)

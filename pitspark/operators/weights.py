@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import regime, uniform
+from ..session import local_table
 from .asof import BY_PERIOD, history_asof, latest_asof
 from .calendars import Calendar
 
@@ -96,7 +97,7 @@ def regime_allocation(labels: DataFrame, by_label: Mapping[str, Mapping[str, flo
     books = dict(by_label)
     books.setdefault("unknown", books["risk_on"])
     rows = [(label, s, float(w)) for label, book in books.items() for s, w in book.items()]
-    table = labels.sparkSession.createDataFrame(rows, "label string, symbol string, weight double")
+    table = local_table(labels.sparkSession, rows, "label string, symbol string, weight double")
     return _named(labels.join(F.broadcast(normalise(table, ["label"])), "label"), run)
 
 

@@ -13,6 +13,7 @@ from ..operators import weights as w
 from ..operators.asof import history_asof
 from ..operators.backtest import Backtest, Costs, run_backtest
 from ..operators.calendars import Calendar, WalkForward, on_change_or_due
+from ..session import local_table, materialise
 from .runs import leaderboard, records
 
 CLAIMED = {"claim_boundary": "no_alpha_claim"}
@@ -24,8 +25,8 @@ def hedge_slice(prices: DataFrame, config: Backtest, *, target: str, hedge_fract
     calendar = config.calendar
     names = prices.select("symbol").distinct()
     history = history_asof(prices, calendar)
-    chosen = screen.cointegration(history, target, p_max=p_max).filter("selected")
-    core = prices.sparkSession.createDataFrame([(target,)], "symbol string")
+    chosen = materialise(screen.cointegration(history, target, p_max=p_max).filter("selected"), "selected")
+    core = local_table(prices.sparkSession, [(target,)], "symbol string")
     table = (w.hedge_weights(chosen, calendar, target, hedge_fraction)
              .unionByName(w.equal_weight(core, calendar, "buy_and_hold"))
              .unionByName(w.equal_weight(names, calendar))
@@ -50,16 +51,16 @@ def regime_benchmark(prices: DataFrame, macro: DataFrame, candidates: Calendar,
     # a calendar decides the plan of everything after it, so it comes to the driver
     label_of = {row["as_of"]: row["label"] for row in chosen.collect()}
     calendar = Calendar.of(label_of)
-    labelled = spark.createDataFrame([(k, label_of[d]) for k, d in enumerate(calendar.dates)], "k int, label string")
-    half = spark.createDataFrame([(risk_symbol, 0.5), (defensive_symbol, 0.5)], "symbol string, weight double")
+    labelled = local_table(spark, [(k, label_of[d]) for k, d in enumerate(calendar.dates)], "k int, label string")
+    half = local_table(spark, [(risk_symbol, 0.5), (defensive_symbol, 0.5)], "symbol string, weight double")
     table = w.regime_allocation(labelled, books).unionByName(w.static_weights(half, calendar, "baseline"))
     config = Backtest(calendar, "monthly", "net", Costs(commission_bps=5), WalkForward(6, 6, 6))
-    runs = spark.createDataFrame([("regime",), ("baseline",)], "run string")
+    runs = local_table(spark, [("regime",), ("baseline",)], "run string")
     return run_backtest(table, prices, config, runs)[1]
 
 
 def _against_equal(table: DataFrame, prices: DataFrame, config: Backtest, symbols: list[str], run: str) -> DataFrame:
-    names = prices.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+    names = local_table(prices.sparkSession, [(s,) for s in symbols], "symbol string")
     both = table.unionByName(w.equal_weight(names, config.calendar, "baseline"))
     return leaderboard(records(both, prices, config, {run: CLAIMED, "baseline": {}}, ["baseline"]))
 
@@ -71,7 +72,7 @@ def _default(config: Backtest) -> Backtest:
 def return_risk_benchmark(prices: DataFrame, config: Backtest, symbols: list[str], vol_cap: float = 0.30) -> DataFrame:
     """Forecast allocation against equal weight."""
     _enough(config.calendar, "the return/risk benchmark")
-    names = prices.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+    names = local_table(prices.sparkSession, [(s,) for s in symbols], "symbol string")
     table = allocation.diagonal_allocation(moments.return_risk(prices, names, config.calendar), symbols, vol_cap)
     return _against_equal(table, prices, _default(config), symbols, "forecast_allocation")
 
@@ -79,7 +80,7 @@ def return_risk_benchmark(prices: DataFrame, config: Backtest, symbols: list[str
 def robust_benchmark(prices: DataFrame, config: Backtest, symbols: list[str], vol_cap: float = 0.30) -> DataFrame:
     """Downside-penalised allocation against equal weight."""
     _enough(config.calendar, "the robust benchmark")
-    names = prices.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
+    names = local_table(prices.sparkSession, [(s,) for s in symbols], "symbol string")
     estimates = moments.downside_risk(prices, names, config.calendar)
     table = allocation.diagonal_allocation(estimates, symbols, vol_cap, mean="adjusted_return", run="robust_allocation")
     return _against_equal(table, prices, _default(config), symbols, "robust_allocation")

@@ -13,6 +13,7 @@ from ..operators.backtest import Backtest, Costs, realised_returns
 from ..operators.calendars import Calendar, WalkForward
 from ..operators.forecast import Network, forecast
 from ..operators.universe import cotemporal_dates
+from ..session import local_table
 from ..sources.runstore import CLAIM
 from .reports import performance_report
 from .runs import leaderboard, records
@@ -35,7 +36,7 @@ def run_experiment(prices: DataFrame, symbols: Sequence[str], nets: Sequence[Net
     Thin data gives a single status table instead.
     """
     spark = prices.sparkSession
-    names = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    names = local_table(spark, [(s,) for s in symbols], "symbol string")
     mine = prices.join(F.broadcast(names), "symbol", "left_semi")
     found = sorted(row[0] for row in mine.select("symbol").distinct().collect())
     dates = cotemporal_dates(mine, names)
@@ -47,7 +48,7 @@ def run_experiment(prices: DataFrame, symbols: Sequence[str], nets: Sequence[Net
     common = Calendar.collect(dates.select(F.col("event_date").alias("as_of")))
     config = Backtest(Calendar.between(common.dates[0], common.dates[-1], rebalance), rebalance, "net",
                       Costs(commission_bps=commission_bps), WalkForward(36, 12, 12))
-    present = spark.createDataFrame([(s,) for s in found], "symbol string")
+    present = local_table(spark, [(s,) for s in found], "symbol string")
 
     # ranking: the engine on its own calendar
     guesses, _ = forecast(history_asof(mine, config.calendar), found, config.calendar, nets)

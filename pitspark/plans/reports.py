@@ -11,6 +11,7 @@ from ..functions.columns import CADENCE_DAYS, OVERSAMPLE_TOLERANCE, oos_net
 from ..operators import metrics as m
 from ..operators.backtest import Backtest, run_backtest
 from ..operators.universe import episodes_in, sufficiency
+from ..session import local_table, materialise
 from ..sources.runstore import CLAIM
 from .runs import as_records, leaderboard, ranked_rows
 
@@ -38,7 +39,7 @@ def oos_report(prices: DataFrame, weights: DataFrame, config: Backtest, *, basel
     """Compare the runs of a weights table out of sample, or say why not.
 
     The gate row and the flat guard are a few scalars and decide which plan runs
-    next, so they are read by the driver; everything else stays a table.
+    next, so the driver reads them; everything else stays a table.
     """
     if config.mode != "net":
         raise ValueError("an out-of-sample comparison ranks net returns only")
@@ -50,20 +51,19 @@ def oos_report(prices: DataFrame, weights: DataFrame, config: Backtest, *, basel
     if facts["coarsest_days"] > rebalance_days * (1.0 + OVERSAMPLE_TOLERANCE):
         return _refused(spark, "oversampled", f"rebalanced every {rebalance_days} days, sampled every {facts['coarsest_days']}")
     _, metrics = run_backtest(weights, prices, config)
-    # one row per run and segment: small, and read twice below
-    metrics = spark.createDataFrame(metrics.collect(), metrics.schema)
+    # read twice below, and the whole backtest stands behind it
+    metrics = materialise(metrics, "metrics")
     guard = m.flat_guard(metrics).head()
     if guard["max_oos_vol"] is None or guard["status"] != "computed":
         return _refused(spark, "degenerate", "flat out-of-sample returns")
-    runs = [row["run"] for row in metrics.select("run").distinct().collect()]
-    about = {run: dict((metadata or {}).get(run, {})) for run in runs}
-    rows = ranked_rows(as_records(metrics, config, about, baselines))
-    family = {run: (families or {}).get(run, "baseline" if run in baselines else run) for run in runs}
-    named = spark.createDataFrame(list(family.items()), "run_id string, model_family string")
+    rows = ranked_rows(as_records(metrics, config, metadata or {}, baselines))
+    known = {**{run: "baseline" for run in baselines}, **(families or {})}
+    named = local_table(spark, list(known.items()), "run_id string, family string")
     start, end = config.calendar.dates[0], config.calendar.dates[-1]
-    window = spark.createDataFrame([(start, end)], "start timestamp_ntz, end timestamp_ntz")
+    window = local_table(spark, [(start, end)], "start timestamp_ntz, end timestamp_ntz")
     episodes = [row["name"] for row in episodes_in(window).collect()]
-    return rows.join(F.broadcast(named), "run_id").select(
+    rows = rows.join(F.broadcast(named), "run_id", "left").withColumn("model_family", F.coalesce("family", "run_id"))
+    return rows.select(
         F.lit("computed").alias("status"), F.lit(CLAIM).alias("claim_boundary"), F.lit(AUTHORITY).alias("metric_authority"),
         F.lit(None).cast("string").alias("reason"), "model_family", "strategy_name", "run_id", "oos_net_sharpe", "is_baseline", "rank",
         F.lit(start).alias("window_start"), F.lit(end).alias("window_end"),

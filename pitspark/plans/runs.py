@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import oos_net
 from ..operators.backtest import Backtest, run_backtest
-from ..session import scratch_path
+from ..session import local_table, scratch_path
 from ..sources.runstore import CLAIM, checked_sharpe, latest_runs, log_runs
 from ..schemas import METRIC
 
@@ -19,7 +19,8 @@ def as_records(metrics: DataFrame, config: Backtest, metadata: Mapping[str, Mapp
     """Metric rows to one record per run."""
     spark = metrics.sparkSession
     packed = metrics.groupBy("run").agg(F.array_sort(F.collect_list(F.struct(*METRIC.fieldNames()))).alias("metrics"))
-    facts = spark.createDataFrame([(name, dict(about), name in baselines) for name, about in metadata.items()],
+    named = {**{name: {} for name in baselines}, **metadata}
+    facts = spark.createDataFrame([(name, dict(about), name in baselines) for name, about in named.items()],
                                   "run string, strategy_metadata map<string,string>, is_baseline boolean")
     settings = {"rebalance": config.rebalance, "mode": config.mode, "charged_bps": str(config.costs.charged_bps),
                 "start": str(config.calendar.dates[0].date()), "end": str(config.calendar.dates[-1].date())}
@@ -32,7 +33,7 @@ def as_records(metrics: DataFrame, config: Backtest, metadata: Mapping[str, Mapp
 def records(weights: DataFrame, prices: DataFrame, config: Backtest, metadata: Mapping[str, Mapping[str, str]],
             baselines: Sequence[str] = ()) -> DataFrame:
     """All runs of a weights table through one backtest."""
-    named = weights.sparkSession.createDataFrame([(n,) for n in metadata], "run string")
+    named = local_table(weights.sparkSession, [(n,) for n in metadata], "run string")
     _, metrics = run_backtest(weights, prices, config, named)
     return as_records(metrics, config, metadata, baselines)
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.calendars import Calendar
+from ..session import local_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,7 +114,7 @@ def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assets(spark: SparkSession) -> DataFrame:
     """The configured symbols of the index panel."""
-    return spark.createDataFrame([(a,) for a in ASSETS], "symbol string")
+    return local_table(spark, [(a,) for a in ASSETS], "symbol string")
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions.columns import trading_cost
 from ..operators import asof, metrics, weights
 from ..operators.backtest import Backtest, Costs, portfolio_returns, run_backtest, turnover_parts
 from ..operators.calendars import WalkForward
+from ..session import local_table
 from . import base
 from .base import D, METRIC_SQL, MONTHLY, backtest_blocks, cte, day, metric_output, metrics_blocks, query, r, rd, sql
 
@@ -41,21 +42,21 @@ def index_weights(spark, d):
     """Four strategies on the index panel as one weights table."""
     px = base.index_prices(spark, d)
     names = base.assets(spark)
-    static = spark.createDataFrame(STATIC, "symbol string, weight double")
+    static = local_table(spark, STATIC, "symbol string, weight double")
     sma = weights.sma_timing(px, names, MONTHLY, 6).withColumn("weight", F.col("weight") / 5.0)
     return (weights.equal_weight(names, MONTHLY).unionByName(weights.static_weights(static, MONTHLY))
             .unionByName(weights.random_weights(names, MONTHLY, 7)).unionByName(sma))
 
 
 def index_runs(spark):
-    return spark.createDataFrame([("equal_weight",), ("static",), ("random",), ("sma_timing",)], "run string")
+    return local_table(spark, [("equal_weight",), ("static",), ("random",), ("sma_timing",)], "run string")
 
 
 @query("b1_equal_weight_backtest", sql("w_equal legs seg", f"SELECT run, segment, 'net' AS basis, {METRIC_SQL} FROM metric",
                                        **backtest_blocks("w_equal", "legs", 45)))
 def _(spark, d):
     px = base.prices(spark, d)
-    _, m = run_backtest(weights.equal_weight(base.suppliers(spark, d), MONTHLY), px, CONFIG, spark.createDataFrame([("equal_weight",)], "run string"))
+    _, m = run_backtest(weights.equal_weight(base.suppliers(spark, d), MONTHLY), px, CONFIG, local_table(spark, [("equal_weight",)], "run string"))
     return metric_output(m, "run", "segment", "basis")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import allocation, asof, calendars, moments, screen, weights
+from ..session import local_table, materialise
 from . import base
 from .base import ASSETS, D, MONTHLY, cte, day, query, r, rd, sql
 from .returns import STATIC, index_weights
@@ -29,7 +30,7 @@ def _(spark, d):
 @query("m2_static_weights", sql("wi_static", _W + "wi_static"))
 def _(spark, d):
     known = base.index_prices(spark, d).select("symbol").distinct()
-    table = known.join(spark.createDataFrame(STATIC, "symbol string, weight double"), "symbol")
+    table = known.join(local_table(spark, STATIC, "symbol string, weight double"), "symbol")
     return _weights(weights.static_weights(table, MONTHLY))
 
 
@@ -267,8 +268,8 @@ def _(spark, d):
       SELECT c.k, '{TARGET}' AS symbol, CASE WHEN n > 0 THEN 0.7 ELSE 1.0 END AS weight FROM cal c LEFT JOIN (SELECT k, count(*) AS n FROM chosen GROUP BY k) USING (k)
       UNION ALL SELECT k, symbol, 0.3 / count(*) OVER (PARTITION BY k) FROM chosen)"""))
 def _(spark, d):
-    tested = screen.cointegration(index_history(spark, d), TARGET)
-    return _weights(weights.hedge_weights(tested.filter("selected"), MONTHLY, TARGET, 0.3))
+    chosen = materialise(screen.cointegration(index_history(spark, d), TARGET).filter("selected"), "selected")
+    return _weights(weights.hedge_weights(chosen, MONTHLY, TARGET, 0.3))
 
 
 @query("f18_hedge_weights", sql("cal itrend index_hist", f"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,32 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of flat values as a local relation, which the optimizer can fold.
+
+    Rows handed to ``createDataFrame`` become a Python RDD instead and cost a job.
+    """
+    if not rows:
+        return spark.createDataFrame([], schema)
+    fields = [part.strip().split(" ", 1) for part in schema.split(",")]
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    columns = ", ".join(f"CAST(c{i} AS {kind}) AS `{name}`" for i, (name, kind) in enumerate(fields))
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    return spark.sql(f"SELECT {columns} FROM VALUES {values} AS t({names})")
