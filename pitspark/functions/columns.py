@@ -39,10 +39,14 @@ def oversampled(coarsest_days: Column, rebalance_days: Column, tolerance: float
     return coarsest_days > rebalance_days * (1.0 + tolerance)
 
 
+def whole_days(start: Column, end: Column) -> Column:
+    """Full days from start to end; zone-free timestamps, so no clock change counts."""
+    return F.extract(F.lit("DAY"), end - start)
+
+
 def months_between_dates(start: Column, end: Column) -> Column:
     """Whole days over the mean month length; -1 when the span is empty."""
-    days = F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 86_400_000_000)
-    return F.when(end >= start, days / DAYS_PER_MONTH).otherwise(-1.0)
+    return F.when(end >= start, whole_days(start, end) / DAYS_PER_MONTH).otherwise(-1.0)
 
 
 def file_safe(source: Column) -> Column:

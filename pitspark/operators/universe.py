@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAYS_PER_MONTH, cadence, months_between_dates
+from ..functions.columns import DAYS_PER_MONTH, cadence, months_between_dates, whole_days
 from ..session import materialise
 from .asof import usable
 from .pit import event_span
@@ -23,13 +23,11 @@ def sampling(prices: DataFrame) -> DataFrame:
     last event and a count before anything is ordered per symbol; a symbol with
     tick-level dates sorts as many rows as it has days.
     """
-    micros_per_day = 86_400_000_000
     dates = prices.select("symbol", "event_date").distinct()
     days = dates.groupBy("symbol", F.to_date("event_date").alias("day")).agg(
         F.min("event_date").alias("first"), F.max("event_date").alias("last"), F.count("*").alias("n"))
     before = F.lag("last").over(Window.partitionBy("symbol").orderBy("day"))
-    micros = F.unix_micros(F.col("first").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
-    runs = F.explode(F.array(F.struct(F.floor(micros / micros_per_day).alias("gap"), F.lit(1).cast("long").alias("times")),
+    runs = F.explode(F.array(F.struct(whole_days(F.col("before"), F.col("first")).cast("long").alias("gap"), F.lit(1).cast("long").alias("times")),
                              F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("times"))))
     gaps = days.withColumn("before", before).select("symbol", runs.alias("r")).select("symbol", "r.gap", "r.times")
     known = gaps.filter("gap is not null and times > 0").groupBy("symbol").agg(
@@ -62,7 +60,7 @@ def cotemporal_universe(spans: DataFrame, min_months: float = 18.0, min_assets:
                               F.struct(F.col("close").alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("step"))))
     points = fit.select(steps.alias("p")).groupBy("p.at", "p.kind").agg(F.sum("p.step").alias("step"))
     covered = _running_cover(points)
-    starts = covered.filter("kind = 0").withColumn("length", F.date_diff("next_at", "at"))
+    starts = covered.filter("kind = 0").withColumn("length", whole_days(F.col("at"), F.col("next_at")))
     best = starts.agg(F.max(F.struct("cover", "length")).alias("b")).select("b.*").head()
     if best is None or best["cover"] is None or best["cover"] < min_assets:
         return spans.filter(F.lit(False)).select("symbol", "start", "end")

@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "pitspark") -> SparkSession:
     """A single-JVM session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -42,9 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="pitspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="pitspark-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
