@@ -71,13 +71,14 @@ def windows(history: DataFrame, lookback: int) -> DataFrame:
     return rows.filter(F.size("x") == lookback)
 
 
-def newest_windows(history: DataFrame, lookback: int) -> DataFrame:
-    """(k, symbol, n, x): the last ``lookback`` returns and how many there are in all."""
-    rets = period_returns(history)
-    back = Window.partitionBy("symbol", "k").orderBy(F.desc("event_date"))
-    ranked = rets.withColumn("rank", F.row_number().over(back))
-    ordered = F.sort_array(F.collect_list(F.when(F.col("rank") <= lookback, F.struct("event_date", "ret"))))
-    return ranked.groupBy("k", "symbol").agg(F.count("*").alias("n"), F.transform(ordered, lambda p: p["ret"]).alias("x"))
+def newest_windows(rows: DataFrame) -> DataFrame:
+    """(k, symbol, x): the last returns of each symbol, from its newest training row.
+
+    That row's inputs without their oldest return, plus its target; a symbol with no
+    training row has no full window and target.
+    """
+    newest = rows.groupBy("k", "symbol").agg(F.max(F.struct("event_date", "x", "y")).alias("r"))
+    return newest.select("k", "symbol", F.concat(F.slice("r.x", 2, F.size("r.x") - 1), F.array("r.y")).alias("x"))
 
 
 def _scales(rows: DataFrame, lookback: int) -> DataFrame:
@@ -94,15 +95,15 @@ def _standard(frame: pd.DataFrame, mean: np.ndarray, std: np.ndarray) -> np.ndar
 def train(rows: DataFrame, nets: Sequence[Network]) -> tuple[dict, dict, dict]:
     """Fit every network on every date with enough windows.
 
-    ``rows`` come from :func:`windows` for the nets' common lookback. Returns the
-    scales per date, the weights per (net, date) and the loss per epoch.
+    ``rows`` come from :func:`windows` for the nets' common lookback, best as a written
+    table, since every epoch reads them. Returns the scales per date, the weights per
+    (net, date) and the loss per epoch.
     """
     lookback = nets[0].lookback
     if any(n.lookback != lookback for n in nets):
         raise ValueError("networks trained together share a lookback")
     spark = rows.sparkSession
-    # every epoch reads the windows again; a written table survives lost executors
-    table = materialise(rows.select("k", "x", "y").repartitionByRange("k", "y"), "windows")
+    table = rows.select("k", "x", "y")
     scales = {r["k"]: (r["n"], np.array(r["mean"]), np.array(r["std"])) for r in _scales(table, lookback).collect()}
     fits = {k: s for k, s in scales.items() if s[2][-1] > 1e-12}
     weights = {(i, k): net.start() for i, net in enumerate(nets) for k, s in fits.items() if s[0] >= net.min_obs}
@@ -153,9 +154,11 @@ def forecast(history: DataFrame, symbols: Sequence[str], calendar: Calendar, net
     """
     spark, lookback, networks = history.sparkSession, nets[0].lookback, list(nets)
     mine = history.filter(F.col("symbol").isin(list(symbols)))
-    scales, weights, losses = train(windows(mine, lookback), nets)
-    newest = newest_windows(mine, lookback)
-    whole = newest.groupBy("k").agg((F.count_if(F.col("n") >= lookback + 1) == len(set(symbols))).alias("whole"))
+    # every epoch reads the windows again; a written table survives lost executors
+    table = materialise(windows(mine, lookback), "windows")
+    scales, weights, losses = train(table, nets)
+    newest = newest_windows(table)
+    whole = newest.groupBy("k").agg((F.count("*") == len(set(symbols))).alias("whole"))
     sent = spark.sparkContext.broadcast((scales, weights))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -66,12 +66,12 @@ def performance(returns: DataFrame, periods_per_year: float, by: list[str]) -> D
         "turnover")
 
 
-def distribution(returns: DataFrame, by: list[str]) -> DataFrame:
-    """Population moments and the 5 % value at risk."""
+def distribution(returns: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Population moments and the 5 % value at risk, with any further aggregates of the caller."""
     return returns.groupBy(*by).agg(
         F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("volatility"),
         F.skewness("ret").alias("skew"), F.kurtosis("ret").alias("excess_kurtosis"),
-        (-F.percentile("ret", F.lit(0.05))).alias("var_5pct"), F.count("*").alias("observations"))
+        (-F.percentile("ret", F.lit(0.05))).alias("var_5pct"), F.count("*").alias("observations"), *more)
 
 
 def population_sharpe(periods_per_year: float) -> Column:

@@ -13,7 +13,7 @@ from ..operators.backtest import Backtest, Costs, realised_returns
 from ..operators.calendars import Calendar, WalkForward
 from ..operators.forecast import Network, forecast
 from ..operators.universe import cotemporal_dates
-from ..session import local_table
+from ..session import local_table, materialise
 from ..sources.runstore import CLAIM
 from .reports import performance_report
 from .runs import leaderboard, records
@@ -38,8 +38,9 @@ def run_experiment(prices: DataFrame, symbols: Sequence[str], nets: Sequence[Net
     spark = prices.sparkSession
     names = local_table(spark, [(s,) for s in symbols], "symbol string")
     mine = prices.join(F.broadcast(names), "symbol", "left_semi")
-    found = sorted(row[0] for row in mine.select("symbol").distinct().collect())
-    dates = cotemporal_dates(mine, names)
+    seen = materialise(mine.select("symbol", "event_date").distinct(), "dates")
+    found = sorted(row[0] for row in seen.select("symbol").distinct().collect())
+    dates = cotemporal_dates(seen, names)
     count = dates.count()
     if len(found) < 2 or count < MIN_DATES:
         reason = "fewer_than_2_assets" if len(found) < 2 else "thin_cotemporal_history"
@@ -60,7 +61,8 @@ def run_experiment(prices: DataFrame, symbols: Sequence[str], nets: Sequence[Net
     history = history_asof(mine, common)
     guesses, trace = forecast(history, found, common, nets)
     held = sweep_weights(guesses).unionByName(w.equal_weight(present, common, "baseline"))
-    realised = realised_returns(held, history, commission_bps, len(common))
+    # the report reads the series three times
+    realised = materialise(realised_returns(held, history, commission_bps, len(common)), "realised")
     last = F.lit(len(common) - 1)
     curves = trace.filter(F.col("k") == last).groupBy("net").agg(F.sort_array(F.collect_list(F.struct("epoch", "loss"))).alias("p")).select(
         F.concat(F.lit("learned_"), F.col("net").cast("string")).alias("run"), F.col("p.loss").alias("learning_curve"))

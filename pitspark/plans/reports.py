@@ -74,19 +74,13 @@ def oos_report(prices: DataFrame, weights: DataFrame, config: Backtest, *, basel
 def performance_report(returns: DataFrame, window: int = 12, periods_per_year: int = 12,
                        learning_curves: DataFrame | None = None) -> DataFrame:
     """One row per run with its paths; ``status`` names series too short, not finite or flat to report."""
-    path = m.wealth_path(returns, ["run"])
-    shape = m.distribution(returns, ["run"])
-    score = returns.groupBy("run").agg(m.population_sharpe(periods_per_year).alias("oos_net_sharpe"))
-
-    def curve(frame, column, name):
-        points = F.sort_array(F.collect_list(F.struct("k", F.round(column, 10).alias("v"))))
-        return frame.groupBy("run").agg(F.transform(points, lambda p: p["v"]).alias(name))
-
-    paths = path.groupBy("run").agg(
-        F.sort_array(F.collect_list(F.struct("k", F.round("wealth", 10).alias("w"), F.round("drawdown", 10).alias("d")))).alias("p"))
-    paths = paths.select("run", F.col("p.w").alias("equity_curve"), F.col("p.d").alias("drawdown"))
-    rolling = curve(m.rolling_sharpe(returns, ["run"], window, periods_per_year), "rolling_sharpe", "rolling_sharpe")
-    out = shape.join(score, "run").join(paths, "run").join(rolling, "run", "left")
+    shape = m.distribution(returns, ["run"], m.population_sharpe(periods_per_year).alias("oos_net_sharpe"))
+    rows = m.wealth_path(returns, ["run"])
+    rolling = m.rolling_sharpe(returns, ["run"], window, periods_per_year).select("run", "k", "rolling_sharpe")
+    points = F.sort_array(F.collect_list(F.struct("k", *[F.round(c, 10).alias(c) for c in ("wealth", "drawdown")])))
+    paths = rows.groupBy("run").agg(points.alias("p")).select("run", F.col("p.wealth").alias("equity_curve"), F.col("p.drawdown").alias("drawdown"))
+    sharpes = rolling.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("k", F.round("rolling_sharpe", 10).alias("v")))).alias("p"))
+    out = shape.join(paths, "run").join(sharpes.select("run", F.col("p.v").alias("rolling_sharpe")), "run", "left")
     if learning_curves is not None:
         out = out.join(learning_curves, "run", "left")
     broken = F.isnan("mean") | (F.abs("mean") == float("inf"))

@@ -204,6 +204,29 @@ def _(spark, d):
     return _weights(allocation.mean_variance(index_history(spark, d), ASSETS, MONTHLY, 0.30))
 
 
+@query("m7_optimum_dominates_candidates", sql("mus covs", f"""
+    SELECT CAST(k AS BIGINT) AS k, {rd('mu')} AS candidate_return, v <= 0.09 AS reachable, TRUE AS not_worse, TRUE AS within_cap FROM ranked WHERE rn = 1""",
+    cand=_CAND_SQL,
+    cand_mu="SELECT k, c, sum(w * mu) AS mu FROM cand JOIN mus USING (symbol) GROUP BY k, c",
+    cand_v="SELECT k, a.c, sum(a.w * b.w * cov) AS v FROM covs JOIN cand a ON a.symbol = s1 JOIN cand b ON b.symbol = s2 AND b.c = a.c GROUP BY k, a.c",
+    ranked="""SELECT *, row_number() OVER (PARTITION BY k ORDER BY v <= 0.09 DESC, CASE WHEN v <= 0.09 THEN -mu ELSE v END, c) AS rn
+              FROM cand_mu JOIN cand_v USING (k, c)"""))
+def _(spark, d):
+    # the solver's weights against the best of the candidate table, on each date's own moments
+    rows = moments.moments(index_history(spark, d), ASSETS, MONTHLY).filter("n > 0")
+    found = allocation.candidate_search(rows, ASSETS, _CANDIDATES, 0.30).select("k", "expected_return", "variance")
+    solved = rows.withColumn("w", allocation.best_weights(F.col("mu"), F.col("cov"), F.lit(0.30), F.lit(1.0)))
+    n = len(ASSETS)
+    mean = F.aggregate(F.zip_with("mu", "w", lambda m, x: m * x), F.lit(0.0), lambda s, x: s + x)
+    cells = F.transform(F.col("cov"), lambda c, i: c * F.get(F.col("w"), (i / n).cast("int")) * F.get(F.col("w"), i % n))
+    variance = F.aggregate(cells, F.lit(0.0), lambda s, x: s + x)
+    both = solved.select("k", mean.alias("mean"), variance.alias("v")).join(found, "k")
+    reachable = F.col("variance") <= 0.09
+    better = F.when(reachable, F.col("mean") >= F.col("expected_return") - 1e-7).otherwise(F.col("v") <= F.col("variance") + 1e-9)
+    return both.select(F.col("k").cast("long").alias("k"), r("expected_return").alias("candidate_return"), reachable.alias("reachable"),
+                       better.alias("not_worse"), (F.col("v") <= F.greatest(F.lit(0.09), F.col("variance")) + 1e-7).alias("within_cap"))
+
+
 @query("m8_multi_horizon")
 def _(spark, d):
     return _weights(allocation.multi_horizon(index_history(spark, d), ASSETS, MONTHLY))
