@@ -37,8 +37,8 @@ def _units(level: Column, method: str) -> Column:
 def price_levels(plans: DataFrame) -> DataFrame:
     """(plan, level, price); a plan without a price difference has no levels."""
     levels = plans.withColumn("level", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return levels.select("plan", "level", _price(F.col("level").cast("double")).alias("price")).join(
-        plans.select("plan", "price_init"), "plan").filter("price <> price_init").drop("price_init")
+    priced = levels.select("plan", "level", "price_init", _price(F.col("level").cast("double")).alias("price"))
+    return priced.filter("price <> price_init").drop("price_init")
 
 
 def unit_ladder(plans: DataFrame, method: str = "arithmetic") -> DataFrame:

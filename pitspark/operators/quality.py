@@ -20,21 +20,26 @@ REQUIRED_GROUPS = {
 STATUSES = ["ok", "skip", "fail", "dry"]
 
 
-def source_health(records: DataFrame) -> DataFrame:
-    """Per source the last status, flag and reason by arrival, and its symbols.
+def source_symbols(records: DataFrame) -> DataFrame:
+    """(source, symbol, first, n, last) per symbol; ``first`` is its place in order of arrival.
 
-    Symbols are aggregated to their first arrival before they are listed, so a busy
-    source carries its distinct symbols, not its records.
+    A blank source or symbol is an error.
     """
     clean = records.withColumn("source", F.lower(F.trim("source"))).withColumn("symbol", F.trim("symbol"))
     wrong = F.when((F.col("source") == "") | (F.col("symbol") == ""), F.raise_error("source and symbol are required").cast("string"))
-    clean = clean.withColumn("source", F.coalesce(wrong, F.col("source")))
-    per_symbol = clean.groupBy("source", "symbol").agg(
+    return clean.withColumn("source", F.coalesce(wrong, F.col("source"))).groupBy("source", "symbol").agg(
         F.min("seq").alias("first"), F.count("*").alias("n"), F.max(F.struct("seq", "status", "default_enabled", "reason")).alias("last"))
-    return per_symbol.groupBy("source").agg(
-        F.max("last").alias("last"), F.sum("n").alias("records"),
-        F.sort_array(F.collect_list(F.struct("first", "symbol"))).alias("s")).select(
-            "source", "last.status", "last.default_enabled", "last.reason", "records", F.col("s.symbol").alias("symbols"))
+
+
+def source_health(records: DataFrame) -> DataFrame:
+    """Per source the last status, flag and reason by arrival, and how much it reported.
+
+    The symbols themselves stay a table: a source may have any number of them.
+    """
+    return source_symbols(records).groupBy("source").agg(
+        F.max("last").alias("last"), F.sum("n").alias("records"), F.count("*").alias("symbols"),
+        F.min(F.struct("first", "symbol")).alias("head")).select(
+            "source", "last.status", "last.default_enabled", "last.reason", "records", "symbols", F.col("head.symbol").alias("first_symbol"))
 
 
 def job_counts(jobs: DataFrame, by: str = "run") -> DataFrame:

@@ -129,13 +129,14 @@ def sufficiency(prices: DataFrame, min_assets: int = 2, min_months: float = 18.0
     rhythm = sampling(dates).join(scope.select("symbol"), "symbol", "left_semi").agg(
         F.coalesce(F.round(F.max("median_days"), 4), F.lit(0.0)).alias("coarsest_days"),
         (F.count_distinct("cadence") <= 1).alias("homogeneous"))
-    one = F.lit(1)
-    row = extent.withColumn("_", one)
+    # four rows of different columns folded into one, no join needed
+    parts = extent
     for part in (everyone, shared, rhythm):
-        row = row.join(part.withColumn("_", one), "_")
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     thin = F.col("asset_count") < min_assets
     reason = (F.when(thin, "fewer_than_min_assets").when(F.col("universe_size") > 0, "ok")
               .when(F.col("full_overlap") >= 0, "history_below_min_window").otherwise("no_cotemporal_overlap"))
-    return row.drop("_").withColumn("reason", reason).withColumn("sufficient", F.col("reason") == "ok").withColumn(
+    return row.withColumn("reason", reason).withColumn("sufficient", F.col("reason") == "ok").withColumn(
         "min_assets", F.lit(min_assets)).withColumn("min_months", F.lit(float(min_months)))
 

@@ -95,7 +95,7 @@ def run_summary(runs: DataFrame, run_id: str | None = None, experiments: DataFra
     """A run with its regime, allocation, out-of-sample metrics and the top of the leaderboard."""
     active = runs if run_id is None else runs.filter(F.col("run_id") == run_id)
     board = leaderboard(runs).filter(F.col("rank") <= top).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "run_id", "strategy_name", "oos_net_sharpe", "is_baseline"))).alias("leaderboard"))
+        F.sort_array(F.collect_list(F.struct("rank", "run_id", "strategy_name", "oos_net_sharpe", "is_baseline"))).alias("leaderboard")).scalar()
     about = F.col("strategy_metadata")
     label = F.coalesce(about["last_regime"], F.lit("unknown"))
     regime = F.struct(label.alias("label"), F.coalesce(F.try_to_number(about["last_regime_confidence"], F.lit("9.99")).cast("double"), F.lit(0.0)).alias("confidence"))
@@ -103,7 +103,7 @@ def run_summary(runs: DataFrame, run_id: str | None = None, experiments: DataFra
         F.col("run_id").alias("active_run_id"), "strategy_name", F.coalesce(about["claim_boundary"], F.lit(CLAIM)).alias("claim_boundary"),
         regime.alias("regime"), F.from_json(about["weights"], "map<string,double>").alias("allocation"), oos_net(F.col("metrics")).alias("oos_net_metrics"),
         F.when(about["last_regime"].isNull(), F.array(F.lit("missing_regime_metadata"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
-    out = rows.withColumn("_", F.lit(1)).join(F.broadcast(board.withColumn("_", F.lit(1))), "_").drop("_")
+    out = rows.withColumn("leaderboard", board)
     if experiments is not None:
         known = experiments.select("experiment_id", "model_family", F.explode("run_ids").alias("active_run_id"))
         mine = known.groupBy("active_run_id").agg(F.sort_array(F.collect_list(F.struct("model_family", "experiment_id"))).alias("experiments"))

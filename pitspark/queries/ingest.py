@@ -181,7 +181,7 @@ def _(spark, d):
     tail = F.col("user_id") % 10
     status = F.when(tail < 6, "ok").when(tail < 8, "skip").otherwise("fail:TimeoutError")
     results = base.table(spark, d, "events").select(day("ts").alias("run"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("source"), status.alias("status"))
-    return snapshots.manifest(results).select("run", "ok", "skip", "fail", F.size("sources").cast("long").alias("sources"))
+    return snapshots.manifest(results).select("run", "ok", "skip", "fail", "sources")
 
 
 @query("f6_source_ids", "SELECT DISTINCT 'yahoo_idx_' || event_type AS file_id, '^' || event_type AS symbol FROM events")

@@ -35,7 +35,7 @@ def _(spark, d):
     records = base.table(spark, d, "events").select(
         F.col("event_id").alias("seq"), F.upper("event_type").alias("source"), F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("symbol"),
         F.when(F.col("value") > 50, "available").otherwise("degraded").alias("status"), F.lit(True).alias("default_enabled"), F.lit("").alias("reason"))
-    return quality.source_health(records).select("source", "status", "records", F.size("symbols").cast("long").alias("symbols"), F.get("symbols", F.lit(0)).alias("first_symbol"))
+    return quality.source_health(records).select("source", "status", "records", "symbols", "first_symbol")
 
 
 @query("a16_snapshot_gate", f"""

@@ -40,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder, because there every
     task runs on this machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

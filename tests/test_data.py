@@ -204,7 +204,8 @@ def test_reports_are_checked_before_they_are_written(spark, tmp_path):
 def test_source_health_keeps_arrival_order(spark):
     rows = [(1, "fred", "CPI", "available", True, ""), (2, "Stooq ", "*", "unknown", True, ""), (3, "stooq", "*", "blocked", False, "404"), (4, "fred", "GDP", "available", True, "ok")]
     got = {r["source"]: r for r in quality.source_health(spark.createDataFrame(rows, SOURCE_HEALTH)).collect()}
-    assert got["fred"]["symbols"] == ["CPI", "GDP"] and got["fred"]["reason"] == "ok"
+    names = quality.source_symbols(spark.createDataFrame(rows, SOURCE_HEALTH)).filter("source = 'fred'").orderBy("first").collect()
+    assert [r["symbol"] for r in names] == ["CPI", "GDP"] and got["fred"]["reason"] == "ok" and got["fred"]["symbols"] == 2
     assert (got["stooq"]["status"], got["stooq"]["default_enabled"]) == ("blocked", False)
 
 
