@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calendars import Calendar
+from .calendars import Calendar, ntz
 
 # Orders of "latest". They differ on purpose and give different answers.
 BY_RELEASE = ("available_date", "event_date")
@@ -31,7 +31,7 @@ def present(value: Column) -> Column:
 
 def first_visible(rows: DataFrame, calendar: Calendar, time: str = "available_date") -> DataFrame:
     """Add ``k``, the first calendar ordinal that may see the row."""
-    seen = rows.filter(F.col(time) <= F.lit(calendar.dates[-1]))
+    seen = rows.filter(F.col(time) <= ntz(calendar.dates[-1]))
     return seen.withColumn("k", calendar.ordinal(F.col(time)))
 
 

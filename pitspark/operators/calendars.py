@@ -32,6 +32,15 @@ def as_timestamp(value) -> datetime:
     return datetime.fromisoformat(str(value))
 
 
+def ntz(value) -> Column:
+    """A zone-free timestamp literal.
+
+    A plain literal would carry a time zone: comparing with it shifts in sessions of
+    another zone and keeps the filter from reaching the files.
+    """
+    return F.lit(as_timestamp(value).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 @dataclass(frozen=True)
 class Calendar:
     """Strictly increasing as-of dates; ``k`` is the zero-based ordinal."""
@@ -137,8 +146,7 @@ def business_days(extent: DataFrame, start: str = "start", end: str = "end") ->
 
 def event_dates(rows: DataFrame, start, end) -> DataFrame:
     """Distinct event dates inside [start, end], the replay calendar."""
-    low, high = as_timestamp(start), as_timestamp(end)
-    return (rows.filter(F.col("event_date").between(F.lit(low), F.lit(high)))
+    return (rows.filter(F.col("event_date").between(ntz(start), ntz(end)))
             .select(F.col("event_date").alias("as_of")).distinct())
 
 

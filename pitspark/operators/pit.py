@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .asof import BY_PERIOD, BY_RELEASE, usable
-from .calendars import Calendar, as_timestamp
+from .calendars import Calendar, ntz
 
 
 def available_at(rows: DataFrame, as_of) -> DataFrame:
     """The one guard against look-ahead."""
-    return rows.filter(F.col("available_date") <= F.lit(as_timestamp(as_of)))
+    return rows.filter(F.col("available_date") <= ntz(as_of))
 
 
 def strict_only(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import DAYS_PER_MONTH, cadence, months_between_dates, whole_days
 from ..session import materialise
 from .asof import usable
+from .calendars import ntz
 from .pit import event_span
 
 # Market episodes used to label the windows a report spans.
@@ -66,7 +67,7 @@ def cotemporal_universe(spans: DataFrame, min_months: float = 18.0, min_assets:
         return spans.filter(F.lit(False)).select("symbol", "start", "end")
     ties = [row["at"] for row in starts.filter((F.col("cover") == best["cover"]) & (F.col("length") == best["length"])).select("at").collect()]
     at = _lexicographically_last(fit, sorted(ties))
-    return fit.filter((F.col("start") <= F.lit(at)) & (F.col("close") >= F.lit(at))).select("symbol", "start", "end")
+    return fit.filter((F.col("start") <= ntz(at)) & (F.col("close") >= ntz(at))).select("symbol", "start", "end")
 
 
 def _running_cover(points: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def _running_cover(points: DataFrame) -> DataFrame:
 def _lexicographically_last(fit: DataFrame, ties: list):
     """Of sets of one size the last is the one without the smallest symbol that only some of them hold."""
     while len(ties) > 1:
-        held = F.filter(F.array(*[F.lit(t) for t in ties]), lambda t: (F.col("start") <= t) & (F.col("close") >= t))
+        held = F.filter(F.array(*[ntz(t) for t in ties]), lambda t: (F.col("start") <= t) & (F.col("close") >= t))
         some = fit.withColumn("held", held).filter((F.size("held") > 0) & (F.size("held") < len(ties)))
         row = some.agg(F.min(F.struct("symbol", "held")).alias("m")).select("m.held").head()
         if row is None or row["held"] is None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import CADENCE_DAYS, OVERSAMPLE_TOLERANCE, oos_net
 from ..operators import metrics as m
 from ..operators.backtest import Backtest, run_backtest
+from ..operators.calendars import ntz
 from ..operators.universe import episodes_in, sufficiency
 from ..session import local_table, materialise
 from ..sources.runstore import CLAIM
@@ -66,7 +67,7 @@ def oos_report(prices: DataFrame, weights: DataFrame, config: Backtest, *, basel
     return rows.select(
         F.lit("computed").alias("status"), F.lit(CLAIM).alias("claim_boundary"), F.lit(AUTHORITY).alias("metric_authority"),
         F.lit(None).cast("string").alias("reason"), "model_family", "strategy_name", "run_id", "oos_net_sharpe", "is_baseline", "rank",
-        F.lit(start).alias("window_start"), F.lit(end).alias("window_end"),
+        ntz(start).alias("window_start"), ntz(end).alias("window_end"),
         F.lit(",".join(episodes)).alias("e")).withColumn(
             "episodes", F.filter(F.split("e", ","), lambda x: x != "")).drop("e")
 

@@ -50,8 +50,9 @@ def quote_records(spark, d):
 def chart_records(spark, d):
     """Largest event value per type and second of the day as chart JSON; small ones are null closes."""
     events = base.table(spark, d, "events")
-    rows = events.groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("t")).agg(F.max("value").alias("v"))
-    rows = rows.select(F.concat(F.lit("yahoo:^"), "event_type").alias("source"), day("t").alias("available_date"), F.unix_seconds("t").alias("t"),
+    hour = F.to_date("ts").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.hour("ts"))
+    rows = events.groupBy("event_type", hour.alias("t")).agg(F.max("value").alias("v"))
+    rows = rows.select(F.concat(F.lit("yahoo:^"), "event_type").alias("source"), day("t").alias("available_date"), (F.datediff("t", F.lit("1970-01-01").cast("date")) * 86400 + F.hour("t") * 3600).cast("long").alias("t"),
                        F.when(F.col("v") >= 20, F.col("v")).alias("v"))
     points = rows.groupBy("source", "available_date").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("p"))
     closes = F.array_join(F.transform("p", lambda x: F.coalesce(x["v"].cast("string"), F.lit("null"))), ",")
