@@ -51,6 +51,8 @@ def oos_report(prices: DataFrame, weights: DataFrame, config: Backtest, *, basel
     rebalance_days = CADENCE_DAYS.get(config.rebalance, CADENCE_DAYS["monthly"])
     if facts["coarsest_days"] > rebalance_days * (1.0 + OVERSAMPLE_TOLERANCE):
         return _refused(spark, "oversampled", f"rebalanced every {rebalance_days} days, sampled every {facts['coarsest_days']}")
+    # the backtest reads the weights three times: runs, legs and turnover
+    weights = materialise(weights, "weights")
     _, metrics = run_backtest(weights, prices, config)
     # read twice below, and the whole backtest stands behind it
     metrics = materialise(metrics, "metrics")
