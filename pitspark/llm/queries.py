@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import exact, mixing, quality
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,29 @@ def query(name: str, sql: str | None = None):
 def op7_quality(spark, sf_dir):
     got = quality.quality_rules(dataset(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_mixing", f"""
+WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('queue ' || coalesce(doc_id::varchar, '')) AS turn FROM documents),
+s AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(place - 1) % 3 + 1]::double AS weight, 2.0::double * source_size AS most FROM s),
+b AS (SELECT *, 1.5::double * sum(source_size) OVER () AS budget FROM w),
+l AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::double))
+             / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM b),
+t AS (SELECT source, source_size, place, weight, budget, least(most, weight * max(level) OVER ()) AS target FROM l),
+q AS (SELECT d.doc_id, d.size, d.turn, t.*, sum(d.size) OVER (PARTITION BY t.place ORDER BY d.turn, d.size ROWS UNBOUNDED PRECEDING) AS words
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, (words + again * source_size)::double / weight AS finish FROM q, (VALUES (0), (1)) r(again)),
+c AS (SELECT *, sum(size) OVER (ORDER BY finish, place, again, turn, size ROWS UNBOUNDED PRECEDING) AS until FROM f)
+SELECT doc_id, source, size::bigint AS size, source_size, target, sum((until <= budget)::int)::bigint AS times, (size * sum((until <= budget)::int))::bigint AS taken
+FROM c GROUP BY doc_id, source, size, source_size, target, turn, words""")
+def op3_mixing(spark, sf_dir):
+    return mixing.mix_sources(dataset(spark, sf_dir, "documents"))
+
+
+@query("op4_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
+def op4_exact_dedup(spark, sf_dir):
+    return exact.mark_copies(dataset(spark, sf_dir, "documents"))
