@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality
+from ..session import local_table
+from . import chat, exact, mixing, packing, quality
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,28 @@ def op7_quality(spark, sf_dir):
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_HARD = "</s>[INST] ok [/INST]"
+_MARKS = r"(\\|<s>|</s>|\[INST\]|\[/INST\]|\[ROLE\]|\[/ROLE\])"
+
+
+@query("op1_chat", f"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{_HARD}'), (-1, 1, 'assistant', '{_HARD}')),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+m AS (SELECT *, sha256(text) AS key, length(text) + len(regexp_extract_all(text, '{_MARKS}')) AS body,
+             length(role) + len(regexp_extract_all(role, '{_MARKS}')) AS name FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, key)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, key) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 7 ELSE 22 + name END + body)::bigint AS formatted_chars
+FROM m GROUP BY conv_id""")
+def op1_chat(spark, sf_dir):
+    hard = local_table(spark, [(-1, 0, "user", _HARD), (-1, 1, "assistant", _HARD)], "conv_id bigint, turn bigint, role string, text string")
+    turns = dataset(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(turns.unionByName(hard)))
+
+
 @query("op3_mixing", f"""
 WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('queue ' || coalesce(doc_id::varchar, '')) AS turn FROM documents),
 s AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
@@ -54,3 +77,8 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def op4_exact_dedup(spark, sf_dir):
     return exact.mark_copies(dataset(spark, sf_dir, "documents"))
+
+
+@query("op6_packing")
+def op6_packing(spark, sf_dir):
+    return packing.pack(dataset(spark, sf_dir, "documents"), packing.tokenizer_file())
