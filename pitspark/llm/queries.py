@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, mixing, packing, quality
+from . import chat, exact, mixing, packing, quality, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,10 @@ def op4_exact_dedup(spark, sf_dir):
 @query("op6_packing")
 def op6_packing(spark, sf_dir):
     return packing.pack(dataset(spark, sf_dir, "documents"), packing.tokenizer_file())
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs, held_out = dataset(spark, sf_dir, "documents"), toxicity.in_fold(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs, dataset(spark, sf_dir, "labels"), held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
