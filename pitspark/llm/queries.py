@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, mixing, packing, quality, toxicity
+from . import chat, exact, mixing, packing, quality, substring, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,21 @@ def op4_exact_dedup(spark, sf_dir):
     return exact.mark_copies(dataset(spark, sf_dir, "documents"))
 
 
+@query("op5_substring_dedup", f"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM d WHERE len(words) >= 20),
+k AS (SELECT doc_id, i, md5_number(array_to_string(words[i:i + 19], ' ')) AS key FROM w),
+l AS (SELECT doc_id, i, (doc_id, i) > min((doc_id, i)) OVER (PARTITION BY key) AS later FROM k),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM l WHERE later),
+p AS (SELECT d.doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM d),
+g AS (SELECT p.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY pos) AS text FROM p ANTI JOIN r ON p.doc_id = r.doc_id AND p.pos = r.pos GROUP BY p.doc_id)
+SELECT d.doc_id, len(words)::bigint AS n_words, (len(words) - coalesce(kept, 0))::bigint AS n_removed, sha256(coalesce(g.text, '')) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id""")
+def op5_substring_dedup(spark, sf_dir):
+    found = substring.remove_repeats(dataset(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op6_packing")
 def op6_packing(spark, sf_dir):
     return packing.pack(dataset(spark, sf_dir, "documents"), packing.tokenizer_file())
