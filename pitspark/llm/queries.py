@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, mixing, packing, quality, substring, toxicity
+from . import chat, exact, mixing, near, packing, quality, substring, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,18 @@ def op8_toxicity(spark, sf_dir):
     docs, held_out = dataset(spark, sf_dir, "documents"), toxicity.in_fold(F.col("doc_id"), 3, 1)
     model = toxicity.fit(docs, dataset(spark, sf_dir, "labels"), held_out)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op10_near_dedup", f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+           FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN []::varchar[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS shingles FROM d),
+p AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS x FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+c(doc_id, low) AS (SELECT doc_id, doc_id FROM s UNION SELECT i.b, c.low FROM c JOIN i ON i.a = c.doc_id AND c.low < i.b),
+m AS (SELECT doc_id, min(low) AS component_id FROM c GROUP BY doc_id)
+SELECT s.doc_id, len(shingles)::bigint AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON s.doc_id = m.doc_id""")
+def op10_near_dedup(spark, sf_dir):
+    return near.near_duplicates(dataset(spark, sf_dir, "documents")).drop("text_key")
