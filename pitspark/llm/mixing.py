@@ -85,3 +85,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     last = F.struct(*(F.lit(v).cast(kind).alias(n) for (n, v), kind in zip(cut.asDict().items(), kinds))) if cut else None
     times = sum((F.when(place(F.lit(i)) <= last, 1).otherwise(0) for i in range(repeats)) if cut else (), F.lit(0)).cast("long")
     return queued.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2,
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, with all its columns.
+
+    Rows with one id, source and size are numbered on both sides, so repeated rows get the
+    decisions of as many queue places, one each.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ident, text, source = (names[docs.columns.index(c)] for c in (id_col, text_col, source_col))
+    taken = mix_sources(docs, weights, share, repeats, id_col, text_col, source_col)
+
+    def numbered(df: DataFrame, *parts: Column) -> DataFrame:
+        keyed = df.withColumn("key", F.to_json(F.struct(*parts)))
+        return keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("order")))
+
+    rows = numbered(docs.toDF(*names).withColumn("order", F.xxhash64(text)), F.col(ident).cast("long").alias("i"),
+                    F.col(source).cast("string").alias("s"), count_words(F.col(text)).alias("w")).alias("rows")
+    times = numbered(taken.withColumn("order", -F.col("times")), F.col("doc_id").alias("i"), F.col("source").alias("s"),
+                     F.col("size").alias("w")).select("key", "n", "times").alias("times")
+    # written as a difference, the numbers stay out of the join's key and the rows are dealt out once
+    same = (F.col("rows.key") == F.col("times.key")) & (F.col("rows.n") - F.col("times.n") == 0)
+    return (rows.join(times, same).filter("times > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+            .select(*(F.col(n).alias(f.name) for n, f in zip(names, docs.schema))))
