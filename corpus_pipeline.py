@@ -1,10 +1,15 @@
-"""From raw documents to packed training sequences, one corpus operator per stage."""
+"""From raw documents to packed training sequences, one corpus operator per stage.
+
+Quality rules drop repetitive and junk texts, exact and near duplicates leave one document
+of each group, the mix brings the sources to their target weights (a document taken twice
+is there twice), and packing places every piece of every document in a sequence.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitspark.llm import quality
+from pitspark.llm import exact, mixing, near, packing, quality
 from pitspark.llm.common import dataset, materialise
 
 
@@ -12,7 +17,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_rows(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.keep_rows(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.keep_rows(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, packing.tokenizer_file())
+
+
+STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("near dedup", near_stage),
+          ("source mixing", mixing_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,4 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: SQL cannot tokenise, so tests compare every stage with a plain version instead.
 ORACLE_SQL = None
