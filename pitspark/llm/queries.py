@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, mixing, near, packing, quality, substring, toxicity
+from . import chat, exact, mixing, near, packing, pseudonyms, quality, substring, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,12 @@ def op1_chat(spark, sf_dir):
     return chat.read_back(chat.format_turns(turns.unionByName(hard)))
 
 
+@query("op2_pseudonyms")
+def op2_pseudonyms(spark, sf_dir):
+    """The key here only makes reruns agree; a real one comes from the caller's secret store."""
+    return pseudonyms.pseudonymise(dataset(spark, sf_dir, "documents"), b"public example key")
+
+
 @query("op3_mixing", f"""
 WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, md5('queue ' || coalesce(doc_id::varchar, '')) AS turn FROM documents),
 s AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
