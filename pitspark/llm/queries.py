@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, mixing, near, packing, pseudonyms, quality, substring, toxicity
+from . import chat, exact, katz, mixing, near, packing, pseudonyms, quality, substring, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ m AS (SELECT doc_id, min(low) AS component_id FROM c GROUP BY doc_id)
 SELECT s.doc_id, len(shingles)::bigint AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN m ON s.doc_id = m.doc_id""")
 def op10_near_dedup(spark, sf_dir):
     return near.near_duplicates(dataset(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op9_katz")
+def op9_katz(spark, sf_dir):
+    held_out = toxicity.in_fold(F.col("doc_id"), 7, 2)
+    found = katz.score(dataset(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
