@@ -226,8 +226,8 @@ def backoff_weights(coded: DataFrame, answers: DataFrame, model: _Model, buckets
         mine = np.flatnonzero(pair & int(_FIRST))
         counts = pair[mine] & (int(_FIRST) - 1)
         size = len(block.words)
-        mass = np.bincount(block.history[mine], weights=model.mass(counts), minlength=size)
-        words = np.bincount(block.history[mine], weights=model.p_word(word[block.word[mine]]), minlength=size)
+        mass = np.bincount(block.history[mine], weights=model.mass(counts), minlength=size).astype(float)
+        words = np.bincount(block.history[mine], weights=model.p_word(word[block.word[mine]]), minlength=size).astype(float)
         keep = np.flatnonzero(word >= MIN_COUNT)  # only these can have kept bigrams, here or in other blocks
         return pa.table([pa.array(np.full(len(keep), row["block"])), pa.array(block.words[keep].view(np.int64)), pa.array(word[keep]),
                          pa.array(mass[keep]), pa.array(words[keep])], names=_names(schema))

@@ -164,14 +164,18 @@ def _phone(net, m):
     return prefix + _refill(text[len(prefix):], _number(net, f"phone{_digits(prefix)}", digits), _is_digit)
 
 
-def _shift_date(net, year: int, month: int, day: int) -> date | None:
+def _shift_date(net, year: int, month: int, day: int, late: bool = False) -> date | None:
+    """Another day of the calendar; with ``late`` one after the 12th, as the given day is."""
     try:
         ordinal = date(year, month, day).toordinal()
     except ValueError:
         return None
     if not FIRST_DAY <= ordinal <= LAST_DAY:
         return None
-    return date.fromordinal(FIRST_DAY + net("date", LAST_DAY - FIRST_DAY + 1, ordinal - FIRST_DAY))
+    while True:
+        ordinal = FIRST_DAY + net("date", LAST_DAY - FIRST_DAY + 1, ordinal - FIRST_DAY)
+        if not late or date.fromordinal(ordinal).day > 12:
+            return date.fromordinal(ordinal)
 
 
 def _iso_date(net, m):
@@ -181,16 +185,17 @@ def _iso_date(net, m):
 
 
 def _numeric_date(net, m):
-    """Day and month first or month first as the value allows; where both fit, day first after a point, else month first."""
+    """Day first after a point, else month first; the other way round where only that is a date, and then after the 12th again."""
     x, a, y, b, year = m.group("x", "a", "m", "b", "y")
     if a != b:
         return None
-    orders = (True, False) if a == "." else (False, True)
-    for day_first in orders:
+    width = 2 if len(x) == len(y) == 2 else 1
+    for other_way in (False, True):
+        day_first = (a == ".") != other_way
         day, month = (x, y) if day_first else (y, x)
-        if fresh := _shift_date(net, int(year), int(month), int(day)):
+        if fresh := _shift_date(net, int(year), int(month), int(day), late=other_way):
             one, two = (fresh.day, fresh.month) if day_first else (fresh.month, fresh.day)
-            return f"{one:02d}{a}{two:02d}{b}{fresh.year:04d}"
+            return f"{one:0{width}d}{a}{two:0{width}d}{b}{fresh.year:04d}"
     return None
 
 
