@@ -51,13 +51,18 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
-def _until(rendered: str, at: int, control: str) -> tuple[int, int]:
-    """Where the text that starts at ``at`` ends, and where the control string behind it ends."""
+def _until(rendered: str, at: int, control: str, before: str = "") -> tuple[int, int]:
+    """Where the text that starts at ``at`` ends, and where the closing ``before + control`` behind it ends."""
+    free = at  # from here on no character is escaped
     for token in _TOKEN.finditer(rendered, at):
         if token.group(2) == control:
-            return token.start(), token.end()
+            end = token.start() - len(before)
+            if end < free or not rendered.startswith(before, end):
+                raise NotATurn(f"no {before!r} before {control}")
+            return end, token.end()
         if token.group(2):
             raise NotATurn(f"{token.group(2)} inside a text")
+        free = token.end()
     raise NotATurn(f"no {control}")
 
 
@@ -77,15 +82,11 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
             at, role, closing = _expect(rendered, at, "[INST] "), "user", " "
         elif rendered.startswith("[ROLE]", at):
             at = _expect(rendered, at, "[ROLE] ")
-            end, after = _until(rendered, at, "[/ROLE]")
-            if end == at or rendered[end - 1] != " ":
-                raise NotATurn("no space before [/ROLE]")
-            role, at = unescape(rendered[at:end - 1]), after
-        end, after = _until(rendered, at, "[/INST]" if closing else "</s>")
+            end, after = _until(rendered, at, "[/ROLE]", " ")
+            role, at = unescape(rendered[at:end]), after
+        end, after = _until(rendered, at, "[/INST]" if closing else "</s>", closing)
         if closing:
-            if end == at or rendered[end - 1] != closing:
-                raise NotATurn("no space before [/INST]")
-            end, after = end - 1, _expect(rendered, after, "</s>")
+            after = _expect(rendered, after, "</s>")
         turns.append((role, unescape(rendered[at:end]), at, end))
         at = after
     return turns
