@@ -208,13 +208,31 @@ def folds(calendar: Calendar, plan: WalkForward) -> list[tuple[int, datetime, da
     return out
 
 
-def fold_members(spark: SparkSession, calendar: Calendar, plan: WalkForward) -> DataFrame:
-    """J6 as a table: (fold, segment, as_of). A date may sit in both segments."""
-    rows = []
-    for fold, start, split, end in folds(calendar, plan):
-        rows += [(fold, "in_sample", d) for d in calendar.dates if start <= d < split]
-        rows += [(fold, "out_of_sample", d) for d in calendar.dates if split <= d < end]
-    return local_table(spark, rows, "fold int, segment string, as_of timestamp_ntz")
+def fold_members(dates: DataFrame, plan: WalkForward) -> DataFrame:
+    """J6 as a table over (as_of): (fold, segment, as_of), one row per fold a date lies in.
+
+    The fold bounds are one row, found from the first and the last date, and every date looks up
+    its folds in it.
+    """
+    def months(n: int) -> Column:
+        return F.make_ym_interval(F.lit(0), F.lit(n))
+
+    ends = dates.agg(F.min("as_of").alias("first"), F.max("as_of").alias("last")).filter("first is not null")
+    steps = F.floor(F.months_between("last", "first") / plan.step_months).cast("int") + 1
+    starts = F.aggregate(F.sequence(F.lit(1), steps), F.array("first"),
+                         lambda done, _: F.concat(done, F.array(F.element_at(done, -1) + months(plan.step_months))))
+    spans = F.transform(starts, lambda s, i: F.struct(
+        i.alias("fold"), s.alias("start"), (s + months(plan.train_months)).alias("split"), (s + months(plan.train_months) + months(plan.test_months)).alias("stop")))
+    bounds = ends.select(F.filter(spans, lambda f: f["split"] <= F.col("last")).alias("folds")).scalar()
+    placed = dates.select("as_of", bounds.alias("folds"))
+    mine = placed.select("as_of", F.explode(F.filter("folds", lambda f: (f["start"] <= F.col("as_of")) & (F.col("as_of") < f["stop"]))).alias("f"))
+    segment = F.when(F.col("as_of") < F.col("f.split"), "in_sample").otherwise("out_of_sample")
+    return mine.select("f.fold", segment.alias("segment"), "as_of")
+
+
+def next_dates(dates: DataFrame) -> DataFrame:
+    """W14 as a table over distinct (as_of): the date that follows each, null after the last."""
+    return dates.select("as_of", F.lead("as_of").over(Window.orderBy("as_of")).alias("next_as_of"))
 
 
 def segments(calendar: Calendar, plan: WalkForward | None) -> dict[str, list[int]]:

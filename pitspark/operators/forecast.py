@@ -147,11 +147,27 @@ def _summed(table: DataFrame, partial) -> DataFrame:
 
 
 def forecast(history: DataFrame, symbols: Sequence[str], calendar: Calendar, nets: Sequence[Network]) -> tuple[DataFrame, DataFrame]:
-    """((net, k, symbol, expected_return, status), (net, k, epoch, loss)).
+    """((net, k, symbol, expected_return, status), (net, k, epoch, loss)).
 
-    A date is degraded for all its symbols when its windows are too few or flat or
+    Networks of one lookback train together, on the windows of that length; ``net`` is the place
+    in ``nets``. A date is degraded for all its symbols when its windows are too few or flat or
     one symbol has no full window and target.
     """
+    groups: dict[int, list[int]] = {}
+    for i, net in enumerate(nets):
+        groups.setdefault(net.lookback, []).append(i)
+    parts = []
+    for places in groups.values():
+        found = _forecast_together(history, symbols, calendar, [nets[i] for i in places])
+        place = F.get(F.array(*map(F.lit, places)), F.col("net"))
+        parts.append(tuple(df.withColumn("net", place) for df in found))
+    rows, trace = parts[0]
+    for more, further in parts[1:]:
+        rows, trace = rows.unionByName(more), trace.unionByName(further)
+    return rows, trace
+
+
+def _forecast_together(history: DataFrame, symbols: Sequence[str], calendar: Calendar, nets: Sequence[Network]) -> tuple[DataFrame, DataFrame]:
     spark, lookback, networks = history.sparkSession, nets[0].lookback, list(nets)
     mine = history.filter(F.col("symbol").isin(list(symbols)))
     # every epoch reads the windows again; a written table survives lost executors

@@ -14,7 +14,7 @@ from ..operators.calendars import Calendar, WalkForward
 from ..operators.forecast import Network, forecast
 from ..operators.universe import cotemporal_dates
 from ..session import local_table, materialise
-from ..sources.runstore import CLAIM
+from ..sources.runstore import CLAIM, experiment_id, read_registry, register
 from .reports import performance_report
 from .runs import leaderboard, records
 
@@ -30,8 +30,10 @@ def sweep_weights(forecasts: DataFrame) -> DataFrame:
 
 
 def run_experiment(prices: DataFrame, symbols: Sequence[str], nets: Sequence[Network], rebalance: str = "monthly",
-                   commission_bps: float = 5.0, periods_per_year: int = 12) -> dict[str, DataFrame]:
-    """Leaderboard, realised performance report and registry entries of a grid.
+                   commission_bps: float = 5.0, periods_per_year: int = 12, registry: str | None = None) -> dict[str, DataFrame]:
+    """Leaderboard, realised performance report, registry entries and window of a grid.
+
+    With a ``registry`` the entries are appended there and read back as ``registered``.
 
     Thin data gives a single status table instead.
     """
@@ -70,7 +72,14 @@ def run_experiment(prices: DataFrame, symbols: Sequence[str], nets: Sequence[Net
 
     settings = [(f"learned_{i}", {"lookback": str(n.lookback), "hidden_units": str(n.hidden), "epochs": str(n.epochs), "seed": str(n.seed), "rebalance": rebalance})
                 for i, n in enumerate(nets)]
-    entries = spark.createDataFrame(settings, "run_id string, config map<string,string>").select(
+    realised_sharpe = report.filter("status = 'ok'").select(F.col("run").alias("run_id"), F.create_map(F.lit("sharpe"), "oos_net_sharpe").alias("metrics"))
+    entries = spark.createDataFrame(settings, "run_id string, config map<string,string>").join(realised_sharpe, "run_id", "left").select(
         F.lit("learned").alias("model_family"), F.col("run_id").alias("strategy_name"), "config", F.array("run_id", F.lit("baseline")).alias("run_ids"),
-        F.array(F.lit("experiment")).alias("tags"), F.lit(CLAIM).alias("claim_boundary"))
-    return {"leaderboard": leaderboard(runs), "report": report, "entries": entries}
+        "metrics", F.array(F.lit("experiment")).alias("tags"), F.lit(CLAIM).alias("claim_boundary"))
+    span = local_table(spark, [(common.dates[0], common.dates[-1])], "start timestamp_ntz, end timestamp_ntz")
+    out = {"leaderboard": leaderboard(runs), "report": report, "entries": entries, "window": span}
+    if registry is not None:
+        register(entries, registry)
+        mine = entries.withColumn("experiment_id", experiment_id(F.col("model_family"), F.col("strategy_name"), F.col("config"))).select("experiment_id")
+        out["registered"] = read_registry(spark, registry).join(mine, "experiment_id", "left_semi")
+    return out

@@ -94,21 +94,29 @@ def performance_report(returns: DataFrame, window: int = 12, periods_per_year: i
     return out.withColumn("status", status).withColumn("claim_boundary", F.lit(CLAIM))
 
 
-def run_summary(runs: DataFrame, run_id: str | None = None, experiments: DataFrame | None = None, top: int = 100) -> DataFrame:
-    """A run with its regime, allocation, out-of-sample metrics and the top of the leaderboard."""
+def run_summary(runs: DataFrame, run_id: str | None = None, experiments: DataFrame | None = None) -> DataFrame:
+    """A run with its regime, allocation, kept rebalance dates, out-of-sample metrics and place on the leaderboard.
+
+    The board itself is a table, :func:`summary_board`, as long as there are runs.
+    """
     active = runs if run_id is None else runs.filter(F.col("run_id") == run_id)
-    board = leaderboard(runs).filter(F.col("rank") <= top).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "run_id", "strategy_name", "oos_net_sharpe", "is_baseline"))).alias("leaderboard")).scalar()
     about = F.col("strategy_metadata")
     label = F.coalesce(about["last_regime"], F.lit("unknown"))
     regime = F.struct(label.alias("label"), F.coalesce(F.try_to_number(about["last_regime_confidence"], F.lit("9.99")).cast("double"), F.lit(0.0)).alias("confidence"))
     rows = active.select(
         F.col("run_id").alias("active_run_id"), "strategy_name", F.coalesce(about["claim_boundary"], F.lit(CLAIM)).alias("claim_boundary"),
-        regime.alias("regime"), F.from_json(about["weights"], "map<string,double>").alias("allocation"), oos_net(F.col("metrics")).alias("oos_net_metrics"),
+        regime.alias("regime"), F.from_json(F.coalesce(about["weights"], about["last_weights"]), "map<string,double>").alias("allocation"),
+        F.from_json(about["rebalance_dates"], "array<string>").alias("rebalance_dates"), oos_net(F.col("metrics")).alias("oos_net_metrics"),
         F.when(about["last_regime"].isNull(), F.array(F.lit("missing_regime_metadata"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
-    out = rows.withColumn("leaderboard", board)
+    out = rows.join(summary_board(runs).select(F.col("run_id").alias("active_run_id"), "rank"), "active_run_id", "left")
     if experiments is not None:
         known = experiments.select("experiment_id", "model_family", F.explode("run_ids").alias("active_run_id"))
         mine = known.groupBy("active_run_id").agg(F.sort_array(F.collect_list(F.struct("model_family", "experiment_id"))).alias("experiments"))
         out = out.join(mine, "active_run_id", "left")
     return out
+
+
+def summary_board(runs: DataFrame) -> DataFrame:
+    """The whole leaderboard, each row with its claim."""
+    claims = runs.select("run_id", F.coalesce(F.col("strategy_metadata")["claim_boundary"], F.lit(CLAIM)).alias("claim_boundary"))
+    return leaderboard(runs).join(claims, "run_id")

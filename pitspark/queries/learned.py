@@ -8,13 +8,14 @@ from ..operators import asof, forecast, weights
 from ..operators.backtest import realised_returns
 from ..operators.forecast import Network
 from ..plans import benchmarks, experiments
+from ..session import scratch_path
 from . import base
 from .base import ASSETS, MONTHLY, QUARTERLY, cte, query, r, rd, sql
 from .returns import CONFIG, index_weights
 from .strategies import index_history
 
-NET = Network(lookback=6, hidden=4, epochs=12, seed=0)
-GRID = [NET, Network(lookback=6, hidden=3, epochs=8, seed=1)]
+NET = Network()
+GRID = [NET, Network(lookback=3, hidden=3, seed=1)]
 
 cte("irets", """SELECT * FROM (SELECT k, symbol, event_date, close / lag(close) OVER (PARTITION BY k, symbol ORDER BY event_date) - 1 AS ret FROM index_hist) WHERE ret IS NOT NULL""", ["index_hist"])
 
@@ -60,12 +61,15 @@ def _(spark, d):
 
 @query("b11_experiment")
 def _(spark, d):
-    out = experiments.run_experiment(base.index_prices(spark, d), ASSETS, GRID)
+    out = experiments.run_experiment(base.index_prices(spark, d), ASSETS, GRID, registry=scratch_path(spark, "registry"))
     if "status" in out:
         return out["status"]
     report = out["report"].select(F.col("run").alias("run_id"), "status", "observations", F.size("learning_curve").alias("epochs"), r("oos_net_sharpe").alias("realised_sharpe"))
     board = out["leaderboard"].select("run_id", r("oos_net_sharpe").alias("engine_sharpe"), "is_baseline")
-    return board.join(report, "run_id")
+    known = out["registered"].select(F.col("strategy_name").alias("run_id"), "experiment_id", r(F.col("metrics")["sharpe"]).alias("registered_sharpe"))
+    window = out["window"].select(F.date_format("start", "yyyy-MM-dd").alias("start"), F.date_format("end", "yyyy-MM-dd").alias("end")).first()
+    return (board.join(report, "run_id").join(known, "run_id", "left")
+            .withColumn("start", F.lit(window["start"])).withColumn("end", F.lit(window["end"])))
 
 
 @query("w15_realised_returns", sql("wi_all index_hist", f"""

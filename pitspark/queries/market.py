@@ -287,7 +287,7 @@ _PLAN = calendars.WalkForward(36, 12, 12)
     folds="SELECT fold, start, start + INTERVAL 36 MONTH AS split FROM walk WHERE start + INTERVAL 36 MONTH <= (SELECT max(d) FROM x)"))
 def _(spark, d):
     ends = base.table(spark, d, "orders").select(F.last_day("o_orderdate").cast("timestamp_ntz").alias("as_of")).distinct()
-    members = calendars.fold_members(spark, Calendar.collect(ends), _PLAN)
+    members = calendars.fold_members(ends, _PLAN)
     return members.select(F.col("fold").cast("long").alias("fold"), "segment", day("as_of").alias("as_of"))
 
 
@@ -299,7 +299,7 @@ def _(spark, d):
     folds="SELECT fold, start, start + INTERVAL 36 MONTH AS split FROM walk WHERE start + INTERVAL 36 MONTH <= (SELECT max(d) FROM x)"))
 def _(spark, d):
     ends = base.table(spark, d, "orders").select(F.last_day("o_orderdate").cast("timestamp_ntz").alias("as_of")).distinct()
-    members = calendars.fold_members(spark, Calendar.collect(ends), _PLAN)
+    members = calendars.fold_members(ends, _PLAN)
     return members.select("segment", day("as_of").alias("as_of")).distinct()
 
 
@@ -317,5 +317,5 @@ def _(spark, d):
     SELECT {D.format('event_date')} AS as_of, {D.format('lead(event_date) OVER (ORDER BY event_date)')} AS next_as_of
     FROM (SELECT DISTINCT event_date FROM prices)"""))
 def _(spark, d):
-    replay = Calendar.collect(base.prices(spark, d).select(F.col("event_date").alias("as_of")).distinct())
-    return replay.frame(spark).select(day("as_of").alias("as_of"), day("next_as_of").alias("next_as_of"))
+    dates = base.prices(spark, d).select(F.col("event_date").alias("as_of")).distinct()
+    return calendars.next_dates(dates).select(day("as_of").alias("as_of"), day("next_as_of").alias("next_as_of"))

@@ -267,8 +267,14 @@ def _(spark, d):
 
 
 @query("b12_run_summary", sql("wi_all index_legs seg", f"""
-    SELECT run AS active_run_id, 'unknown' AS label, {rd('sharpe')} AS sharpe, 4 AS leaderboard_rows FROM metric WHERE segment = 'out_of_sample'""", **_FOUR))
+    SELECT run AS active_run_id, 'unknown' AS label, {rd('sharpe')} AS sharpe, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, run) AS rank, 'no_alpha_claim' AS claim_boundary,
+      'missing_regime_metadata' AS warnings, count(*) OVER () AS leaderboard_rows, run || '-x' AS experiments
+    FROM metric WHERE segment = 'out_of_sample'""", **_FOUR))
 def _(spark, d):
-    summary = reports.run_summary(four_runs(spark, d))
+    runs = four_runs(spark, d)
+    tried = runs.select(F.concat("run_id", F.lit("-x")).alias("experiment_id"), F.lit("f").alias("model_family"), F.array("run_id").alias("run_ids"))
+    summary = reports.run_summary(runs, experiments=tried)
+    rows = reports.summary_board(runs).agg(F.count("*").alias("n")).scalar()
     return summary.select("active_run_id", F.col("regime.label").alias("label"), r(F.col("oos_net_metrics.sharpe")).alias("sharpe"),
-                          F.size("leaderboard").alias("leaderboard_rows"))
+                          F.col("rank").cast("long").alias("rank"), "claim_boundary", F.array_join("warnings", ",").alias("warnings"),
+                          rows.alias("leaderboard_rows"), F.col("experiments")[0]["experiment_id"].alias("experiments"))

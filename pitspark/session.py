@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -18,15 +17,13 @@ SETTINGS = {
 }
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "pitspark") -> SparkSession:
-    """A single-JVM session for tests and the bench; a cluster brings its own."""
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "pitspark", scratch: str = "/tmp/pitspark") -> SparkSession:
+    """A single-JVM session for tests and the bench; a cluster brings its own, with ``spark.checkpoint.dir`` set."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", f"{scratch}/{uuid.uuid4().hex}")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SETTINGS.items():
@@ -35,20 +32,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` as the cluster set it.
+    """Folder every executor can reach: ``spark.checkpoint.dir`` as the session has it.
 
-    Only a local master may fall back to a temporary folder, because there every
-    task runs on this machine.
+    Where it is unset, as in a plain local session, a folder of the warehouse, which
+    driver and executors share as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="pitspark-")
-    return _LOCAL_FOLDERS[application]
+    return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

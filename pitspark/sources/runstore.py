@@ -19,10 +19,13 @@ def checked_sharpe(metrics: Column) -> Column:
 
 
 def prepare_runs(records: DataFrame) -> DataFrame:
-    """Generated ids where missing, Sharpe extracted, write time stamped."""
+    """Generated ids where missing, Sharpe extracted, and the place in the log: time of the write, then row of the write.
+
+    One driver writes a log, so times of writes do not depend on two clocks.
+    """
     run_id = F.when(F.length(F.coalesce("run_id", F.lit(""))) > 0, F.col("run_id")).otherwise(F.replace(F.uuid(), F.lit("-"), F.lit("")))
     return (records.withColumn("run_id", run_id).withColumn("oos_net_sharpe", checked_sharpe(F.col("metrics")))
-            .withColumn("write_seq", F.unix_micros(F.current_timestamp())))
+            .withColumn("write_seq", F.struct(F.unix_micros(F.current_timestamp()).alias("at"), F.monotonically_increasing_id().alias("row"))))
 
 
 def log_runs(records: DataFrame, path: str) -> None:
@@ -66,7 +69,10 @@ def new_experiments(entries: DataFrame, registered: DataFrame) -> DataFrame:
         blank, F.raise_error(F.lit("model_family and strategy_name are required")).cast("string"))
     known = entries.withColumn("claim_boundary", F.coalesce(checked, F.col("claim_boundary")))
     named = known.withColumn("experiment_id", experiment_id(F.col("model_family"), F.col("strategy_name"), F.col("config")))
-    first = named.dropDuplicates(["experiment_id"])
+    # of entries with one id the first in the order given counts
+    others = [c for c in named.columns if c != "experiment_id"]
+    first = (named.withColumn("entry", F.monotonically_increasing_id()).groupBy("experiment_id")
+             .agg(F.min_by(F.struct(*others), "entry").alias("row")).select("experiment_id", "row.*"))
     return first.join(registered.select("experiment_id"), "experiment_id", "left_anti").select(*EXPERIMENT.fieldNames())
 
 
