@@ -65,7 +65,7 @@ class Calendar:
         """Period ends inside [start, end]; semiannual is every second quarter end."""
         start, end = as_timestamp(start), as_timestamp(end)
         if frequency not in PERIODS_PER_YEAR:
-            raise ValueError(f"unsupported rebalance frequency: {frequency}")
+            raise ValueError(f"no rebalancing known by the name {frequency}")
         months = 1 if frequency == "monthly" else 3
         out, year, month = [], start.year, start.month
         while datetime(year, month, 1) <= end:
@@ -158,7 +158,7 @@ def every_nth(dates: DataFrame, frequency: str | None) -> DataFrame:
     if frequency is None:
         return dates.filter(F.lit(False))
     if frequency not in DATE_STEP:
-        raise ValueError(f"unsupported rebalance frequency: {frequency}")
+        raise ValueError(f"no rebalancing known by the name {frequency}")
     rank = F.row_number().over(Window.orderBy("as_of"))
     return dates.withColumn("rank", rank).filter(F.col("rank") % DATE_STEP[frequency] == 0).drop("rank")
 
@@ -166,7 +166,7 @@ def every_nth(dates: DataFrame, frequency: str | None) -> DataFrame:
 def on_change_or_due(labelled: DataFrame, frequency: str | None) -> DataFrame:
     """First date, dates due by time, and dates whose label left the previous one."""
     if frequency is not None and frequency not in DATE_STEP:
-        raise ValueError(f"unsupported rebalance frequency: {frequency}")
+        raise ValueError(f"no rebalancing known by the name {frequency}")
     order = Window.orderBy("as_of")
     rank = F.row_number().over(order)
     due = F.lit(False) if frequency is None else F.col("rank") % DATE_STEP[frequency] == 0
@@ -178,7 +178,7 @@ def on_change_or_due(labelled: DataFrame, frequency: str | None) -> DataFrame:
 def require_labels(dates: DataFrame, labels: DataFrame) -> DataFrame:
     """Every date must carry a label; a missing one stops the job."""
     joined = dates.join(labels, "as_of", "left")
-    known = F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("missing regime label for "), F.col("as_of").cast("string"))))
+    known = F.when(F.col("label").isNull(), F.raise_error(F.concat(F.lit("no label known on "), F.col("as_of").cast("string"))))
     return joined.withColumn("label", F.coalesce("label", known.cast("string")))
 
 

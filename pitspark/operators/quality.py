@@ -26,7 +26,7 @@ def source_symbols(records: DataFrame) -> DataFrame:
     A blank source or symbol is an error.
     """
     clean = records.withColumn("source", F.lower(F.trim("source"))).withColumn("symbol", F.trim("symbol"))
-    wrong = F.when((F.col("source") == "") | (F.col("symbol") == ""), F.raise_error("source and symbol are required").cast("string"))
+    wrong = F.when((F.col("source") == "") | (F.col("symbol") == ""), F.raise_error("a health row names its source and its symbol").cast("string"))
     return clean.withColumn("source", F.coalesce(wrong, F.col("source"))).groupBy("source", "symbol").agg(
         F.min("seq").alias("first"), F.count("*").alias("n"), F.max(F.struct("seq", "status", "default_enabled", "reason")).alias("last"))
 
@@ -159,10 +159,10 @@ def metric_drift(reference: DataFrame, current: DataFrame, threshold: float) ->
     metric is an error.
     """
     if threshold <= 0:
-        raise ValueError("drift threshold must be positive")
+        raise ValueError("drift is measured against a threshold above zero")
     pairs = reference.withColumnRenamed("value", "before").join(current.withColumnRenamed("value", "now"), ["experiment_id", "metric"], "full")
     delta = F.col("now") - F.col("before")
     out = pairs.groupBy("experiment_id").agg(F.count(delta).alias("metrics"), F.max(F.abs(delta)).alias("largest"))
-    void = F.when(F.col("metrics") == 0, F.raise_error(F.concat(F.lit("no overlapping metrics for "), F.col("experiment_id"))).cast("string"))
+    void = F.when(F.col("metrics") == 0, F.raise_error(F.concat(F.lit("nothing to compare: no metric in common in "), F.col("experiment_id"))).cast("string"))
     return out.select("experiment_id", "metrics", "largest", F.coalesce(
         void, F.when(F.col("largest") > threshold, "drift_detected").otherwise("stable")).alias("status"))

@@ -37,7 +37,7 @@ def hedge_slice(prices: DataFrame, config: Backtest, *, target: str, hedge_fract
 
 def _enough(calendar: Calendar, what: str) -> None:
     if len(calendar) < 12:
-        raise ValueError(f"{what} requires at least 12 price dates")
+        raise ValueError(f"{what}: fewer than a year of monthly dates")
 
 
 def regime_benchmark(prices: DataFrame, macro: DataFrame, candidates: Calendar, *, risk_symbol: str, defensive_symbol: str,

@@ -105,8 +105,6 @@ def _(spark, d):
     return rows.groupBy("kind", "name").agg(F.count("*").alias("n"), r(F.max("v")).alias("top"))
 
 
-_ALT = "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents"
-
 
 def alt_rows(spark, d):
     events = base.table(spark, d, "events")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -56,6 +58,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` reads, or nothing where its path has not been written yet."""
+    try:
+        return read()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

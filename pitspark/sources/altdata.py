@@ -19,8 +19,8 @@ def check_contracts(contracts: DataFrame) -> DataFrame:
     for name in ("source", "dataset", "authority_url", "pin"):
         blank = blank | (F.trim(F.coalesce(name, F.lit(""))) == "")
     loose = F.coalesce("claim_boundary", F.lit(BOUNDARY)) != BOUNDARY
-    wrong = (F.when(blank, F.raise_error(F.lit("a contract field is required")).cast("string"))
-             .when(loose, F.raise_error(F.lit("contracts must remain source_contract_status_only")).cast("string")))
+    wrong = (F.when(blank, F.raise_error(F.lit("a contract states its source, dataset, authority and pin")).cast("string"))
+             .when(loose, F.raise_error(F.lit("a contract claims no more than its status")).cast("string")))
     twice = contracts.groupBy("source", "dataset").agg(F.count("*").alias("n"))
     repeated = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("duplicate contract "), F.col("source"), F.lit("/"), F.col("dataset"))).cast("string"))
     known = twice.withColumn("source", F.coalesce(repeated, F.col("source"))).select("source", "dataset")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_hash, oos_net
 from ..schemas import EXPERIMENT
+from ..session import read_if_there
 
 CLAIM = "no_alpha_claim"
 
@@ -63,10 +64,10 @@ def experiment_id(family: Column, strategy: Column, config: Column) -> Column:
 
 def new_experiments(entries: DataFrame, registered: DataFrame) -> DataFrame:
     """Entries whose id is not registered yet, once each."""
-    refused = F.raise_error(F.lit("the registry only accepts no_alpha_claim entries")).cast("string")
+    refused = F.raise_error(F.lit("entries of an experiment registry carry the claim no_alpha_claim")).cast("string")
     blank = (F.trim("model_family") == "") | (F.trim("strategy_name") == "")
     checked = F.when(F.col("claim_boundary") != CLAIM, refused).when(
-        blank, F.raise_error(F.lit("model_family and strategy_name are required")).cast("string"))
+        blank, F.raise_error(F.lit("an entry names its family and its strategy")).cast("string"))
     known = entries.withColumn("claim_boundary", F.coalesce(checked, F.col("claim_boundary")))
     named = known.withColumn("experiment_id", experiment_id(F.col("model_family"), F.col("strategy_name"), F.col("config")))
     # of entries with one id the first in the order given counts
@@ -84,10 +85,8 @@ def register(entries: DataFrame, path: str) -> None:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """S12"""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-        return spark.createDataFrame([], EXPERIMENT)
-    return spark.read.schema(EXPERIMENT).json(path)
+    found = read_if_there(lambda: spark.read.schema(EXPERIMENT).json(path))
+    return spark.createDataFrame([], EXPERIMENT) if found is None else found
 
 
 def ordered(registry: DataFrame) -> DataFrame:

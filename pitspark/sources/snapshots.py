@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import SNAPSHOT
+from ..session import read_if_there
 
 KEY = ["available_date", "source"]
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Stored snapshots, partitioned by available_date; empty before the first write."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
+    stored = read_if_there(lambda: spark.read.schema(SNAPSHOT).option("basePath", path).parquet(path))
+    if stored is None:
         return spark.createDataFrame([], SNAPSHOT)
-    stored = spark.read.schema(SNAPSHOT).option("basePath", path).parquet(path)
     return stored.withColumn("available_date", F.col("available_date").cast("string")).select(*SNAPSHOT.fieldNames())
 
 
@@ -27,18 +27,24 @@ def outcomes(records: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def unseen(records: DataFrame, stored: DataFrame) -> DataFrame:
-    """The records to write. Of several new ones for a key the earliest capture counts."""
+    """The records to write. Of several new ones for a key the earliest capture counts.
+
+    Known keys leave before the payloads are reduced, so a day sent again moves no payload twice.
+    """
     others = [c for c in SNAPSHOT.fieldNames() if c not in KEY]
-    first = records.groupBy(*KEY).agg(F.min(F.struct("captured_at", *[c for c in others if c != "captured_at"])).alias("row"))
-    first = first.select(*KEY, "row.*").select(*SNAPSHOT.fieldNames())
-    return first.join(stored.select(*KEY), KEY, "left_anti")
+    new = records.join(stored.select(*KEY).distinct(), KEY, "left_anti")
+    first = new.groupBy(*KEY).agg(F.min(F.struct("captured_at", *[c for c in others if c != "captured_at"])).alias("row"))
+    return first.select(*KEY, "row.*").select(*SNAPSHOT.fieldNames())
 
 
 def write_snapshots(records: DataFrame, path: str) -> None:
-    """Append what is new. Stored rows are never rewritten; the committer makes the append atomic."""
+    """Append what is new. Stored rows are never rewritten; a store has one writer at a time.
+
+    A day's rows go to few files: rows are rebalanced by day, and only a large day is split.
+    """
     days = records.select("available_date").distinct()
     stored = read_store(records.sparkSession, path).join(days, "available_date", "left_semi")
-    (unseen(records, stored).repartition("available_date", "source")
+    (unseen(records, stored).hint("rebalance", "available_date")
      .write.mode("append").partitionBy("available_date").parquet(path))
 
 

@@ -51,7 +51,7 @@ def test_regime_schedule_fires_first_due_and_changed(spark):
 def test_missing_label_stops_the_job(spark):
     days = spark.createDataFrame([(d("2020-01-31"),), (d("2020-02-29"),)], "as_of timestamp_ntz")
     labels = spark.createDataFrame([(d("2020-01-31"), "on")], "as_of timestamp_ntz, label string")
-    with pytest.raises(Exception, match="missing regime label"):
+    with pytest.raises(Exception, match="no label known"):
         c.require_labels(days, labels).collect()
 
 

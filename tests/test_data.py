@@ -187,7 +187,7 @@ def test_registry_appends_once(spark, tmp_path):
     runstore.register(spark.createDataFrame([swapped], schema), path)
     rows = runstore.read_registry(spark, path).collect()
     assert len(rows) == 1 and len(rows[0]["experiment_id"]) == 16 and rows[0]["run_ids"] == ["r"]
-    with pytest.raises(Exception, match="no_alpha_claim"):
+    with pytest.raises(Exception, match="carry the claim"):
         runstore.register(spark.createDataFrame([entry[:5] + ("alpha", ["t"])], schema), path)
 
 
