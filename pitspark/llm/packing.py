@@ -31,41 +31,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, even_parts, materialise
+from .common import documents, even_parts, materialise, slices
 
 END_ID = b"\0\0\0\0"
 REMEMBERED = 600_000
 LONGEST = 64
+TOGETHER = 64
+
+
+def _bare(word: bytes) -> bytes:
+    """``word`` without the signs at its end, if a letter or digit comes before them: the pre-tokenizer cuts there as well."""
+    bare = word.rstrip(b".,;:!?*#$%&|()[]\"-+=/")
+    if not bare or len(bare) == len(word) or not (bare[-1:].isalnum() or bare[-1] > 127 and bare.decode()[-1].isalpha()):
+        return word
+    return bare
 
 
 class _Ids(dict):
-    """word bytes -> little-endian 32-bit ids; the older of two generations is forgotten."""
+    """word bytes -> little-endian 32-bit ids; the older of two generations is forgotten.
+
+    New words of letters only go to the tokenizer many at a time, separated by spaces: each is one piece there,
+    so the ids that end a piece tell them apart.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
-        if ids is None and len(word) > 1 and word[-1:] in b".,;!?" and word[-2:-1].isalnum():
-            ids = self[word[:-1]] + self[word[-1:]]  # the pre-tokenizer cuts here as well
+        if ids is None and (bare := _bare(word)) != word:
+            ids = self[bare] + self[word[len(bare):]]
         if ids is None:
-            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
+    def learn(self, words: set[bytes]) -> None:
+        bare = {_bare(w) for w in words if w not in self}
+        fresh = [w for w in (w.decode() for w in bare if len(w) <= LONGEST and w not in self and w not in self.older) if w.isalpha()]
+        chunks = [fresh[i:i + TOGETHER] for i in range(0, len(fresh), TOGETHER)]
+        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(chunk) and ends[-1] == len(ids):  # else they are asked for one by one
+                start = 0
+                for word, end in zip(chunk, ends.tolist()):
+                    self[word.encode()] = ids[start:end].tobytes()
+                    start = end
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
         if len(self) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-        raw = text.encode()
-        if b"<|" not in raw:  # special tokens are told apart by case
-            raw = raw.lower()
-        return b"".join(map(self.__getitem__, raw.split())) + END_ID
+        split = []
+        for text in texts:
+            raw = text.encode()
+            split.append((raw if b"<|" in raw else raw.lower()).split())  # special tokens are told apart by case
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) + END_ID for words in split]
+
+    def of(self, text: str) -> bytes:
+        return self.of_all([text])[0]
 
 
 _IDS: dict[str, _Ids] = {}
@@ -84,15 +117,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: s
     def run(batches):
         if tokenizer_path not in _IDS:
             _IDS[tokenizer_path] = _Ids(tokenizer_path)
-        ids_of = _IDS[tokenizer_path].of
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = ids_of(text.as_py())
+            for doc, ids in zip(part.column("doc_id").to_pylist(), _IDS[tokenizer_path].of_all(part.column("text").to_pylist())):
                 view = memoryview(ids)
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = view[at:at + 4 * capacity]
-                    rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))
+                    piece = view[at:at + 4 * capacity]
+                    rows.append((doc, n, at // 4, len(piece) // 4, zlib.crc32(piece)))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
