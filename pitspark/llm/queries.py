@@ -25,7 +25,26 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op7_quality")
+@query("op7_quality", f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+w AS (SELECT row, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+g AS (SELECT row, n, i, array_to_string(words[i:i + n - 1], ' ') AS gram FROM (
+        SELECT row, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM d, (VALUES (3), (5), (6), (7), (8), (9), (10)) v(n) WHERE len(words) >= n)),
+r AS (SELECT *, count(*) OVER (PARTITION BY row, n, gram) AS times, row_number() OVER (PARTITION BY row, n, gram ORDER BY i) AS place FROM g),
+c AS (SELECT DISTINCT row, n, unnest(range(i, i + n)) AS pos FROM r WHERE CASE n WHEN 3 THEN times > 1 ELSE place > 1 END),
+covered AS (SELECT row, n, count(*) AS words, sum(length(word)) AS chars FROM c JOIN w USING (row, pos) GROUP BY row, n),
+worst AS (SELECT row, sum(CASE n WHEN 3 THEN words ELSE 0 END) AS n_repeat_words, max(CASE n WHEN 3 THEN 0 ELSE chars END) AS chars FROM covered GROUP BY row),
+size AS (SELECT row, sum(length(word)) AS word_chars FROM w GROUP BY row),
+l AS (SELECT row, line, row_number() OVER (PARTITION BY row, line) AS nth FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (SELECT row, count(*) AS n_dup_lines, sum(length(line)) AS chars FROM l WHERE nth > 1 GROUP BY row),
+m AS (SELECT d.row, doc_id, len(words)::bigint AS n_words, coalesce(word_chars, 0)::bigint AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint AS n_symbols,
+             coalesce(n_dup_lines, 0)::bigint AS n_dup_lines, coalesce(n_repeat_words, 0)::bigint AS n_repeat_words,
+             coalesce(worst.chars, 0)::double / greatest(coalesce(word_chars, 0), 1) AS share, coalesce(lines.chars, 0)::double / greatest(length(text), 1) AS line_share
+      FROM d LEFT JOIN worst USING (row) LEFT JOIN size USING (row) LEFT JOIN lines USING (row)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_symbols <= 0.1::double * n_words AND line_share <= 0.25::double AND share <= 0.25::double AS kept FROM v""")
 def op7_quality(spark, sf_dir):
     got = quality.quality_rules(dataset(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
