@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Words, documents, fold_ascii, materialise, mix, slices, text_bytes
 
 K, MIN_COUNT = 5, 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CODE_BYTES = 6
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _FIRST = np.uint64(1 << 31)  # in an answer: this block is the first that holds the bigram
