@@ -8,15 +8,15 @@ registers tell of a large Jaccard similarity.
 1. One row per document: set size, a 128-bit fingerprint of the set and the registers, written once.
    Documents with one set are one class from here on (combined map-side), so copies, however
    many, cost one row each and are never paired.
-2. Classes meet where all registers of a band agree. In each bucket every class is paired with the one
-   of the smallest id; over all bands a class keeps the pair with the smallest id.
+2. Classes meet where all registers of a band agree. The class that meets most others is each class's first
+   candidate.
 3. For each pair the similarity is estimated from the counts of larger, smaller and equal registers
    and both set sizes, by maximum likelihood; pairs five standard errors below the threshold go.
    The others are verified on the full sets.
-4. Verified links give components (least labels with pointer jumping). Then every bucket that still holds
-   more than one component pairs its classes across components, all of them, again estimated and
-   verified, and the components are joined. So two classes of a bucket end in one component or have been
-   judged; the number of pairs follows the classes plus the near misses.
+4. Verified links give components (least labels with pointer jumping). In buckets that still hold more than one, a
+   drawn member of the largest is tried with one of each other. What is left, the classes of buckets
+   with several components, are paired across components on their rarest shingles, which loses no link
+   and keeps apart the many texts that share one frequent passage.
 
 A link at the threshold is missed only if no band agrees: for 32 bands of 4 and 0.75,
 in 5 of 1,000,000 cases.
@@ -172,6 +172,90 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components after further links: only the graph of labels that they connect is gone through."""
+    if links.isEmpty():
+        return label
+    if label is None:
+        return components(links)
+
+    def named(side: str) -> DataFrame:
+        return label.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+
+    ends = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    between = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a != b").distinct()
+    moved = components(between).toDF("from", "to")
+    known = label.unionByName(moved.select(F.col("from").alias("node"), F.col("from").alias("label")).join(label.select("node"), "node", "left_anti"))
+    return materialise(known.join(moved, known.label == moved["from"], "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _open(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """(bucket, set_key, label) of the buckets that still hold more than one component."""
+    if label is None:
+        placed = shared.select("bucket", "set_key", F.col("set_key").alias("label"))
+    else:
+        placed = shared.join(label, shared.set_key == label.node, "left").select("bucket", "set_key", F.coalesce("label", "set_key").alias("label"))
+    bucket = Window.partitionBy("bucket")
+    several = placed.withColumn("low", F.min("label").over(bucket)).withColumn("high", F.max("label").over(bucket)).filter("low != high")
+    return materialise(several.select("bucket", "set_key", "label"), "open")
+
+
+def _drawn(seats: DataFrame, draws: int = 2) -> DataFrame:
+    """Pairs (a, b): in each bucket drawn members of the largest component with one of every other component."""
+    lots = [F.min(F.struct(F.xxhash64("bucket", "set_key", F.lit(i)).alias("h"), "set_key")).alias(f"d{i}") for i in range(draws)]
+    groups = seats.groupBy("bucket", "label").agg(F.count("*").alias("n"), *lots)
+    main = F.max(F.struct("n", "label", *(f"d{i}" for i in range(draws)))).over(Window.partitionBy("bucket"))
+    others = groups.withColumn("main", main).filter(F.col("label") != F.col("main.label"))
+    return others.select(F.explode(F.array(*(F.col(f"main.d{i}.set_key") for i in range(draws)))).alias("a"), F.col("d0.set_key").alias("b")).distinct()
+
+
+def _by_rare_shingles(seats: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that can still be similar, exactly.
+
+    Order every set by rarity. Of two similar sets the larger then shares a shingle of its first n - ceil(t n) + 1 with
+    the first n - ceil(2t / (1 + t) n) + 1 of the smaller, and what follows both places must suffice for the overlap. So
+    texts that have one frequent passage in common, but not their rare shingles, never meet.
+    """
+    wanted = seats.select("set_key", "label").distinct()
+    schema = "set_key binary, label binary, n int, shingle long"
+
+    def run(batches):
+        for batch in batches:
+            for key, label, raw in zip(*(batch.column(c) for c in ("set_key", "label", "elements"))):
+                values = np.frombuffer(raw.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(values), pa.binary()), pa.array([label.as_py()] * len(values), pa.binary()),
+                                                  pa.array(np.full(len(values), len(values), np.int32)), pa.array(values)], ["set_key", "label", "n", "shingle"])
+
+    every = sets.join(wanted, "set_key").select("set_key", "label", "elements").mapInArrow(run, schema)
+    common = every.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).filter("df > 1")
+    rarest = Window.partitionBy("set_key").orderBy("df", "shingle")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("set_key"))  # those of one class only stand first and match nothing
+    n, t = F.col("n").cast("long"), percent
+
+    def up(top, bottom):
+        return F.ceil(top / bottom).cast("long")
+
+    prefix = (common.withColumn("place", F.row_number().over(rarest) + alone)
+              .withColumn("first", F.col("place") <= n - up(2 * t * n, F.lit(100 + t)) + 1)
+              .filter(F.col("place") <= n - up(t * n, F.lit(100)) + 1))
+    per = Window.partitionBy("shingle", "label")
+    biggest = F.max(F.struct(F.col("members"), F.col("label"))).over(Window.partitionBy("shingle"))["label"]
+    low, high = F.min("label").over(Window.partitionBy("shingle")), F.max("label").over(Window.partitionBy("shingle"))
+    meeting = materialise(prefix.withColumn("members", F.count("*").over(per)).withColumn("main", F.col("label") == biggest)
+                          .withColumn("several", low != high).filter("several").select("shingle", "set_key", "label", "n", "place", "first", "main"), "meeting")
+    names = ["shingle", "key", "label", "n", "place", "first", "main"]
+    x = meeting.toDF("shingle", *(f"{c}_a" for c in names[1:])).filter("first_a")
+    y = meeting.toDF("shingle", *(f"{c}_b" for c in names[1:]))
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    needed = up(t * (F.col("n_a") + F.col("n_b")).cast("long"), F.lit(100 + t))
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    fits = order & (F.col("label_a") != F.col("label_b")) & (100 * F.col("n_a") >= t * F.col("n_b")) & (left >= needed)
+    # members of the largest component of a shingle do not meet each other
+    pairs = x.filter("not main_a").join(y, "shingle").filter(fits).select("key_a", "key_b").unionByName(
+        x.filter("main_a").join(y.filter("not main_b"), "shingle").filter(fits).select("key_a", "key_b"))
+    return pairs.toDF("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, registers: int = REGISTERS, band: int = BAND,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id (smallest id reachable), kept."""
@@ -181,27 +265,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, register
     classes = materialise(found.filter("n_shingles > 0").groupBy("set_key", "n_shingles").agg(first.alias("first"), F.min("sketch").alias("sketch"))
                           .select("set_key", "n_shingles", "first.doc_id", "first.text_key", "sketch"), "classes")
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 2 * band * i + 1, 2 * band)) for i in range(registers // band)))
-    banded = classes.select("set_key", F.col("doc_id").isNull().alias("no_id"), "doc_id", F.explode(keys).alias("bucket"))
     bucket = Window.partitionBy("bucket")
-    # the smallest id of the bucket; ties by the set's fingerprint
-    leader = F.min(F.struct("no_id", "doc_id", "set_key")).over(bucket)
-    shared = materialise(banded.withColumn("leader", leader).withColumn("size", F.count("*").over(bucket)).filter("size > 1")
-                         .select("bucket", "set_key", "leader"), "buckets")
-    stars = (shared.filter(F.col("leader.set_key") != F.col("set_key")).groupBy(F.col("set_key").alias("b")).agg(F.min("leader").alias("leader"))
-             .select(F.col("leader.set_key").alias("a"), "b"))
-    needed = classes.join(shared.select("set_key").distinct(), "set_key").select("set_key", "doc_id", "text_key")
+    shared = materialise(classes.select("set_key", F.explode(keys).alias("bucket")).withColumn("size", F.count("*").over(bucket))
+                         .filter("size > 1"), "buckets")
+    needed = materialise(classes.join(shared.groupBy("set_key").agg(F.sum("size").alias("met")), "set_key"), "needed")
     sets = materialise(_sets(docs, needed, width, id_col, text_col), "sets")
-    links = materialise(_verified(_plausible(stars, classes, threshold, registers), sets, percent), "verified")
-    label = components(links)
-    placed = materialise(shared.join(label, shared.set_key == label.node, "left")
-                         .select("bucket", "set_key", F.coalesce("label", "set_key").alias("label")), "placed")
-    open_buckets = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-    left = materialise(placed.join(open_buckets, "bucket"), "open")
-    x, y = left.select("bucket", F.col("set_key").alias("a"), F.col("label").alias("la")), left.select("bucket", F.col("set_key").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, "bucket").filter("la < lb").select("a", "b").distinct()
-    more = materialise(_verified(_plausible(across, classes, threshold, registers), sets, percent), "verified")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    # the class that meets most others stands in the middle of its group: everybody's first candidate
+    seats = shared.join(needed.select("set_key", "met"), "set_key")
+    pairs = (seats.withColumn("centre", F.max(F.struct("met", "set_key")).over(bucket)).groupBy(F.col("set_key").alias("b"))
+             .agg(F.max("centre").alias("c")).select(F.col("c.set_key").alias("a"), "b").filter("a != b"))
+    label = _relabelled(None, materialise(_verified(_plausible(pairs, needed, threshold, registers), sets, percent), "verified"))
+    for candidates in (_drawn, lambda seats: _by_rare_shingles(seats, sets, percent)):
+        pairs = candidates(_open(shared, label))
+        label = _relabelled(label, materialise(_verified(_plausible(pairs, needed, threshold, registers), sets, percent), "verified"))
+    if label is None:
+        label = classes.select(F.col("set_key").alias("node"), F.col("set_key").alias("label")).limit(0)
     members = classes.join(label, classes.set_key == label.node, "left").select("set_key", "doc_id", F.coalesce("label", "set_key").alias("label"))
     smallest = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     answer = members.join(smallest, "label").select("set_key", "component_id")
