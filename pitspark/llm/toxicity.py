@@ -29,6 +29,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,8 @@ LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "
 SEPARATORS = " .-_*~'\"/\\,"
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_~`/\\"
 SUBSTITUTED, SEPARATED, REPEATED, KEPT_SIGN = -1.5, -0.5, -2.0, -12.0
-LONGEST = 40
-REMEMBERED = 200_000
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 40  # tokens kept with their result; longer ones are restored each time
+SETTLED = 64
 _MARKED = re.compile(r"[0-9@$!|+€£.\-_*~'\"/\\,]|(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 
@@ -93,7 +94,7 @@ def readings(c: str, before: str) -> list[tuple[str, float]]:
 def restore(token: str, model: CharModel) -> str:
     """The likeliest word behind ``token`` (lower case), or words if its separators are spaces."""
     paths: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
-    before = ""
+    before, settled, longest = "", [], 0
     for c in token:
         reached: dict[tuple[str, str], tuple[float, str]] = {}
         for (a, b), (score, text) in paths.items():
@@ -106,10 +107,15 @@ def restore(token: str, model: CharModel) -> str:
                     to, gain, out = (b, letter), score + cost + model.logp(a, b, letter), text + letter
                 if to not in reached or reached[to][0] < gain:
                     reached[to] = (gain, out)
-        paths = reached
+        paths, longest = reached, longest + 1
+        if longest >= SETTLED:  # what all paths have in common is certain and need not be carried on
+            common = commonprefix([text for _, text in paths.values()])
+            settled.append(common)
+            paths = {to: (score, text[len(common):]) for to, (score, text) in paths.items()}
+            longest = max(len(text) for _, text in paths.values())
         if c != " ":
             before = c if c not in SEPARATORS else before
-    return max((score + model.logp(a, b, "^"), text) for (a, b), (score, text) in paths.items())[1]
+    return "".join(settled) + max((score + model.logp(a, b, "^"), text) for (a, b), (score, text) in paths.items())[1]
 
 
 def restored(token: str, model: CharModel) -> list[str]:
@@ -117,7 +123,7 @@ def restored(token: str, model: CharModel) -> list[str]:
     if " " in token:
         return restore(token, model).split()
     word = token.rstrip(EDGE).lstrip(EDGE.replace("$", ""))  # a sign in front may be a letter
-    if 2 < len(word) <= LONGEST and not word.isdecimal() and _MARKED.search(word):
+    if 2 < len(word) and not word.isdecimal() and _MARKED.search(word):
         return restore(word, model).split()
     return [word] if word else []
 
@@ -131,7 +137,7 @@ def tokens(text: str) -> set[str]:
     """Distinct tokens of a text, and its runs of single characters as one token each."""
     low = text.lower()
     found = set(low.split())
-    found.update(re.sub(r"\s", " ", m.group()) for m in _SPACED.finditer(low) if len(m.group()) <= 2 * LONGEST)
+    found.update(re.sub(r"\s", " ", m.group()) for m in _SPACED.finditer(low))
     return found
 
 
@@ -143,20 +149,24 @@ class _Features(dict):
         self.model = model
 
     def __missing__(self, token: str) -> list[str]:
-        found = self[token] = [f for w in restored(token, self.model) for f in features(w)]
+        found = [f for w in restored(token, self.model) for f in features(w)]
+        if len(token) <= REMEMBERED_LENGTH:
+            self[token] = found
         return found
 
 
 class _Evidence(dict):
-    """token -> largest weight of the words behind it; each distinct token is restored once."""
+    """token -> largest weight of the words behind it; each distinct token of usual length is restored once."""
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
         self.model = model
 
     def __missing__(self, token: str) -> float:
-        words = restored(token, self.model.chars)
-        weight = self[token] = sum(max((self.model.lexicon.get(f, 0.0) for f in features(w)), default=0.0) for w in words)
+        words = dict.fromkeys(restored(token, self.model.chars))
+        weight = sum(max((self.model.lexicon.get(f, 0.0) for f in features(w)), default=0.0) for w in words)
+        if len(token) <= REMEMBERED_LENGTH:
+            self[token] = weight
         return weight
 
     def of(self, text: str) -> float:
@@ -204,7 +214,7 @@ def _char_counts(texts, toxic):
     grams: Counter = Counter()
     for word, n in words.items():
         word = word.strip(EDGE)
-        if word.isalpha() and len(word) <= LONGEST:
+        if word.isalpha():
             padded = f"^^{word}^"
             for i in range(len(padded) - 2):
                 grams[padded[i:i + 3]] += n

@@ -112,6 +112,22 @@ def test_restored(written, meant):
     assert toxicity.restored(written, chars()) == ([meant] if meant else [])
 
 
+def test_long_disguises_are_restored():
+    letters = " ".join("theidiotandthemoronwentwithastupidclowntothistrashplace")  # 55 letters, one by one
+    (run,) = (t for t in toxicity.tokens(f"see {letters.upper()} there") if " " in t)
+    assert {"idiot", "moron", "clown", "trash"} <= set(toxicity.restored(run, chars()))
+    for written, meant in (("st" + "u" * 60 + "pid", "stupid"), ("m" + "." * 50 + "o.r.o.n", "moron"), ("1d10t-" * 20, "idiot")):
+        assert meant in "".join(toxicity.restored(written, chars()))
+
+
+def test_settled_prefixes_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("idiotmrnsupe 1034$.-"), 150)) for _ in range(60)]
+    early = [toxicity.restore(t, chars()) for t in texts]
+    monkeypatch.setattr(toxicity, "SETTLED", 1 << 30)
+    assert early == [toxicity.restore(t, chars()) for t in texts]
+
+
 def training(spark, seed=0):
     rng = np.random.default_rng(seed)
     rows, labels = [], []
