@@ -3,7 +3,7 @@
 The channel turns a word into what is read: letters become look-alike digits and signs, get
 repeated, or get separators between them. A read token gives a lattice of letters; Viterbi
 finds the path with the best sum of channel costs and a trigram character language model
-of the corpus. Tokens without any mark of the channel have one path, themselves.
+of the corpus. Tokens without any mark of the channel (a sign or a doubled character) have one path, themselves.
 
 Training, all on rows the caller allows:
 
@@ -45,7 +45,7 @@ EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_~`/\\"
 SUBSTITUTED, SEPARATED, REPEATED, KEPT_SIGN = -1.5, -0.5, -2.0, -12.0
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 40  # tokens kept with their result; longer ones are restored each time
 SETTLED = 64
-_MARKED = re.compile(r"[0-9@$!|+€£.\-_*~'\"/\\,]|(.)\1\1")
+_MARKED = re.compile(r"[0-9@$!|+€£.\-_*~'\"/\\,]|(.)\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 
 
@@ -123,7 +123,7 @@ def restored(token: str, model: CharModel) -> list[str]:
     if " " in token:
         return restore(token, model).split()
     word = token.rstrip(EDGE).lstrip(EDGE.replace("$", ""))  # a sign in front may be a letter
-    if 2 < len(word) and not word.isdecimal() and _MARKED.search(word):
+    if not word.isdecimal() and _MARKED.search(word):
         return restore(word, model).split()
     return [word] if word else []
 

@@ -128,6 +128,13 @@ def test_settled_prefixes_change_nothing(monkeypatch):
     assert early == [toxicity.restore(t, chars()) for t in texts]
 
 
+@pytest.mark.parametrize("written, meant", [
+    ("iidiioot", "idiot"), ("mooron", "moron"), ("stuupiid", "stupid"), ("cloown", "clown"), ("worthless", "worthless"), ("@n", "an")])
+def test_doubled_letters_and_short_words_are_restored(written, meant):
+    words = Counter({f"^^{w}^"[i:i + 3]: 5 for w in [*ENGLISH, "an"] for i in range(len(w) + 1)})
+    assert toxicity.restored(written, toxicity.CharModel(dict(words + Counter(chars().trigrams)))) == [meant]
+
+
 def training(spark, seed=0):
     rng = np.random.default_rng(seed)
     rows, labels = [], []
