@@ -8,7 +8,8 @@ the set, with HMAC-SHA-256 as round function, walked until the result lies in th
 check digits are computed anew. It is a bijection for each key and format, so equal values
 stay equal in all documents, different ones stay different, and the key's owner can undo it. E-mail
 addresses keep their shape: letters and digits of the local part are permuted, and the host name's labels
-but for the last. Credentials (cloud key ids, long hexadecimal strings, assigned passwords)
+but for the last. Where the check digits of an IBAN or a card number fail, what follows or stands before may not belong to
+it: shorter ends and later starts are tried, so undoing may take in digits behind a pseudonym that pass with it by chance. Credentials (cloud key ids, long hexadecimal strings, assigned passwords)
 are permuted within their alphabet.
 
 Texts are read whole, each in one task; nothing is shuffled.
@@ -266,19 +267,50 @@ KINDS: dict[str, tuple[str, Callable]] = {
     "phone": (r"(?<![\w+(])(?:(?P<plus>\+\d{1,3}[ .\-]?))?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]?\d{3,4}(?![\w])", _phone),
     "international": (r"(?<![\w+])(?P<plus>\+)\d(?:[ .\-()]{0,2}\d){6,13}(?!\w)", _phone),
 }
+#: Kinds with check digits whose pattern may reach too far: the characters at which a value may end earlier.
+GAPS = {"iban": " ", "card": " -"}
+#: Characters of an IBAN, by country.
+IBAN_LENGTH = {country: length for length, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
 _PATTERNS = [(kind, re.compile(pattern), write) for kind, (pattern, write) in KINDS.items()]
 _NEED = re.compile(r"[0-9@]|(?i:password|passwd|secret|token|api[_-]?key)\s?[=:]")
 
 
+def _readings(kind: str, pattern: re.Pattern, text: str, m: re.Match) -> list[re.Match]:
+    """The match, and for kinds with check digits all values that begin within it, with every end at a gap: IBANs of their country's
+    length first, then those with most characters, then the first."""
+    if kind not in GAPS:
+        return [m]
+    found, longest = [], m
+    while longest and longest.start() < m.end():
+        ends = [i for i in range(longest.end() - 1, longest.start(), -1) if text[i] in GAPS[kind]]
+        found += [longest, *(x for i in ends if (x := pattern.match(text, longest.start(), i)) and x.end() == i)]
+        longest = pattern.search(text, longest.start() + 1)
+
+    def rank(x: re.Match):
+        size = sum(c not in GAPS[kind] for c in x.group())
+        return kind == "iban" and IBAN_LENGTH.get(x.group()[:2]) != size, -size, x.start()
+
+    return sorted(found, key=rank)
+
+
 def find(text: str) -> list[tuple[int, int, str, re.Match, Callable]]:
     """Spans of personal data that do not overlap, in order; earlier kinds win."""
     if not _NEED.search(text):
         return []
     found: list[tuple] = []
     for kind, pattern, write in _PATTERNS:
-        for m in pattern.finditer(text):
-            if not any(m.start() < end and start < m.end() for start, end, *_ in found) and write(lambda _l, _s, v: v, m) is not None:
-                found.append((m.start(), m.end(), kind, m, write))
+        at = 0
+        while m := pattern.search(text, at):
+            for x in _readings(kind, pattern, text, m):
+                if not any(x.start() < end and start < x.end() for start, end, *_ in found) and write(lambda _l, _s, v: v, x) is not None:
+                    found.append((x.start(), x.end(), kind, x, write))
+                    at = x.end() if x.start() == m.start() else m.start()  # what stands before it may hold another
+                    break
+            else:
+                at = m.start() + 1
     return sorted(found, key=lambda s: s[0])
 
 

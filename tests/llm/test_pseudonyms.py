@@ -63,3 +63,14 @@ def test_whole_texts(spark, sf_dir):
         outside = re.split("|".join(re.escape(m.group()) for *_, m, _ in spans) or r"(?!)", rows[r.doc_id])
         assert all(part in r.text for part in outside)
         assert not any(m.group() in r.text for *_, m, _ in spans if len(m.group()) > 9)
+
+
+@pytest.mark.parametrize("value, before, after", [
+    ("DE89370400440532013000", "", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", "", " I think"), ("GB29 NWBK 6016 1331 9268 19", "AB12 ", " AND DE"),
+    ("DE89370400440532013000", "FROM GB29NWBK60161331926819 TO ", " ON 3"), ("4111111111111111", "", " 123"), ("4111 1111 1111 1111", "", " 12/27"),
+    ("4111-1111-1111-1111", "", "-123"), ("4111 1111 1111 1111", "12 ", ""), ("5500 0000 0000 0004", "pin 17 ", " 99")])
+def test_values_between_words_and_digits(value, before, after):
+    alone, (kind,) = P.rewrite(value, NET.permute)
+    fresh, kinds = P.rewrite(f"see {before}{value}{after}", NET.permute)
+    assert kind in kinds and fresh.endswith(alone + after), fresh
+    assert kinds == [kind] * (2 if "GB29NWBK60161331926819" in before else 1)
