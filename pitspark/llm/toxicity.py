@@ -7,7 +7,7 @@ of the corpus. Tokens without any mark of the channel (a sign or a doubled chara
 
 Training, all on rows the caller allows:
 
-1. the character model: trigram counts over all words of the training texts;
+1. the character model: trigram counts over all words of all these rows, labelled or not;
 2. the lexicon: for every restored word its start of 4 and of 6 letters and, if short, the
    whole word; document counts in either class; a feature is kept if its log-likelihood ratio is
    significant after Bonferroni's correction for all features tested, and it speaks for
@@ -274,7 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_labelled: int
     wanted = F.broadcast(train_labels.withColumnRenamed("doc_id", "id"))  # at most max_labelled rows of 12 bytes
     plain = documents(docs)
     train = materialise(plain.join(wanted, plain.doc_id.eqNullSafe(F.col("id"))).select("text", "toxic"), "labelled")
-    grams = _counted(train, "gram string, n long", _char_counts).orderBy(F.desc("n"), "gram").limit(max_trigrams).collect()
+    allowed = plain.filter(~held_out).select("text", F.lit(0).alias("toxic"))  # labels do not matter here
+    grams = _counted(allowed, "gram string, n long", _char_counts).orderBy(F.desc("n"), "gram").limit(max_trigrams).collect()
     model = ToxicityModel(CharModel({r["gram"]: r["n"] for r in grams}), {})
     n1, n0 = float(sides.get(1, 0)), float(sides.get(0, 0))
     if not n1:

@@ -162,6 +162,15 @@ def test_toxic_texts_are_found_also_when_disguised(spark):
     assert got[1000] >= 0.7 and got[1001] >= 0.7 and got[None] >= 0.7 and max(got[1002], got[1003], got[1004]) < 0.3
 
 
+def test_characters_come_from_all_allowed_rows(spark):
+    rows, labels = training(spark)
+    outside = {held(d, 3, 1): d for d in range(5000, 5020)}
+    rows += [(outside[False], "qxqx", "s"), (outside[True], "wkwk", "s")]  # neither is labelled
+    model = toxicity.fit(clashing(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), toxicity.in_fold(F.col("doc_id"), 3, 1), max_labelled=50)
+    assert model.chars.trigrams["qxq"] == 1 and "wkw" not in model.chars.trigrams
+    assert sum(n for g, n in model.chars.trigrams.items() if g.startswith("^^")) > 50 * 14
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows, labels = training(spark, 1)
     docs = clashing(spark, rows)
