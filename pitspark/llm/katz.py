@@ -1,9 +1,10 @@
-"""A Katz back-off bigram model, counted and evaluated over whole tables.
+"""A Katz back-off n-gram model of any order, counted and evaluated over whole tables.
 
-``P(w | h) = d(c) c(h, w) / D(h)`` where the bigram is kept (seen ``min_count`` times in
-training), else ``alpha(h) P(w)``; ``P(w) = d(c) c(w) / N``, and one unknown word holds the rest.
-``d`` are Good-Turing discounts up to count ``K``, and alpha(h) is what the kept bigrams leave of
-the history's mass, divided by what their words leave of the unigram mass: for every
+``P(w | h) = d(c) c(h, w) / D(h)`` where the n-gram is kept (seen ``MIN_COUNT`` times in
+training), else ``alpha(h) P(w | h')`` with the history h' that is one word shorter, down to
+``P(w) = d(c) c(w) / N``, and one unknown word holds the rest. Before a text stand end tokens.
+``d`` are Good-Turing discounts of each order up to count ``K``, and alpha(h) is what the kept n-grams leave of
+the history's mass, divided by what their words leave of the mass of the shorter history: for every
 history the probabilities add up to one.
 
 Texts are coded in blocks of a few megabytes, one row per block: the block's distinct words
@@ -11,13 +12,13 @@ Texts are coded in blocks of a few megabytes, one row per block: the block's dis
 partitioned by key answer:
 
 1. ``coded``: the blocks.
-2. ``counts``: each block sends its distinct words and bigrams (a 48-bit code within the bucket), already
+2. ``counts``: each block sends its distinct words and n-grams (a 48-bit code within the bucket), already
    counted, to the bucket of each key, and gets the corpus counts back in the same order. A frequent word or
-   bigram is one entry per block, and bigrams spread by both words, so no bucket is hot.
-3. ``backoff``: a bigram's words are known to the first block that holds it, which adds its discounted count
-   and unigram probability to its history; sums per history give alpha and D, sent to the blocks that hold
-   the history.
-4. Each block evaluates its texts token by token: bigram, else alpha times unigram.
+   n-gram is one entry per block, and n-grams spread by all their words, so no bucket is hot.
+3. ``backoff``, once for each order from 2 on: the first block that holds an n-gram adds its discounted count
+   and the probability of its shorter n-gram to its history; sums per history, in the history's bucket, give
+   alpha and D, sent to the blocks that hold the history.
+4. Each block evaluates its texts token by token: the longest kept n-gram, else alpha times the shorter one.
 
 The number of buckets grows with the table; blocks and buckets keep their size.
 
@@ -32,20 +33,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, documents, fold_ascii, materialise, mix, slices, text_bytes
 
-K, MIN_COUNT = 5, 2
+K, MIN_COUNT = 5, 1
 BLOCK_BYTES = 8 << 20
 CODE_BYTES = 6
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
-_FIRST = np.uint64(1 << 31)  # in an answer: this block is the first that holds the bigram
+_FIRST = np.uint64(1 << 31)  # in an answer: this block is the first that holds the n-gram
 _CODED = "block long, words binary, ids binary, doc_ids array<bigint>, lengths binary, train binary"
-_ANSWERS = "kind string, block long, bucket long, counts binary, stats array<double>"
+_ANSWERS = "kind int, block long, bucket long, counts binary, stats array<double>"
 
 
 def _names(schema: str) -> list[str]:
@@ -77,10 +77,33 @@ def code_blocks(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     return documents(docs, id_col, text_col).select("doc_id", "text", training.alias("train")).mapInArrow(run, _CODED)
 
 
+class _Level:
+    """The distinct n-grams of a block: hashes, counts in training, the gram of each token, and of each gram its
+    history (a place in the level below, or the place behind its last for the start of a text) and its end of n - 1 words."""
+
+    def __init__(self, hashes: np.ndarray, of: np.ndarray, learned: np.ndarray, buckets: int, below: np.ndarray | None = None,
+                 history: np.ndarray | None = None, suffix: np.ndarray | None = None):
+        self.hashes, self.of, self.below, self.history, self.suffix = hashes, of, below, history, suffix
+        self.counts = np.bincount(of[learned], minlength=len(hashes))
+        if below is None:
+            self.bucket, self.code = (mix(hashes) % np.uint64(buckets)).astype(np.int64), hashes
+        else:
+            self.bucket, self.code = (hashes % np.uint64(buckets)).astype(np.int64), mix(hashes) >> np.uint64(64 - 8 * CODE_BYTES)
+
+    @property
+    def order(self) -> np.ndarray:
+        return np.lexsort((self.code, self.bucket))
+
+
+def _joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(history) * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
 class _Block:
-    """A coded block, its distinct words and bigrams, and the order in which it asks for them."""
+    """A coded block, its distinct n-grams up to an order, and the order in which it asks for them."""
 
-    def __init__(self, words: bytes, ids: bytes, lengths: bytes, train: bytes, buckets: int):
+    def __init__(self, words: bytes, ids: bytes, lengths: bytes, train: bytes, buckets: int, order: int):
+        self.buckets = buckets
         self.words = np.frombuffer(words, "<u8")
         planes = np.frombuffer(zlib.decompress(ids), np.uint8).reshape(4, -1)
         self.ids = planes.T.copy().view("<u4").ravel().astype(np.int64)
@@ -88,39 +111,67 @@ class _Block:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         learned = np.repeat(np.frombuffer(train, np.uint8).astype(bool), self.lengths)
         size = len(self.words)
-        end = int(np.flatnonzero(self.words == END)[0])
-        before = np.empty_like(self.ids)
-        before[1:] = self.ids[:-1]
-        before[self.starts] = end
-        pairs, self.pair_of = np.unique(before * size + self.ids, return_inverse=True)
-        self.history, self.word = pairs // size, pairs % size
-        self.word_counts = np.bincount(self.ids[learned], minlength=size)
-        self.pair_counts = np.bincount(self.pair_of[learned], minlength=len(pairs))
-        n = np.uint64(buckets)
-        self.word_bucket = (mix(self.words) % n).astype(np.int64)
-        h = mix(mix(self.words[self.history]) * np.uint64(0x9E3779B97F4A7C15) + self.words[self.word])
-        self.pair_bucket, self.pair_code = (h % n).astype(np.int64), mix(h) >> np.uint64(64 - 8 * CODE_BYTES)
-        self.word_order = np.lexsort((self.words, self.word_bucket))
-        self.pair_order = np.lexsort((self.pair_code, self.pair_bucket))
+        self.end = int(np.flatnonzero(self.words == END)[0])
+        self.levels = {1: _Level(self.words, self.ids, learned, buckets)}
+        below, start, pad = self.words, self.end, np.array([END])  # before a text stand ends
+        for n in range(2, order + 1):
+            of = self.levels[n - 1].of
+            before = np.empty_like(of)
+            before[1:] = of[:-1]
+            before[self.starts] = start
+            grams, place = np.unique(before * size + self.ids, return_inverse=True)
+            history, suffix = grams // size, np.empty_like(grams)
+            suffix[place] = of
+            hashes = _joined(below[history], self.words[grams % size])
+            self.levels[n] = _Level(hashes, place, learned, buckets, below, history, suffix)
+            pad = _joined(pad, np.array([END]))
+            below, start = np.concatenate([hashes, pad]), len(hashes)
 
     def questions(self):
         """(kind, bucket, keys, counts) of each bucket in which this block has keys."""
-        for kind, order, bucket, keys, counts in (("word", self.word_order, self.word_bucket, self.words, self.word_counts),
-                                                  ("pair", self.pair_order, self.pair_bucket, self.pair_code, self.pair_counts)):
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            for lo, hi in zip(edges[:-1], edges[1:]):
+        for kind, level in self.levels.items():
+            order = level.order
+            for lo, hi in _runs(level.bucket[order]):
                 asked = order[lo:hi]
-                packed = keys[asked].astype("<u8").tobytes() if kind == "word" else _narrow(keys[asked])
-                yield kind, int(bucket[asked[0]]), packed, counts[asked].astype("<u4").tobytes()
-
-    def take(self, kind: str, answers: list[tuple[int, bytes]]) -> np.ndarray:
-        """The answers (bucket, counts) in the order of this block's words or bigrams."""
-        order = self.word_order if kind == "word" else self.pair_order
-        out = np.zeros(len(order), np.int64)
-        if answers:
-            out[order] = np.frombuffer(b"".join(counts for _, counts in sorted(answers)), "<u4")
+                packed = level.code[asked].astype("<u8").tobytes() if kind == 1 else _narrow(level.code[asked])
+                yield kind, int(level.bucket[asked[0]]), packed, level.counts[asked].astype("<u4").tobytes()
+
+    def take(self, kind: int, found: dict[int, list]) -> np.ndarray:
+        """The answers (bucket, counts) in the order of this block's n-grams."""
+        out = np.zeros(len(self.levels[kind].hashes), np.int64)
+        if answers := found.get(kind):
+            out[self.levels[kind].order] = np.frombuffer(b"".join(counts for _, counts in sorted(answers)), "<u4")
         return out
 
+    def histories(self, kind: int, counts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The histories of this level that can have kept n-grams, here or in other blocks, by bucket; their buckets; how often each was seen."""
+        below = self.levels[kind].below
+        seen = counts[kind - 1] & (int(_FIRST) - 1)
+        if len(seen) < len(below):
+            seen = np.append(seen, counts[1][self.end])  # a text starts as often as one ends
+        bucket = (mix(below) % np.uint64(self.buckets)).astype(np.int64)
+        asked = np.flatnonzero(seen >= MIN_COUNT)
+        asked = asked[np.lexsort((below[asked], bucket[asked]))]
+        return asked, bucket[asked], seen[asked]
+
+    def probabilities(self, order: int, found: dict[int, list], counts: dict[int, np.ndarray], model: _Model) -> np.ndarray:
+        """P of this block's n-grams of an order: the kept ones' own, else alpha times that of their last n - 1 words."""
+        p = model.p_word(counts[1])
+        for n in range(2, order + 1):
+            level, count = self.levels[n], counts[n] & (int(_FIRST) - 1)
+            alpha, total = np.ones(len(level.below)), np.ones(len(level.below))
+            asked, *_ = self.histories(n, counts)
+            if answers := found.get(-n):
+                parts = [np.frombuffer(zlib.decompress(raw), "<f8").reshape(2, -1) for _, raw in sorted(answers)]
+                alpha[asked], total[asked] = np.concatenate(parts, axis=1)
+            p = np.where(count > 0, model.mass(n, count) / total[level.history], alpha[level.history] * p[level.suffix])
+        return p
+
+
+def _runs(sorted_values: np.ndarray):
+    edges = np.flatnonzero(np.diff(sorted_values, prepend=-1, append=-1))
+    return zip(edges[:-1], edges[1:])
+
 
 def _narrow(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].tobytes()
@@ -132,20 +183,20 @@ def _wide(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _block(row: dict, buckets: int) -> _Block:
-    return _Block(row["words"], row["ids"], row["lengths"], row["train"], buckets)
+def _block(row: dict, buckets: int, order: int) -> _Block:
+    return _Block(row["words"], row["ids"], row["lengths"], row["train"], buckets, order)
 
 
-def count_keys(coded: DataFrame, buckets: int) -> DataFrame:
-    """Corpus counts of every block's words and bigrams, in the block's order, and counts of counts."""
-    schema = "kind string, block long, bucket long, keys binary, counts binary"
+def count_keys(coded: DataFrame, buckets: int, order: int) -> DataFrame:
+    """Corpus counts of every block's n-grams, in the block's order, and counts of counts; kind is n."""
+    schema = "kind int, block long, bucket long, keys binary, counts binary"
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                kinds, bucket, keys, counts = zip(*_block(row, buckets).questions())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([row["block"]] * len(kinds), pa.int64()), pa.array(bucket, pa.int64()),
+                kinds, bucket, keys, counts = zip(*_block(row, buckets, order).questions())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([row["block"]] * len(kinds), pa.int64()), pa.array(bucket, pa.int64()),
                                                   pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], _names(schema))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -153,17 +204,17 @@ def count_keys(coded: DataFrame, buckets: int) -> DataFrame:
         kind, bucket = rows[0]["kind"], rows[0]["bucket"]
         sizes = [len(r["counts"]) // 4 for r in rows]
         raw = b"".join(r["keys"] for r in rows)
-        keys = np.frombuffer(raw, "<u8") if kind == "word" else _wide(raw)
+        keys = np.frombuffer(raw, "<u8") if kind == 1 else _wide(raw)
         counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<u4").astype(np.int64)
         _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         total = np.bincount(inverse, weights=counts).astype(np.int64)
         stats = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1:K + 2].tolist() + [int((total > 0).sum()), int(total.sum())]
         reply = np.minimum(total, int(_FIRST) - 1)[inverse].astype("<u4")
-        if kind == "pair":
+        if kind > 1:
             reply[total[inverse] < MIN_COUNT] = 0
             reply[first] |= np.where(reply[first] > 0, _FIRST, 0).astype("<u4")
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        return pa.table([pa.array([kind] * len(rows) + [kind + " stats"]), pa.array([*(r["block"] for r in rows), None], pa.int64()),
+        return pa.table([pa.array([kind] * (len(rows) + 1), pa.int32()), pa.array([*(r["block"] for r in rows), None], pa.int64()),
                          pa.array([bucket] * (len(rows) + 1), pa.int64()),
                          pa.array([*(reply[lo:hi].tobytes() for lo, hi in zip(bounds[:-1], bounds[1:])), None], pa.binary()),
                          pa.array([None] * len(rows) + [stats], pa.list_(pa.float64()))], names=_names(_ANSWERS))
@@ -187,9 +238,9 @@ def good_turing(counts_of_counts: list[float], lowest: int = 1) -> np.ndarray:
 class _Model:
     """The numbers all tasks need: discounts and totals."""
 
-    def __init__(self, word_stats: list[float], pair_stats: list[float]):
-        *of_words, self.distinct, self.total = word_stats
-        self.d_word, self.d_pair = good_turing(of_words), good_turing(pair_stats[:K + 1], MIN_COUNT)
+    def __init__(self, stats: dict[int, list[float]]):
+        *of_words, self.distinct, self.total = stats[1]
+        self.d_word, self.d = good_turing(of_words), {n: good_turing(found[:K + 1], MIN_COUNT) for n, found in stats.items()}
         # mass of the seen words, counted from the counts of counts: above K nothing is discounted
         freed = sum(n * r * (1.0 - self.d_word[r]) for r, n in enumerate(of_words[:K], start=1))
         self.unknown = freed / self.total if self.total else 1.0
@@ -203,89 +254,92 @@ class _Model:
         p = seen * self.d_word[np.minimum(counts, K + 1)] * counts / self.total
         return np.where(counts > 0, p, unknown)
 
-    def mass(self, counts: np.ndarray) -> np.ndarray:
-        return self.d_pair[np.minimum(counts, K + 1)] * counts
+    def mass(self, n: int, counts: np.ndarray) -> np.ndarray:
+        return self.d[n][np.minimum(counts, K + 1)] * counts
 
 
-def _by_kind(table: pa.Table) -> dict[str, list[tuple[int, bytes]]]:
-    found: dict[str, list] = {"word": [], "pair": []}
+def _by_kind(table: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
+    found: dict[int, list] = {}
     for kind, bucket, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "counts"))):
-        if kind in found:
-            found[kind].append((bucket, counts))
+        found.setdefault(kind, []).append((bucket, counts))
     return found
 
 
-def backoff_weights(coded: DataFrame, answers: DataFrame, model: _Model, buckets: int) -> DataFrame:
-    """(block, history, log_alpha, total) of each history with kept bigrams, for each block that holds it."""
-    schema = "block long, history long, seen long, mass double, words double"
+def backoff_weights(coded: DataFrame, answers: DataFrame, model: _Model, buckets: int, n: int) -> DataFrame:
+    """Alpha and D of the histories of the n-grams, for each block in its order; kind is -n. ``answers`` has those of lower orders."""
+    asks = "bucket long, block long, keys binary, seen binary, sums binary"
+    replies = "kind int, block long, bucket long, counts binary"
 
     def parts(block_rows: pa.Table, answered: pa.Table) -> pa.Table:
-        row = block_rows.to_pylist()[0]
-        block, found = _block(row, buckets), _by_kind(answered)
-        word, pair = block.take("word", found["word"]), block.take("pair", found["pair"])
-        mine = np.flatnonzero(pair & int(_FIRST))
-        counts = pair[mine] & (int(_FIRST) - 1)
-        size = len(block.words)
-        mass = np.bincount(block.history[mine], weights=model.mass(counts), minlength=size).astype(float)
-        words = np.bincount(block.history[mine], weights=model.p_word(word[block.word[mine]]), minlength=size).astype(float)
-        keep = np.flatnonzero(word >= MIN_COUNT)  # only these can have kept bigrams, here or in other blocks
-        return pa.table([pa.array(np.full(len(keep), row["block"])), pa.array(block.words[keep].view(np.int64)), pa.array(word[keep]),
-                         pa.array(mass[keep]), pa.array(words[keep])], names=_names(schema))
-
-    rows = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parts, schema)
-    sums = (rows.groupBy("history").agg(F.max("seen").alias("seen"), F.sum("mass").alias("mass"), F.sum("words").alias("words"))
-            .filter("mass > 0").withColumn("total", F.greatest(F.col("seen").cast("double"), F.col("mass") + 0.5))
-            .select("history", F.log10((1.0 - F.col("mass") / F.col("total")) / (1.0 - F.col("words"))).alias("log_alpha"), "total"))
-    return rows.select("block", "history").join(sums, "history")
-
-
-def evaluate(coded: DataFrame, answers: DataFrame, weights: DataFrame, model: _Model, buckets: int) -> DataFrame:
+        rows = []
+        for row in block_rows.to_pylist():
+            block, found = _block(row, buckets, n), _by_kind(answered)
+            counts = {i: block.take(i, found) for i in range(1, n + 1)}
+            level = block.levels[n]
+            mine = np.flatnonzero(counts[n] & int(_FIRST))
+            lower = block.probabilities(n - 1, found, counts, model)[level.suffix[mine]]
+            values = [model.mass(n, counts[n][mine] & (int(_FIRST) - 1)), lower]
+            sums = np.stack([np.bincount(level.history[mine], weights=v, minlength=len(level.below)) for v in values]).astype("<f8")
+            asked, bucket, seen = block.histories(n, counts)
+            for lo, hi in _runs(bucket):
+                at = asked[lo:hi]
+                rows.append((int(bucket[lo]), row["block"], level.below[at].astype("<u8").tobytes(), zlib.compress(seen[lo:hi].astype("<u4").tobytes(), 1),
+                             zlib.compress(sums[:, at].tobytes(), 1)))
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=_names(asks))
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        mass, lower = (np.bincount(inverse, weights=np.concatenate(v)) for v in zip(*(np.frombuffer(zlib.decompress(r["sums"]), "<f8").reshape(2, -1) for r in rows)))
+        seen = np.zeros(len(distinct), np.int64)  # ends as words, of empty texts, are fewer than ends before texts
+        np.maximum.at(seen, inverse, np.concatenate([np.frombuffer(zlib.decompress(r["seen"]), "<u4") for r in rows]))
+        total = np.where(mass > 0, np.maximum(seen, mass + 0.5), 1.0)
+        alpha = np.where(mass > 0, (1.0 - mass / total) / (1.0 - lower), 1.0)
+        found, ends = np.stack([alpha, total]).astype("<f8")[:, inverse], np.cumsum([len(k) for k in keys])
+        return pa.table([pa.array([-n] * len(rows), pa.int32()), pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["bucket"] for r in rows], pa.int64()),
+                         pa.array([zlib.compress(found[:, hi - len(k):hi].tobytes(), 1) for k, hi in zip(keys, ends)], pa.binary())], names=_names(replies))
+
+    asked = coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(parts, asks)
+    return asked.groupBy("bucket").applyInArrow(answer, replies)
+
+
+def evaluate(coded: DataFrame, answers: DataFrame, model: _Model, buckets: int, order: int) -> DataFrame:
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
     def run(block_rows: pa.Table, answered: pa.Table) -> pa.Table:
         if not block_rows.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=_names(schema))
         row = block_rows.to_pylist()[0]
-        block, found = _block(row, buckets), _by_kind(answered)
-        word, pair = block.take("word", found["word"]), block.take("pair", found["pair"]) & (int(_FIRST) - 1)
-        size = len(block.words)
-        log_alpha, total = np.zeros(size), np.ones(size)
-        known = answered.filter(pc.equal(answered.column("kind"), "backoff"))
-        if known.num_rows:
-            order = np.argsort(block.words)
-            where = order[np.searchsorted(block.words[order], known.column("history").to_numpy().view(np.uint64))]
-            log_alpha[where], total[where] = known.column("log_alpha").to_numpy(), known.column("total").to_numpy()
-        log_word = np.log10(model.p_word(word))
-        kept = pair > 0
-        log_pair = log_alpha[block.history] + log_word[block.word]
-        log_pair[kept] = np.log10(model.mass(pair[kept]) / total[block.history[kept]])
+        block, found = _block(row, buckets, order), _by_kind(answered)
+        counts = {n: block.take(n, found) for n in block.levels}
+        word = counts[1]
+        log_gram = np.log10(block.probabilities(order, found, counts, model))
         log_base = np.log10((word + 1.0) / (model.total + model.distinct + 1.0))
 
         def per_text(values):
             return np.add.reduceat(values, block.starts)
 
         return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(block.lengths), pa.array(per_text((word > 0)[block.ids].astype(np.int64))),
-                         pa.array(per_text(log_base[block.ids])), pa.array(per_text(log_pair[block.pair_of]))], names=_names(schema))
+                         pa.array(per_text(log_base[block.ids])), pa.array(per_text(log_gram[block.levels[order].of]))], names=_names(schema))
 
-    sent = weights.select("block", F.lit("backoff").alias("kind"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"),
-                          "history", "log_alpha", "total")
-    asked = answers.select("block", "kind", "bucket", "counts", F.lit(None).cast("long").alias("history"), F.lit(None).cast("double").alias("log_alpha"),
-                           F.lit(None).cast("double").alias("total"))
-    return coded.groupBy("block").cogroup(asked.unionByName(sent).groupBy("block")).applyInArrow(run, schema)
+    return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def _stats(answers: DataFrame, kind: str) -> list[float]:
+def _stats(answers: DataFrame, kind: int) -> list[float]:
     """Sums over all buckets of the counts of counts, the distinct keys and the occurrences: one row."""
-    sums = answers.filter(F.col("kind") == f"{kind} stats").agg(*(F.coalesce(F.sum(F.element_at("stats", i + 1)), F.lit(0.0)) for i in range(K + 3)))
-    return list(sums.first())
+    stats = answers.filter((F.col("kind") == kind) & F.col("block").isNull())
+    return list(stats.agg(*(F.coalesce(F.sum(F.element_at("stats", i + 1)), F.lit(0.0)) for i in range(K + 3))).first())
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", texts_each: int = 4000) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", texts_each: int = 4000, order: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score of every row of ``docs``."""
     coded = materialise(code_blocks(docs, training, id_col, text_col), "coded")
     buckets = max(8, -(-docs.count() // texts_each))
-    answers = materialise(count_keys(coded, buckets), "counts")
-    model = _Model(_stats(answers, "word"), _stats(answers, "pair"))
+    answers = materialise(count_keys(coded, buckets, order), "counts")
+    model = _Model({n: _stats(answers, n) for n in range(1, order + 1)})
     replies = answers.filter(F.col("block").isNotNull()).drop("stats")
-    weights = materialise(backoff_weights(coded, replies, model, buckets), "backoff")
-    return evaluate(coded, replies, weights, model, buckets).withColumn("train_tokens", F.lit(int(model.total)))
+    for n in range(2, order + 1):
+        replies = replies.unionByName(materialise(backoff_weights(coded, replies, model, buckets, n), f"backoff{n}"))
+    return evaluate(coded, replies, model, buckets, order).withColumn("train_tokens", F.lit(int(model.total)))

@@ -87,6 +87,65 @@ def test_katz_awkward_rows(spark, awkward, nothing, monkeypatch):
     assert {(r.base_score, r.score, r.n_known, r.train_tokens) for r in got} == {(0.0, 0.0, 0, 0)}
 
 
+class PlainBackoff(PlainKatz):
+    """Any order, recursively."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts)
+        self.order, self.grams = order, {n: Counter() for n in range(2, order + 1)}
+        for t in texts:
+            for n, h, w in self.walk(t):
+                self.grams[n][h, w] += 1
+        self.d, self.seen, self.out, self.sums = {}, Counter(), Counter(), Counter()
+        for n, found in self.grams.items():
+            self.d[n] = katz.good_turing([float(sum(x == r for x in found.values())) for r in range(1, katz.K + 2)])
+            for (h, w), c in found.items():
+                self.seen[h] += c
+                self.out[h] += self.d[n][min(c, katz.K + 1)] * c
+            for h, w in found:
+                self.sums[h] += self.of(h[1:], w)
+
+    def walk(self, text):
+        tokens = [None] * (self.order - 1) + [*WORD.findall(fold(text)), None]
+        return [(n, tuple(tokens[i - n + 1:i]), tokens[i]) for i in range(self.order - 1, len(tokens)) for n in range(2, self.order + 1)]
+
+    def of(self, h, w):
+        if not h:
+            return self.p(w)
+        n, total = len(h) + 1, max(self.seen[h], self.out[h] + 0.5)
+        if c := self.grams[n].get((h, w)):
+            return self.d[n][min(c, katz.K + 1)] * c / total
+        return ((1 - self.out[h] / total) / (1 - self.sums[h]) if h in self.out else 1.0) * self.of(h[1:], w)
+
+    def score(self, text):
+        return *super().score(text)[:3], sum(math.log10(self.of(h, w)) for n, h, w in self.walk(text) if n == self.order)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_of_any_order_same_as_plain(spark, awkward, monkeypatch, order):
+    words = [*"a b c d e f g".split(), *(f"rare{i}" for i in range(60))]
+    rng = np.random.default_rng(order)
+    rows = [(d, " ".join(words[min(int(i), 66)] for i in rng.geometric(0.15, rng.integers(0, 30))), "s") for d in range(100, 180)]
+    docs = awkward.unionByName(clashing(spark, rows)).repartition(3)
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    model = PlainBackoff([t for d, t in texts if not held(d, 7, 2)], order)
+    monkeypatch.setattr(katz, "BLOCK_BYTES", 256)
+    got = katz.score(docs, ~toxicity.in_fold(F.col("doc_id"), 7, 2), texts_each=10, order=order).collect()
+    want = sorted(((d, *model.score(t)) for d, t in texts), key=repr)
+    assert len(got) == len(want)
+    for r, (d, n, known, base, score) in zip(sorted(got, key=lambda r: repr((r.doc_id, r.n_tokens))), sorted(want, key=lambda w: repr(w[:2]))):
+        assert (r.doc_id, r.n_tokens, r.n_known) == (d, n, known) and math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-9)
+    for _, h, _ in model.walk("a b c rare1 a") + model.walk(texts[-1][1]):
+        assert math.isclose(sum(model.of(h, w) for w in [*model.uni, "never seen"]), 1.0, rel_tol=1e-9)
+
+
+def test_a_bigram_seen_once_counts(spark):
+    texts = ["one two three"] + [f"{a} {b}" for a in ("one", "two", "three") for b in ("x", "y")] * 3 + ["one three two"]
+    rows = katz.score(clashing(spark, [(d, t, "s") for d, t in enumerate([*texts, "one two three"])]), F.col("doc_id") < len(texts), order=3).collect()
+    scores = {r.doc_id: r.score for r in rows}
+    assert scores[len(texts)] == scores[0] and 10 ** scores[0] > 0.003
+
+
 def test_katz_beats_single_words_on_held_out_texts(spark, sf_dir):
     docs = dataset(spark, sf_dir, "documents")
     rows = katz.score(docs, ~toxicity.in_fold(F.col("doc_id"), 7, 2)).collect()
