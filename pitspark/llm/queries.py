@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, katz, mixing, near, packing, pseudonyms, quality, substring, toxicity
+from . import chat, exact, katz, mixing, near, packing, pieces, pseudonyms, quality, substring, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op9_katz(spark, sf_dir):
     held_out = toxicity.in_fold(F.col("doc_id"), 7, 2)
     found = katz.score(dataset(spark, sf_dir, "documents"), ~held_out, order=3)
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op13_pieces")
+def op13_pieces(spark, sf_dir):
+    found = pieces.encode(dataset(spark, sf_dir, "documents"), pieces.model_file())
+    return found.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
