@@ -154,7 +154,7 @@ _BLOCKS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.
 _BLOCK_COLUMNS = "block long, bucket int, body binary, extra binary, ids array<long>, counts binary"
 
 
-def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
     def run(batches):
         number, held = TaskContext.get().partitionId() << 32, _Block()
 
@@ -165,7 +165,7 @@ def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 held.add(doc, text.as_py())
-                if held.size >= BLOCK_BYTES:
+                if held.size >= block_bytes:
                     yield from flush()
                     number, held = number + 1, _Block()
         if held.ids:
@@ -205,11 +205,15 @@ def _answers(blocks: DataFrame, path: str) -> DataFrame:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (with the end id), decoded: each text's ids, and the text these ids decode to."""
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
+           block_bytes: int = BLOCK_BYTES, out_ids: int = OUT_IDS) -> DataFrame:
+    """doc_id, n_tokens, ids (with the end id), decoded: each text's ids, and the text these ids decode to.
+
+    ``block_bytes`` bounds a block of texts and ``out_ids`` the ids of a batch of results; one text may exceed both.
+    """
     docs = documents(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = materialise(_blocks(docs, max(8, -(-size // BUCKET_BYTES))), "pieces_blocks")
+    blocks = materialise(_blocks(docs, max(8, -(-size // BUCKET_BYTES)), block_bytes), "pieces_blocks")
 
     def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
         known = model(model_path)
@@ -225,7 +229,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         at = _starts(np.fromiter(map(len, known.surfaces), np.int64, len(known.surfaces)))
         out, low = [], 0
         while low < len(row["ids"]):
-            high = max(low + 1, int(np.searchsorted(before, before[low] + OUT_IDS, side="right")) - 1)
+            high = max(low + 1, int(np.searchsorted(before, before[low] + out_ids, side="right")) - 1)
             ids = pieces[_gather(starts, codes[first[low]:first[high]])]
             ends = before[low:high + 1] - before[low]
             size = _starts(at[ids + 1] - at[ids])[ends]

@@ -32,18 +32,10 @@ def test_every_text_as_the_library_encodes_and_decodes_it(spark, library):
     assert got == sorted(_plain(library, rows), key=repr)
 
 
-def test_several_blocks_and_slices(spark, library, monkeypatch):
+def test_several_blocks_and_batches(spark, library):
     rows = ROWS * 3
-    monkeypatch.setattr(pieces, "BLOCK_BYTES", 500)
-    block, frame = pieces._Block(), []
-    for doc, text, _ in rows:
-        block.add(doc, text or "")
-        if block.size >= 500:
-            frame.append(block)
-            block = pieces._Block()
-    assert len(frame) > 3
-    monkeypatch.setattr(pieces, "OUT_IDS", 50)
-    assert _got(pieces.encode(clashing(spark, rows).repartition(5), pieces.model_file())) == sorted(_plain(library, rows), key=repr)
+    found = pieces.encode(clashing(spark, rows).repartition(2), pieces.model_file(), block_bytes=500, out_ids=50)
+    assert _got(found) == sorted(_plain(library, rows), key=repr)
 
 
 def test_empty_table(spark, nothing):
