@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, katz, mixing, near, packing, pieces, pseudonyms, quality, substring, toxicity
+from . import chat, exact, katz, mixing, near, negatives, packing, pieces, pseudonyms, quality, substring, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,24 @@ def op9_katz(spark, sf_dir):
 def op13_pieces(spark, sf_dir):
     found = pieces.encode(dataset(spark, sf_dir, "documents"), pieces.model_file())
     return found.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_hard_negatives", """
+WITH e AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])) AS got
+      FROM e a JOIN e b ON a.row <> b.row WHERE a.vec_id % 50 = 0),
+t AS (SELECT anchor, anchor_id, vec_id, same, coalesce(got, 0)::bigint AS score FROM s),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS place FROM t WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, t.vec_id AS negative_id, p.score AS positive_score, t.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY t.score DESC, t.vec_id NULLS LAST) AS rank
+      FROM p JOIN t ON t.anchor = p.anchor AND NOT t.same AND 50 * p.score <= 100 * t.score AND 100 * t.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::int AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""")
+def op12_hard_negatives(spark, sf_dir):
+    vectors = dataset(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.when(negatives.usable(F.col("embedding")), negatives.scaled(F.col("embedding")))
+    noisy = vectors.select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return negatives.hard_negatives(noisy, F.col("vec_id") % 50 == 0)
