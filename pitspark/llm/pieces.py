@@ -39,6 +39,7 @@ BLOCK_BYTES = 32 << 20
 #: text bytes per bucket; about a fifth of them are distinct words of some block
 BUCKET_BYTES = 64 << 20
 FREQUENT = 4096
+SHARED = 8
 TOGETHER = 20_000
 OUT_IDS = 1 << 20
 _CHUNK = re.compile(" +[^ ]*")
@@ -89,15 +90,56 @@ def marked_words(text: str) -> list[str]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T
+    """Whole numbers below 2^32, compressed: the bit lengths of all, then per length the other bits, byte plane by byte plane."""
+    values = np.asarray(values, np.int64)
+    length = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    parts = [len(values).to_bytes(8, "little"), length.tobytes()]
+    for n in range(2, 33):
+        rest = (values[length == n] - (1 << (n - 1))).astype("<u4").view(np.uint8).reshape(-1, 4)
+        parts.append(np.ascontiguousarray(rest.T[:(n + 6) // 8]).tobytes())
     settings = zstandard.ZstdCompressionParameters.from_level(3, window_log=25, enable_ldm=True)
-    return zstandard.ZstdCompressor(compression_params=settings).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(compression_params=settings).compress(b"".join(parts))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(data), np.uint8)
-    return planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(data), np.uint8)
+    count = int.from_bytes(raw[:8].tobytes(), "little")
+    length, at = raw[8:8 + count], 8 + count
+    values = (length > 0).astype(np.int64)
+    for n, times in enumerate(np.bincount(length, minlength=33).tolist()):
+        if n >= 2 and times:
+            planes = (n + 6) // 8
+            rest = np.zeros((times, 4), np.uint8)
+            rest[:, :planes] = raw[at:at + planes * times].reshape(planes, times).T
+            values[length == n] = rest.view("<u4").ravel().astype(np.int64) + (1 << (n - 1))
+            at += planes * times
+    return values
+
+
+def _fold(starts: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many leading pieces each word shares with the word before it (``SHARED`` at most), and all other pieces."""
+    shared = np.zeros(len(starts) - 1, np.int64)
+    live = np.arange(1, len(shared))
+    for n in range(SHARED):
+        live = live[(starts[live] + n < starts[live + 1]) & (starts[live - 1] + n < starts[live])]
+        live = live[pieces[starts[live] + n] == pieces[starts[live - 1] + n]]
+        shared[live] += 1
+    kept = np.ones(len(pieces), bool)
+    kept[_gather(np.stack([starts[:-1], starts[:-1] + shared], 1).ravel(), 2 * np.arange(len(shared)))] = False
+    return shared, pieces[kept]
+
+
+def _unfold(sizes: np.ndarray, shared: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    starts, own = _starts(sizes), _starts(sizes - shared)
+    pieces = np.empty(starts[-1], np.int64)
+    first = starts[:-1] + shared
+    pieces[_gather(np.stack([first, starts[1:]], 1).ravel(), 2 * np.arange(len(sizes)))] = rest
+    for n in range(int(shared.max()) if len(shared) else 0):
+        # the last word before that says its own piece at this place
+        says = np.maximum.accumulate(np.where(shared <= n, np.arange(len(shared)), 0))
+        mine = np.flatnonzero(shared > n)
+        pieces[starts[mine] + n] = rest[own[says[mine]] + n - shared[says[mine]]]
+    return pieces
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -175,7 +217,7 @@ def _blocks(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
 
 
 def _answers(blocks: DataFrame, path: str) -> DataFrame:
-    """(block, bucket, sizes, pieces): ids of each block's words; every distinct word of a bucket is segmented once."""
+    """(block, bucket, sizes, shared, pieces): ids of each block's words; every distinct word of a bucket is segmented once."""
     def run(table: pa.Table) -> pa.Table:
         asked, counts = [], []
         for body, lengths in zip(table.column("body").to_pylist(), table.column("extra").to_pylist()):
@@ -193,13 +235,14 @@ def _answers(blocks: DataFrame, path: str) -> DataFrame:
         starts, rows, at = _starts(sizes), [], 0
         for n in counts:
             which = coded.indices.slice(at, n).to_numpy().astype(np.int64)
-            rows.append((_pack(sizes[which]), _pack(pieces[_gather(starts, which)])))
+            shared, rest = _fold(_starts(sizes[which]), pieces[_gather(starts, which)])
+            rows.append((_pack(sizes[which]), _pack(shared), _pack(rest)))
             at += n
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
-                         "sizes": pa.array([r[0] for r in rows], pa.binary()), "pieces": pa.array([r[1] for r in rows], pa.binary())})
+                         **{name: pa.array([r[i] for r in rows], pa.binary()) for i, name in enumerate(("sizes", "shared", "pieces"))}})
 
     asked = blocks.filter("bucket >= 0").select("block", "bucket", "body", "extra")
-    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, sizes binary, pieces binary")
+    return asked.groupBy("bucket").applyInArrow(run, "block long, bucket int, sizes binary, shared binary, pieces binary")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -218,13 +261,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
         known = model(model_path)
         row = {name: mine.column(name)[0].as_py() for name in mine.column_names}
-        answers = answers.sort_by("bucket")
+        parts = [tuple(_unpack(answer[name]) for name in ("sizes", "shared", "pieces")) for answer in answers.sort_by("bucket").to_pylist()]
         none = [np.zeros(0, np.int64)]
-        starts = _starts(np.concatenate([_unpack(s) for s in answers.column("sizes").to_pylist()] or none))
-        pieces = np.concatenate([_unpack(p) for p in answers.column("pieces").to_pylist()] or none)
+        sizes = np.concatenate([p[0] for p in parts] or none)
+        pieces = np.concatenate([_unfold(*p) for p in parts] or none)
+        starts = _starts(sizes)
         top, codes, first = _unpack(row["extra"]), _unpack(row["body"]), _starts(_unpack(row["counts"]))
-        codes = np.concatenate([top, np.arange(len(starts) - 1)])[codes]
-        before = _starts(starts[codes + 1] - starts[codes])[first]  # ids before each text
+        codes = np.concatenate([top, np.arange(len(sizes))])[codes]
+        before = _starts(sizes[codes])[first]  # ids before each text
         surface = np.frombuffer(b"".join(known.surfaces), np.uint8)
         at = _starts(np.fromiter(map(len, known.surfaces), np.int64, len(known.surfaces)))
         out, low = [], 0

@@ -43,10 +43,20 @@ def test_empty_table(spark, nothing):
 
 
 def test_packed_numbers_come_back():
-    for values in ([], [0], [5, 4_000_000_000, 7, 65536]):
+    for values in ([], [0], [5, 4_000_000_000, 7, 65536], [1, 1, 0, 255, 256, 2, 3]):
         assert pieces._unpack(pieces._pack(np.array(values, np.int64))).tolist() == values
 
 
+def test_folded_pieces_come_back():
+    draw = np.random.default_rng(5)
+    for words in (0, 1, 40):
+        sizes = draw.integers(0, 13, words)
+        starts, ids = np.concatenate([[0], np.cumsum(sizes)]), draw.integers(0, 2, int(sizes.sum()))
+        folded = pieces._fold(starts, ids)
+        assert len(folded[1]) <= len(ids)
+        assert pieces._unfold(sizes, *folded).tolist() == ids.tolist()
+
+
 def test_models_that_do_not_fit_are_refused(monkeypatch):
     monkeypatch.setattr(pieces, "_CROSSING", __import__("re").compile("▁"))
     with pytest.raises(ValueError, match="cross"):
