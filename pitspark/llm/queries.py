@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import local_table
-from . import chat, exact, katz, mixing, near, negatives, packing, pieces, pseudonyms, quality, substring, toxicity
+from . import chat, exact, katz, mixing, near, negatives, packing, pieces, pseudonyms, quality, spelling, substring, toxicity
 from .common import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,25 @@ def op12_hard_negatives(spark, sf_dir):
     whole = F.when(negatives.usable(F.col("embedding")), negatives.scaled(F.col("embedding")))
     noisy = vectors.select("vec_id", label.alias("label"), whole.alias("embedding"))
     return negatives.hard_negatives(noisy, F.col("vec_id") % 50 == 0)
+
+
+@query("op11_spelling", """
+WITH RECURSIVE d AS (SELECT coalesce(doc_id::varchar, '') AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                    '[A-Za-zÀ-ÿ]+') AS runs FROM documents),
+c AS (SELECT id, run, count(*) AS n FROM (SELECT id, unnest(runs) AS run FROM d) WHERE length(run) >= 7 GROUP BY id, run),
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS steps),
+b AS (SELECT run, n, steps, flatten(list_transform(list_transform(string_split(id || ':' || run, ''), lambda x: unicode(x)::bigint),
+                                                   lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END)) AS bytes FROM c, crc),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda r, x: xor(r >> 8, steps[(xor(r, x) & 255) + 1])), 4294967295) AS h FROM b),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::bigint AS n
+      FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(n) >= 2),
+k AS (SELECT word, n, pos, CASE pos WHEN 0 THEN word ELSE left(word, pos - 1) || substr(word, pos + 1) END AS key
+      FROM (SELECT word, n, unnest(range(length(word) + 1)) AS pos FROM v)),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word AND (a.pos = b.pos OR a.pos = 0 OR b.pos = 0)),
+f AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM p),
+g AS (SELECT v.word, v.n, coalesce(n_near, 0)::bigint AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+      FROM v LEFT JOIN f ON v.word = f.word AND place = 1),
+r(word, root, step) AS (SELECT word, word, 0 FROM g UNION ALL SELECT r.word, g.form, step + 1 FROM r JOIN g ON r.root = g.word WHERE g.form IS NOT NULL)
+SELECT g.word, form, arg_max(r.root, step) AS root, n, n_near, form_n FROM g JOIN r ON g.word = r.word GROUP BY ALL""")
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(dataset(spark, sf_dir, "documents"))

@@ -27,4 +27,9 @@ def awkward_dir(spark, awkward, tmp_path_factory):
              (2, 1, "user", "a \\"), (3, 0, "system </s>", ""), (None, 0, "assistant", "<s></s>[INST] "), (4, 2, "tool", "é\n<"), (4, 1, "assistant", "</s")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").toPandas()
     frame.to_parquet(folder / "conversations.parquet")
+    vectors = [(0, [.5, .25], 1), (0, [.5, .25], 1), (50, [.5, .2, .1], 2), (100, [-.5], 1), (150, [], 2), (200, None, 1), (1, [.4, .3], 1), (2, [.4, .3], 2), (3, [.3], 2),
+               (None, [.4, .3], 2), (4, [.5, None], 1), (5, [float("inf")], 1), (6, [.1, .1], None), (8, [.35, .2, .05, .0, .0, .0, .0, .0, 3.], 3)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    frame.coalesce(1).write.parquet(str(folder / "vectors"))
+    next((folder / "vectors").glob("*.parquet")).rename(folder / "embeddings.parquet")
     return str(folder)
