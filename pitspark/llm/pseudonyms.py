@@ -10,7 +10,8 @@ stay equal in all documents, different ones stay different, and the key's owner
 addresses keep their shape: letters and digits of the local part are permuted, and the host name's labels
 but for the last. Where the check digits of an IBAN or a card number fail, what follows or stands before may not belong to
 it: shorter ends and later starts are tried, so undoing may take in digits behind a pseudonym that pass with it by chance. Credentials (cloud key ids, long hexadecimal strings, assigned passwords)
-are permuted within their alphabet.
+are permuted within their alphabet. Values of more than 64 signs are permuted in blocks of 64, each place by its own permutation,
+so the work is linear in a value's length.
 
 Texts are read whole, each in one task; nothing is shuffled.
 
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: signs of a long value that are permuted together
+BLOCK = 64
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 _LETTERS, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 _MONTHS = ("january february march april may june july august september october november december").split()
@@ -67,7 +70,7 @@ class Feistel:
         left, right = value >> half, value & mask
         for i in reversed(range(ROUNDS)) if back else range(ROUNDS):
             side = left if back else right
-            message = f"{label}|{half}|{i}|{side}".encode()
+            message = f"{label}|{half}|{i}|".encode() + side.to_bytes(-(-half // 8), "big")
             wide = b"".join(hmac.new(self.key, message + bytes([n]), hashlib.sha256).digest() for n in range(-(-half // 256)))
             noise = int.from_bytes(wide, "big") & mask
             if back:
@@ -211,8 +214,16 @@ def _named_date(net, m):
     return f"{name} {fresh.day}, {fresh.year}" if m.group("month") else f"{fresh.day} {name} {fresh.year}"
 
 
+def _blocks(text: str) -> list[str]:
+    return [text[i:i + BLOCK] for i in range(0, len(text), BLOCK)] or [""]
+
+
 def _spelled(net, label: str, text: str) -> str:
-    """Letters stay letters of their case and digits digits; equal shapes are permuted among each other."""
+    """Letters stay letters of their case and digits digits; equal shapes are permuted among each other, block by block."""
+    return "".join(_spelled_block(net, f"{label}{i or ''}", part) for i, part in enumerate(_blocks(text)))
+
+
+def _spelled_block(net, label: str, text: str) -> str:
     shape = "".join("9" if c in _DIGITS else "a" if c in _LETTERS else "A" if c.lower() in _LETTERS else c for c in text)
     size, value = 1, 0
     for c in text:
@@ -241,7 +252,7 @@ def _hex(net, m):
     text = m.group()
     if not any(c in _DIGITS for c in text) or not any(c not in _DIGITS for c in text):
         return None
-    fresh = f"{net(f'hex{len(text)}', 16 ** len(text), int(text, 16)):0{len(text)}x}"
+    fresh = "".join(f"{net(f'hex{len(text)}|{i}', 16 ** len(part), int(part, 16)):0{len(part)}x}" for i, part in enumerate(_blocks(text)))
     return fresh.upper() if text.isupper() else fresh
 
 
@@ -301,12 +312,14 @@ def find(text: str) -> list[tuple[int, int, str, re.Match, Callable]]:
     if not _NEED.search(text):
         return []
     found: list[tuple] = []
+    taken = bytearray(len(text))
     for kind, pattern, write in _PATTERNS:
         at = 0
         while m := pattern.search(text, at):
             for x in _readings(kind, pattern, text, m):
-                if not any(x.start() < end and start < x.end() for start, end, *_ in found) and write(lambda _l, _s, v: v, x) is not None:
+                if taken.find(1, x.start(), x.end()) < 0 and write(lambda _l, _s, v: v, x) is not None:
                     found.append((x.start(), x.end(), kind, x, write))
+                    taken[x.start():x.end()] = b"\1" * (x.end() - x.start())
                     at = x.end() if x.start() == m.start() else m.start()  # what stands before it may hold another
                     break
             else:

@@ -1,4 +1,6 @@
+import hmac
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -74,3 +76,36 @@ def test_values_between_words_and_digits(value, before, after):
     fresh, kinds = P.rewrite(f"see {before}{value}{after}", NET.permute)
     assert kind in kinds and fresh.endswith(alone + after), fresh
     assert kinds == [kind] * (2 if "GB29NWBK60161331926819" in before else 1)
+
+
+@pytest.mark.parametrize("value", ["0123456789abcdef" * 625, "token=" + "aB3" * 3000, "x9" * 10_000 + "@mail.example.com", "password=" + "q" * 70])
+def test_long_values_are_permuted_and_come_back(value):
+    fresh, kinds = P.rewrite(f"see {value} here", NET.permute)
+    assert len(kinds) == 1 and len(fresh) == len(f"see {value} here") and value not in fresh
+    assert P.rewrite(fresh, NET.invert)[0] == f"see {value} here"
+
+
+def test_many_values_in_one_text_take_linear_time():
+    text = " ".join(f"u{i}@mail{i}.example.com" for i in range(20_000))
+    start = time.process_time()
+    assert len(P.find(text)) == 20_000
+    assert time.process_time() - start < 2
+
+
+def test_plain_network_agrees():
+    """Rounds written out: the right half is hashed into the left one, and the halves change places."""
+    def plain(label, size, value):
+        half = max(1, ((size - 1).bit_length() + 1) // 2)
+        while True:
+            left, right = divmod(value, 2 ** half)
+            for i in range(P.ROUNDS):
+                message = f"{label}|{half}|{i}|".encode() + right.to_bytes((half + 7) // 8, "big")
+                noise = b"".join(hmac.digest(b"test", message + bytes([n]), "sha256") for n in range((half + 255) // 256))
+                left, right = right, left ^ int.from_bytes(noise, "big") % 2 ** half
+            value = left * 2 ** half + right
+            if value < size:
+                return value
+
+    for size in (2, 10, 1000, 10 ** 9, 26 ** 64, 16 ** 64):
+        for value in (0, 1, size // 3, size - 1):
+            assert NET.permute("l", size, value) == plain("l", size, value)
