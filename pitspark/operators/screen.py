@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import normal_cdf
+from .unitroot import augmented_test
 
 # MacKinnon's response surface for a constant, one series.
 TAU_SPLIT, TAU_LOW, TAU_HIGH = -1.61, -18.83, 2.74
@@ -43,34 +44,29 @@ def _pairs(history: DataFrame, target: str, candidates: DataFrame | None) -> Dat
 
 
 def cointegration(history: DataFrame, target: str, candidates: DataFrame | None = None,
-                  p_max: float = 0.05, min_obs: int = 30) -> DataFrame:
+                  p_max: float = 0.05, min_obs: int = 30, max_lag: int | None = None) -> DataFrame:
     """Residual unit-root test of every candidate on every date.
 
-    (k, symbol, n, hedge_ratio, t_stat, p_value, cointegrated, reverse, selected).
-    The test regresses the residual's change on its level with a constant and no
-    further lags, all from running sums; a thin candidate is not selected.
+    (k, symbol, n, hedge_ratio, lag, t_stat, p_value, cointegrated, reverse, selected).
+    The test regresses the residual's change on its level, a constant and the changes before;
+    how many of those is chosen by AIC up to ``max_lag``, Schwert's rule where it is not given.
+    A thin candidate is not selected.
     """
-    pairs = _pairs(history, target, candidates)
-    whole = Window.partitionBy("k", "symbol")
-    fitted = pairs.withColumn("n", F.count("*").over(whole)).withColumn(
-        "slope", F.regr_slope("close", "x").over(whole)).withColumn("intercept", F.regr_intercept("close", "x").over(whole))
-    residual = fitted.withColumn("e", F.col("close") - F.col("slope") * F.col("x") - F.col("intercept"))
-    residual = residual.withColumn("e0", F.lag("e").over(whole.orderBy("event_date"))).withColumn("de", F.col("e") - F.col("e0"))
-    stats = residual.groupBy("k", "symbol").agg(
-        F.max("n").alias("n"), F.max("slope").alias("hedge_ratio"), F.count("de").alias("m"),
-        F.regr_sxx("de", "e0").alias("sxx"), F.regr_syy("de", "e0").alias("syy"), F.regr_sxy("de", "e0").alias("sxy"))
-    beta = F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx"))
-    left = F.greatest(F.col("syy") - beta * F.col("sxy"), F.lit(0.0))
-    error = F.sqrt(F.when(F.col("m") > 2, left / (F.col("m") - 2)) / F.when(F.col("sxx") > 0, F.col("sxx")))
-    tested = stats.withColumn("t_stat", F.when((F.col("n") >= min_obs) & (error > 0), beta / error))
+    paired = F.sort_array(F.collect_list(F.struct("event_date", "x", "close"))).alias("pairs")
+    fitted = _pairs(history, target, candidates).groupBy("k", "symbol").agg(
+        F.count("*").alias("n"), F.regr_slope("close", "x").alias("slope"), F.regr_intercept("close", "x").alias("intercept"), paired)
+    enough = F.col("n") >= min_obs
+    residuals = F.transform("pairs", lambda p: p["close"] - F.col("slope") * p["x"] - F.col("intercept"))
+    tested = fitted.select("k", "symbol", "n", F.when(enough, F.col("slope")).alias("hedge_ratio"),
+                           augmented_test(F.when(enough & F.col("slope").isNotNull(), residuals).otherwise(F.array().cast("array<double>")), max_lag).alias("test"))
+    tested = tested.select("*", F.col("test.lag").alias("lag"), F.col("test.t").alias("t_stat")).drop("test")
     z = unit_root_z(F.col("t_stat"))
     fits = F.coalesce(z < NormalDist().inv_cdf(p_max), F.lit(False))
-    reverse = F.coalesce((F.col("n") >= min_obs) & (F.col("hedge_ratio") < 0), F.lit(False))
+    reverse = F.coalesce(F.col("hedge_ratio") < 0, F.lit(False))
     p_value = F.when(z == float("inf"), 1.0).when(z == float("-inf"), 0.0).otherwise(normal_cdf(z))
     return tested.select(
-        "k", "symbol", "n", F.when(F.col("n") >= min_obs, F.col("hedge_ratio")).alias("hedge_ratio"), "t_stat",
-        F.when(F.col("t_stat").isNotNull(), p_value).alias("p_value"), fits.alias("cointegrated"),
-        reverse.alias("reverse"), (fits & reverse).alias("selected"))
+        "k", "symbol", "n", "hedge_ratio", "lag", "t_stat", F.when(F.col("t_stat").isNotNull(), p_value).alias("p_value"),
+        fits.alias("cointegrated"), reverse.alias("reverse"), (fits & reverse).alias("selected"))
 
 
 def ranking(tested: DataFrame) -> DataFrame:

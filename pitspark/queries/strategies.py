@@ -252,12 +252,28 @@ _Z = "CASE WHEN {0} > 2.74 THEN CAST('inf' AS DOUBLE) WHEN {0} < -18.83 THEN CAS
 cte("pairs", f"""SELECT c.k, c.symbol, c.event_date, c.close AS y, t.close AS x FROM index_hist c JOIN index_hist t
     ON t.k = c.k AND t.event_date = c.event_date AND t.symbol = '{TARGET}' WHERE c.symbol <> '{TARGET}'""", ["index_hist"])
 cte("fits", "SELECT k, symbol, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM pairs GROUP BY k, symbol", ["pairs"])
-cte("resid", """SELECT k, symbol, n, slope, e, lag(e) OVER (PARTITION BY k, symbol ORDER BY event_date) AS e0 FROM (
-      SELECT k, symbol, event_date, n, slope, y - slope * x - intercept AS e FROM pairs JOIN fits USING (k, symbol))""", ["pairs", "fits"])
-cte("df_stats", """SELECT k, symbol, max(n) AS n, max(slope) AS slope, count(e0) AS m, regr_sxx(e - e0, e0) AS sxx, regr_syy(e - e0, e0) AS syy, regr_sxy(e - e0, e0) AS sxy
-    FROM resid GROUP BY k, symbol""", ["resid"])
-cte("tested", f"""SELECT *, {_Z.format('t')} AS z FROM (SELECT k, symbol, n, slope,
-      CASE WHEN n >= 30 THEN (sxy / sxx) / sqrt((greatest(syy - sxy / sxx * sxy, 0) / (m - 2)) / sxx) END AS t FROM df_stats WHERE n >= 30)""", ["df_stats"])
+cte("resid", """SELECT k, symbol, any_value(n) AS n, any_value(slope) AS slope, list(y - slope * x - intercept ORDER BY event_date) AS e,
+      least(any_value(n) // 2 - 2, CAST(ceil(12 * pow(any_value(n) / 100.0, 0.25)) AS BIGINT)) AS most
+    FROM pairs JOIN fits USING (k, symbol) WHERE n >= 30 GROUP BY k, symbol""", ["pairs", "fits"])
+cte("changes", "SELECT *, list_transform(range(1, n), lambda t: e[t + 1] - e[t]) AS d FROM resid", ["resid"])
+_GRAM = "list_transform({0}, lambda a: list_transform({0}, lambda b: list_dot_product(a, b)))"
+_LEFT = "list_transform(range(2, len(g) + 1), lambda i: list_transform(range(2, len(g) + 1), lambda j: g[i][j] - g[i][1] * g[1][j] / g[1][1]))"
+# after eliminating s columns the corner is the residual sum of squares with s - 2 lags
+cte("wide", f"""SELECT k, symbol, n, most, 0 AS s, {_GRAM.format('x')} AS g FROM (SELECT *, list_concat(
+      [list_transform(range(most, n - 1), lambda t: 1.0::DOUBLE), e[most + 1:n - 1]], list_transform(range(1, most + 1), lambda j: d[most + 1 - j:n - 1 - j]), [d[most + 1:n - 1]]) AS x FROM changes)
+    UNION ALL SELECT k, symbol, n, most, s + 1, {_LEFT} FROM wide WHERE s < most + 2""", ["changes"])
+cte("chosen_lag", """SELECT k, symbol, CAST(s - 2 AS INTEGER) AS lag FROM wide WHERE s >= 2
+    QUALIFY row_number() OVER (PARTITION BY k, symbol ORDER BY (n - 1 - most) * ln(g[-1][-1] / (n - 1 - most)) + 2 * s, s) = 1""", ["wide"])
+cte("narrow", f"""SELECT k, symbol, n, slope, lag, 0 AS s, {_GRAM.format('x')} AS g FROM (SELECT *, list_concat(
+      [list_transform(range(lag, n - 1), lambda t: 1.0::DOUBLE)], list_transform(range(1, lag + 1), lambda j: d[lag + 1 - j:n - 1 - j]), [e[lag + 1:n - 1], d[lag + 1:n - 1]]) AS x
+      FROM changes JOIN chosen_lag USING (k, symbol))
+    UNION ALL SELECT k, symbol, n, slope, lag, s + 1, {_LEFT} FROM narrow WHERE s < lag + 1""", ["changes", "chosen_lag"])
+cte("tested", f"""SELECT *, {_Z.format('t')} AS z FROM (SELECT k, symbol, n, slope, lag,
+      g[1][2] / sqrt((g[2][2] - g[1][2] * g[1][2] / g[1][1]) / (n - 1 - lag - (lag + 2)) * g[1][1]) AS t FROM narrow WHERE s = lag + 1)""", ["narrow"])
+# the normal distribution as in Abramowitz and Stegun 7.1.26
+_TAIL = """(((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u) * exp(-z * z / 2) / 2"""
+cte("p_tested", f"""SELECT *, CASE WHEN z = 'inf'::DOUBLE THEN 1.0 WHEN z = '-inf'::DOUBLE THEN 0.0 WHEN z >= 0 THEN 1.0 - {_TAIL} ELSE {_TAIL} END AS p
+    FROM (SELECT *, 1.0::DOUBLE / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS u FROM tested)""", ["tested"])
 
 
 @query("a13_hedge_ratio", sql("fits", f"""
@@ -267,13 +283,13 @@ def _(spark, d):
         F.col("k").cast("long").alias("k"), "symbol", "n", r("slope").alias("slope"), r("intercept", 4).alias("intercept"))
 
 
-@query("a14_cointegration", sql("tested", f"""
-    SELECT CAST(k AS BIGINT) AS k, symbol, n, {rd('slope')} AS hedge_ratio, {rd('t')} AS t_stat, z < -1.6448536269514726 AS cointegrated, slope < 0 AS reverse,
-      z < -1.6448536269514726 AND slope < 0 AS selected FROM tested"""))
+@query("a14_cointegration", sql("p_tested", f"""
+    SELECT CAST(k AS BIGINT) AS k, symbol, n, {rd('slope')} AS hedge_ratio, lag, {rd('t')} AS t_stat, {rd('p')} AS p_value, z < -1.6448536269514726 AS cointegrated,
+      slope < 0 AS reverse, z < -1.6448536269514726 AND slope < 0 AS selected FROM p_tested"""))
 def _(spark, d):
     return screen.cointegration(index_history(spark, d), TARGET).filter("n >= 30").select(
-        F.col("k").cast("long").alias("k"), "symbol", "n", r("hedge_ratio").alias("hedge_ratio"), r("t_stat").alias("t_stat"),
-        "cointegrated", "reverse", "selected")
+        F.col("k").cast("long").alias("k"), "symbol", "n", r("hedge_ratio").alias("hedge_ratio"), "lag", r("t_stat").alias("t_stat"),
+        r("p_value").alias("p_value"), "cointegrated", "reverse", "selected")
 
 
 cte("chosen", "SELECT k, symbol, t FROM tested WHERE z < -1.6448536269514726 AND slope < 0", ["tested"])
