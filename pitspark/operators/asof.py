@@ -59,6 +59,73 @@ def latest_asof(rows: DataFrame, calendar: Calendar, key: str = "symbol",
     return cells.withColumn("as_of", calendar.as_of(F.col("k")))
 
 
+# -- dates that are a table ---------------------------------------------------
+#
+# Neither probes nor dates are brought to the driver here, and their number is not limited.
+# Time is cut into parts of some hours. What was known when a part began is a running maximum
+# over the newest row of each part, one row per (key, part); inside a part quotes and probes
+# are ordered together. Rows are dealt by (key, part), so a key that holds a third of all rows
+# still spreads over its parts.
+
+
+def _part(t: Column, hours: int) -> Column:
+    """Number of the part of ``hours`` that a time lies in; growing with time."""
+    return F.floor((F.datediff(t, F.lit("1970-01-01")).cast("long") * 24 + F.hour(t)) / hours)
+
+
+def _quoted(quotes: DataFrame, key: str, available: str, order: tuple[str, ...], value: str, hours: int) -> DataFrame:
+    known = quotes.filter(F.col(available).isNotNull())
+    return known.select(key, F.col(available).alias("t"), _part(F.col(available), hours).alias("part"), F.struct(*order, value).alias("row"))
+
+
+def _inside(key: str) -> Column:
+    """The newest row up to now within the part; rows of one moment see each other."""
+    return F.max("row").over(Window.partitionBy(key, "part").orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+
+
+def asof_join(probes: DataFrame, quotes: DataFrame, key: str = "symbol", time: str = "as_of", available: str = "available_date",
+              order: tuple[str, ...] = BY_RELEASE, value: str = "close", hours: int = 24) -> DataFrame:
+    """J1 / J2 for probes of any number: every probe row, ``order`` columns and ``value`` of the row in force for its key then.
+
+    A probe sees what was available at its own moment. Without a key, a time or anything
+    visible the added columns are null; equal probes are answered each.
+    """
+    quoted = _quoted(quotes, key, available, order, value, hours)
+    probe = F.struct(*[F.col(c) for c in probes.columns])
+    asked = probes.select(F.col(key), F.col(time).alias("t"), _part(F.col(time), hours).alias("part"), probe.alias("probe"))
+    both = quoted.unionByName(asked, allowMissingColumns=True)
+    tops = both.groupBy(key, "part").agg(F.max("row").alias("top"))
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(key, "part", F.max("top").over(before).alias("carry"))
+    seen = both.select(key, "part", "probe", _inside(key).alias("inside")).filter("probe is not null")
+    found = seen.join(carried, [key, "part"], "left").select("probe", F.when(
+        F.col(key).isNotNull() & F.col("part").isNotNull(), F.greatest("inside", "carry")).alias("row"))
+    added = [c for c in (*order, value) if c not in probes.columns]
+    return found.select("probe.*", *[F.col(f"row.{c}") for c in added])
+
+
+def latest_over(rows: DataFrame, dates: DataFrame, key: str = "symbol", order: tuple[str, ...] = BY_RELEASE, value: str = "close",
+                available: str = "available_date", hours: int = 24) -> DataFrame:
+    """J1 / J2 over a table of dates (as_of): (key, as_of, order columns, value) on every date with something available.
+
+    A part in which a key has no quote takes the row carried into it, without any sort; only
+    the dates of other parts are ordered among the quotes.
+    """
+    quoted = _quoted(rows, key, available, order, value, hours)
+    asked = dates.filter("as_of is not null").select("as_of").distinct().withColumn("part", _part(F.col("as_of"), hours))
+    first, last = (asked.agg(f("part")).scalar() for f in (F.min, F.max))
+    steps = Window.partitionBy(key).orderBy("part")
+    spans = quoted.groupBy(key, "part").agg(F.max("row").alias("top")).select(
+        key, "part", F.lead("part").over(steps).alias("following"), F.max("top").over(steps.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.max("top").over(steps.rowsBetween(Window.unboundedPreceding, 0)).alias("row"))
+    start, stop = F.greatest(F.col("part") + 1, first), F.least(F.coalesce(F.col("following") - 1, last), last)
+    quiet = spans.filter(start <= stop).select(key, F.explode(F.sequence(start, stop)).alias("part"), "row").join(asked, "part").select(key, "as_of", "row")
+    busy = spans.select(key, "part", F.col("before").alias("carry")).join(asked, "part").withColumn("t", F.col("as_of"))
+    both = busy.unionByName(quoted.join(asked.select("part").distinct(), "part", "left_semi"), allowMissingColumns=True)
+    moved = both.select(key, "as_of", F.greatest(_inside(key), "carry").alias("row")).filter("as_of is not null and row is not null")
+    return quiet.unionByName(moved).select(key, "as_of", *[F.col(f"row.{c}") for c in (*order, value)])
+
+
 def price_legs(prices: DataFrame, calendar: Calendar) -> DataFrame:
     """(symbol, k, close, leg): as-of close and the return to the next calendar date.
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import asof, calendars, pit
-from ..operators.calendars import Calendar
 from . import base
-from .base import D, MONTHLY, day, query, r, rd, sql
+from .base import D, MONTHLY, cte, day, query, r, rd, sql
 
 AS_OF = "1999-06-30"
 _AT = f"TIMESTAMP '{AS_OF}'"
@@ -114,12 +113,50 @@ def _(spark, d):
       JOIN prices p ON p.available_date <= c.as_of) WHERE rn = 1"""))
 def _(spark, d):
     rows = base.prices(spark, d)
-    replay = Calendar.collect(calendars.event_dates(rows, "1998-01-01", "1999-12-31"))
-    return asof.latest_asof(rows, replay).select(
+    return asof.latest_over(rows, calendars.event_dates(rows, "1998-01-01", "1999-12-31")).select(
         day("as_of").alias("as_of"), "symbol", day("available_date").alias("available_date"),
         F.when(~F.isnan("close"), r("close")).alias("close"))
 
 
+def event_quotes(spark, d):
+    """Each event quotes its type for the hour it lies in; the quote is out 1 to 40 minutes later, or, revised, after two days."""
+    late = F.when(F.col("event_id") % 9 == 0, 2880).otherwise(1 + F.col("event_id") % 40)
+    events = base.table(spark, d, "events").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "value", late.alias("late"))
+    return events.select("symbol", F.expr("ts - make_dt_interval(0, 0, minute(ts), second(ts))").alias("event_date"),
+                         F.expr("ts + make_dt_interval(0, 0, late)").alias("available_date"), F.col("value").alias("close"))
+
+
+cte("event_quotes", """SELECT event_type AS symbol, ts - to_minutes(minute(ts)) - to_seconds(second(ts)) AS event_date,
+      ts + to_minutes(CASE WHEN event_id % 9 = 0 THEN 2880 ELSE 1 + event_id % 40 END) AS available_date, value AS close FROM events""", [])
+_MOMENT = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
+def moment(column):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+@query("j1_intraday_replay", sql("event_quotes", f"""
+    SELECT {_MOMENT.format('p.as_of')} AS as_of, p.symbol, {_MOMENT.format('q.available_date')} AS available_date, {_MOMENT.format('q.event_date')} AS event_date, {rd('q.close')} AS close
+    FROM probes p ASOF JOIN newest q ON p.symbol = q.symbol AND p.as_of >= q.available_date""",
+    newest="SELECT * FROM event_quotes QUALIFY row_number() OVER (PARTITION BY symbol, available_date ORDER BY event_date DESC, close DESC) = 1",
+    probes="SELECT as_of, symbol FROM (SELECT DISTINCT ts AS as_of FROM events), (SELECT DISTINCT symbol FROM event_quotes)"))
+def _(spark, d):
+    moments = base.table(spark, d, "events").select(F.col("ts").cast("timestamp_ntz").alias("as_of"))
+    return asof.latest_over(event_quotes(spark, d), moments).select(
+        moment("as_of").alias("as_of"), "symbol", moment("available_date").alias("available_date"), moment("event_date").alias("event_date"), r("close").alias("close"))
+
+
+@query("j2_asof_join_events", sql("event_quotes", f"""
+    SELECT event_id, symbol, {_MOMENT.format('found.event_date')} AS event_date, {_MOMENT.format('found.available_date')} AS available_date, {rd('found.close')} AS close FROM (
+      SELECT event_id, symbol, max(CASE WHEN event_id IS NULL THEN quote END) OVER (PARTITION BY symbol ORDER BY t RANGE UNBOUNDED PRECEDING) AS found FROM (
+        SELECT NULL::BIGINT AS event_id, symbol, available_date AS t, {{'event_date': event_date, 'available_date': available_date, 'close': close}} AS quote FROM event_quotes
+        UNION ALL SELECT event_id, event_type, ts, NULL FROM events)) WHERE event_id IS NOT NULL"""))
+def _(spark, d):
+    probes = base.table(spark, d, "events").select("event_id", F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("as_of"))
+    return asof.asof_join(probes, event_quotes(spark, d), order=asof.BY_PERIOD).select(
+        "event_id", "symbol", moment("event_date").alias("event_date"), moment("available_date").alias("available_date"), r("close").alias("close"))
+
+
 @query("j2_macro_latest", sql("macro_asof", f"""
     SELECT {D.format('as_of')} AS as_of, series, {D.format('event_date')} AS event_date,
            {D.format('available_date')} AS available_date, {rd('value', 4)} AS value FROM macro_asof"""))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import source_symbol
-from ..operators.calendars import Calendar
 from ..operators.pit import approximate_availability, derive_listings, strict_only
 from ..schemas import CHART, MACRO, PRICES, SNAPSHOT
 
@@ -141,19 +140,19 @@ def envelope(payloads: DataFrame, kind: str = "live", window_since: str | None =
 def gap_slices(observations: DataFrame, days: DataFrame, window_since: str) -> DataFrame:
     """(day, source, rows, last_event) of what each rebuilt day could have known.
 
-    A day keeps the observations from the window's start up to itself. The missing
-    days form a small calendar: an observation finds its first day by lookup and is
-    repeated for the later ones, without a range join.
+    A day keeps the observations from the window's start up to itself, which are the
+    first so many of its source's: a source becomes one row of them in order, no larger
+    than the payload of its last day, and is cut for every day. The days are one row too.
     """
-    missing = Calendar.collect(days.select(F.to_date("day").cast("timestamp_ntz").alias("as_of")))
     inside = observations.filter(F.to_date("event_date") >= F.lit(window_since).cast("date"))
-    first = missing.ordinal(F.to_date("event_date").cast("timestamp_ntz"))
-    rows = inside.withColumn("k", first).filter("k is not null").withColumn("k", F.explode(F.sequence("k", F.lit(len(missing) - 1))))
-    rows = rows.withColumn("day", missing.as_of(F.col("k")).cast("date"))
     # one payload holds at most one observation per event date
-    newest = rows.groupBy("day", "source", "event_date").agg(F.max_by("value", "available_date").alias("value"))
-    return newest.groupBy("day", "source").agg(
-        F.sort_array(F.collect_list(F.struct("event_date", "value"))).alias("rows"), F.max("event_date").alias("last_event"))
+    newest = inside.groupBy("source", "event_date").agg(F.max_by("value", "available_date").alias("value"))
+    sources = newest.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("event_date", "value"))).alias("all"))
+    wanted = days.select(F.to_date("day").alias("day")).filter("day is not null").distinct().agg(F.sort_array(F.collect_list("day"))).scalar()
+    known = F.filter("wanted", lambda d: d >= F.to_date(F.col("all")[0]["event_date"]))
+    rows = sources.select("source", "all", wanted.alias("wanted")).select("source", "all", F.explode(known).alias("day")).select(
+        "day", "source", F.filter("all", lambda x: F.to_date(x["event_date"]) <= F.col("day")).alias("rows"))
+    return rows.withColumn("last_event", F.element_at("rows", -1)["event_date"])
 
 
 def slices_to_csv(slices: DataFrame) -> DataFrame:
