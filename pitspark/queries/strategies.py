@@ -178,6 +178,19 @@ def _(spark, d):
         "k", "p.symbol", r(F.col("p.mu")).alias("mu"))
 
 
+@query("a9_all_suppliers", sql("hist qcal", f"""
+    SELECT CAST(a.k AS BIGINT) AS k, a.symbol AS s1, b.symbol AS s2, {rd('covar_samp(a.ret, b.ret) * 12')} AS covariance
+    FROM rets a JOIN rets b USING (k, event_date) GROUP BY a.k, a.symbol, b.symbol HAVING count(*) >= 24""",
+    sound="SELECT q.k, symbol, event_date, close FROM hist JOIN qcal q USING (as_of) WHERE close > 0",
+    every="SELECT k, event_date FROM sound GROUP BY k, event_date HAVING count(DISTINCT symbol) = (SELECT count(*) FROM supplier)",
+    rets="""SELECT * FROM (SELECT k, symbol, event_date, row_number() OVER (PARTITION BY k, symbol ORDER BY event_date DESC) AS rn,
+              close / lag(close) OVER (PARTITION BY k, symbol ORDER BY event_date) - 1 AS ret FROM sound SEMI JOIN every USING (k, event_date)) WHERE rn <= 36 AND ret IS NOT NULL"""))
+def _(spark, d):
+    history = asof.history_asof(base.prices(spark, d), base.QUARTERLY).filter(asof.usable(F.col("close")))
+    _, covariances = moments.block_moments(history, base.suppliers(spark, d), [36])
+    return covariances.select(F.col("k").cast("long").alias("k"), "s1", "s2", r("covariance").alias("covariance"))
+
+
 # -- allocation ---------------------------------------------------------------
 
 _CANDIDATES = allocation.candidates(ASSETS)
