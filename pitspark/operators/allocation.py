@@ -2,21 +2,23 @@
 
 The universe of one allocation is configuration (a handful of symbols), the
 number of allocations is not: dates, horizons and parameter sets are rows. Each
-row carries its means and covariance as arrays and is solved on its own by a
-vectorised Pandas UDF, so rows spread over the cluster in any way Spark likes.
+row carries its means and covariance as arrays and is solved on its own along its critical
+line in a Pandas UDF, so rows spread over the cluster in any way Spark likes and none waits
+for another. Where risks are independent the weights have a closed form over ordered means,
+in column expressions.
 """
 
 from __future__ import annotations
 
 import sys
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .calendars import Calendar
@@ -27,87 +29,145 @@ from .weights import COLUMNS
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _project(v: np.ndarray, top: float) -> np.ndarray:
-    """Nearest points with sum one and entries in [0, top], per row.
+#: relative size of what separates equal means and keeps a singular covariance solvable
+NUDGE = 1e-12
+NUDGED_MOST = 1e-6
+#: violation of the optimality conditions that rounding may leave
+EXACT = 1e-8
 
-    The sum of clip(v - tau, 0, top) is piecewise linear in tau with its corners at
-    v and v - top, so the right tau lies on a line between two corners.
+
+@dataclass(frozen=True)
+class Solution:
+    """Weights and the multipliers that show them to be optimal.
+
+    ``regime`` is ``corner`` (the cap does not bind), ``cap`` (it does) or ``least_variance``
+    (it cannot be met). With ``tilt`` t and ``level`` g the weights solve
+    min w'Cw/2 - t * mu'w: C w - t * mu - g is zero where a weight lies between its bounds,
+    not negative at zero and not positive at the limit. ``residual`` is the largest violation
+    of this, of the bounds, of the sum and of the cap, each relative to its scale.
     """
-    corners = np.sort(np.concatenate([v - top, v], axis=1), axis=1)
-    sums = np.clip(v[:, None, :] - corners[:, :, None], 0.0, top).sum(2)
-    right = np.clip((sums >= 1.0).sum(1), 1, corners.shape[1] - 1)[:, None]
-    t0, t1 = np.take_along_axis(corners, right - 1, 1), np.take_along_axis(corners, right, 1)
-    s0, s1 = np.take_along_axis(sums, right - 1, 1), np.take_along_axis(sums, right, 1)
-    drop = s0 - s1
-    tau = t0 + (t1 - t0) * np.where(drop > 0, (s0 - 1.0) / np.where(drop > 0, drop, 1.0), 0.0)
-    w = np.clip(v - tau, 0.0, top)
-    return w / w.sum(1, keepdims=True)
-
-
-def _variance(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    return np.einsum("bi,bij,bj->b", w, cov, w)
-
-
-def _efficient(mu: np.ndarray, cov: np.ndarray, tilt: np.ndarray, top: float, start: np.ndarray) -> np.ndarray:
-    """min w'Cw/2 - tilt * mu'w over the capped simplex, by accelerated projected gradient."""
-    step = 1.0 / np.maximum(np.linalg.norm(cov, axis=(1, 2)), 1e-300)
-    w, ahead, t = start, start, 1.0
-    for _ in range(400):
-        slope = np.einsum("bij,bj->bi", cov, ahead) - tilt[:, None] * mu
-        new = _project(ahead - step[:, None] * slope, top)
-        t_new = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
-        ahead = new + (t - 1.0) / t_new * (new - w)
-        if np.abs(new - w).max() < 1e-12:
-            return new
-        w, t = new, t_new
-    return w
 
+    weights: np.ndarray
+    regime: str
+    tilt: float | None
+    level: float | None
+    residual: float
 
-def solve(mu: np.ndarray, cov: np.ndarray, cap: np.ndarray, top: float = 1.0) -> np.ndarray:
-    """Weights per row: max mu'w with w'Cw <= cap^2; the least-variance weights where none qualify."""
-    rows, n = mu.shape
+
+def _checked(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, cap: float, top: float, regime: str, tilt: float | None, level: float | None) -> Solution:
+    curve = np.zeros(len(mu)) if tilt is None else cov @ w
+    slope = curve - (1.0 if tilt is None else tilt) * mu - level
+    returns = max(np.abs(mu).max(), np.sqrt(np.trace(cov) / len(mu)), 1e-300)  # returns are measured against risk where they are nil
+    scale = max(np.abs(cov).max() if tilt is not None else 0.0, (1.0 if tilt is None else tilt) * returns)
+    edge = 1e-9
+    off = np.where(w <= edge, np.maximum(-slope, 0.0), np.where(w >= top - edge, np.maximum(slope, 0.0), np.abs(slope))) / scale
+    over = 0.0 if regime == "least_variance" else max(w @ cov @ w - cap * cap, 0.0) / max(cap * cap, edge * np.abs(cov).max(), 1e-300)
+    return Solution(w, regime, tilt, level, float(max(off.max(), abs(w.sum() - 1.0), -w.min(), w.max() - top, over, 0.0)))
+
+
+def critical_line(mu: np.ndarray, cov: np.ndarray, cap: float, top: float = 1.0) -> Solution:
+    """max mu'w with w'Cw <= cap^2, sum one and 0 <= w <= top; the least-variance weights where none qualify.
+
+    Starts at the richest corner and follows the efficient frontier down. Between two turning
+    points the weights are linear in the tilt, so each is met exactly; a turning point moves one
+    weight to or from a bound. It ends where the variance meets the cap or the tilt is zero.
+    A set of bounds that came before, or conditions that do not hold at the end, mean a tie or a
+    singular covariance; then means and variances are nudged apart, ever further.
+    """
+    n = len(mu)
     top = max(top, 1.0 / n)
-    equal = np.full((rows, n), 1.0 / n)
-    # the richest corner: fill the best means first
-    rank = np.argsort(np.argsort(-mu, axis=1, kind="stable"), axis=1)
-    corner = np.clip(1.0 - rank * top, 0.0, top)
-    low = _efficient(mu, cov, np.zeros(rows), top, equal)
-    tight = _variance(corner, cov) > cap ** 2
-    reach = _variance(low, cov) <= cap ** 2
-    # between the two the cap binds; variance grows with the tilt, so bisect it
-    spread = np.maximum(np.ptp(mu, axis=1), 1e-12)
-    lo, hi = np.zeros(rows), np.full(rows, 1e3) * np.abs(cov).max((1, 2)) / spread
-    w_lo, w_hi = low, corner
-    for _ in range(45):
-        mid = (lo + hi) / 2.0
-        w = _efficient(mu, cov, mid, top, w_lo)
-        fits = _variance(w, cov) <= cap ** 2
-        lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid)
-        w_lo, w_hi = np.where(fits[:, None], w, w_lo), np.where(fits[:, None], w_hi, w)
-    # the path is piecewise linear in the tilt: step to the cap along the last piece
-    move = w_hi - w_lo
-    a, b = _variance(move, cov), np.einsum("bi,bij,bj->b", w_lo, cov, move)
-    c = _variance(w_lo, cov) - cap ** 2
-    share = np.where(a > 1e-18, (-b + np.sqrt(np.maximum(b * b - a * c, 0.0))) / np.maximum(a, 1e-18), 0.0)
-    bound = w_lo + np.clip(share, 0.0, 1.0)[:, None] * move
-    best = np.where(tight[:, None], bound, corner)
-    return np.where(reach[:, None], best, low)
-
-
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve_rows(mu: pd.Series, cov: pd.Series, cap: pd.Series, top: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(mu), dtype=object)
-    known = mu.dropna()
-    for (n, w_max), idx in known.index.to_series().groupby([known.map(len), top[known.index]]).groups.items():
-        m = np.stack([np.asarray(mu[i], dtype=float) for i in idx])
-        c = np.stack([np.asarray(cov[i], dtype=float).reshape(n, n) for i in idx])
-        for i, w in zip(idx, solve(m, c, cap[idx].to_numpy(dtype=float), w_max)):
-            out[i] = w.tolist()
-    return out
+    ridge = max(np.trace(cov) / n, 1e-12)
+    mean_size = max(np.abs(mu).max(), np.sqrt(ridge))
+    order = np.argsort(-mu, kind="stable")
+    corner = np.zeros(n)
+    corner[order] = np.clip(1.0 - np.arange(n) * top, 0.0, top)
+    last = order[np.flatnonzero(corner[order] > 0)[-1]]
+    if corner @ cov @ corner <= cap * cap:
+        return _checked(corner, mu, cov, cap, top, "corner", None, -mu[last])
+    nudge = 0.0
+    while True:
+        rich = mu.copy()
+        rich[order] -= nudge * mean_size * np.arange(n)
+        found = _follow(rich, cov + nudge * ridge * np.eye(n), cov, cap, top, corner, last)
+        if found is not None:
+            w, regime, tilt, level = found
+            solution = _checked(np.clip(w, 0.0, top), mu, cov, cap, top, regime, tilt, level)
+            if solution.residual < EXACT or nudge > NUDGED_MOST:
+                return solution
+        nudge = max(NUDGE, 8.0 * nudge)
+
+
+def _follow(mu, solid, cov, cap, top, corner, last):
+    n = len(mu)
+    side = np.where(corner > 0, 1, -1)  # at the limit, at zero, or free
+    side[last] = 0
+    tilt, seen = np.inf, set()
+    while True:
+        if side.tobytes() in seen:
+            return None
+        seen.add(side.tobytes())
+        free, fixed = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+        m = len(free)
+        system = np.zeros((m + 1, m + 1))
+        system[:m, :m], system[:m, m], system[m, :m] = solid[np.ix_(free, free)], -1.0, 1.0
+        right = np.zeros((m + 1, 2))
+        right[:m, 0], right[m, 0], right[:m, 1] = -solid[np.ix_(free, fixed)].sum(1) * top, 1.0 - top * len(fixed), mu[free]
+        try:
+            solved = np.linalg.solve(system, right)
+        except np.linalg.LinAlgError:
+            return None
+        if not np.isfinite(solved).all():
+            return None
+        a, b = np.zeros(n), np.zeros(n)
+        a[fixed] = top
+        a[free], b[free] = solved[:m, 0], solved[:m, 1]
+        p, q = solid @ a - solved[m, 0], solid @ b - mu - solved[m, 1]
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            turn = np.where(side == 0, np.where(b > 0, -a / b, np.where(b < 0, (top - a) / b, -np.inf)),
+                            np.where((side < 0) & (q > 0) | (side > 0) & (q < 0), -p / q, -np.inf))
+        turn = np.where(np.isfinite(turn), np.minimum(turn, tilt), -np.inf)
+        i = int(turn.argmax())
+        stop = max(turn[i], 0.0)
+        flat, cross, bend = a @ cov @ a, a @ cov @ b, b @ cov @ b
+        if flat + 2.0 * stop * cross + stop * stop * bend <= cap * cap:
+            at = stop
+            if bend > 0:
+                at = (-cross + np.sqrt(max(cross * cross - bend * (flat - cap * cap), 0.0))) / bend
+                at = min(max(at, stop), tilt)
+            return a + at * b, "cap", at, solved[m, 0] + at * solved[m, 1]
+        if stop == 0.0:
+            return a, "least_variance", 0.0, solved[m, 0]
+        side[i] = 0 if side[i] else (-1 if b[i] > 0 else 1)
+        tilt = stop
+
+
+def solve(mu: np.ndarray, cov: np.ndarray, cap: np.ndarray, top: float = 1.0) -> np.ndarray:
+    """Weights per row."""
+    return np.stack([critical_line(m, c, float(x), top).weights for m, c, x in zip(mu, cov, cap)])
+
+
+SOLUTION = "struct<w:array<double>,regime:string,tilt:double,level:double,residual:double>"
+
+
+def _solve_rows(mu: pd.Series, cov: pd.Series, cap: pd.Series, top: pd.Series) -> pd.DataFrame:
+    rows = []
+    for m, c, x, t in zip(mu, cov, cap, top):
+        if m is None:
+            rows.append((None,) * 5)
+            continue
+        m = np.asarray(m, float)
+        found = critical_line(m, np.asarray(c, float).reshape(len(m), len(m)), float(x), float(t))
+        rows.append((found.weights.tolist(), found.regime, found.tilt, found.level, found.residual))
+    return pd.DataFrame(rows, columns=["w", "regime", "tilt", "level", "residual"]).astype({c: "Float64" for c in ("tilt", "level", "residual")})
+
+
+def optimum(mu: Column, cov: Column, vol_cap: Column, w_max: Column) -> Column:
+    """struct(w, regime, tilt, level, residual): weights with the multipliers that prove them; null where the mean is."""
+    return pandas_udf(_solve_rows, SOLUTION)(mu, cov, vol_cap, w_max)
 
 
 def best_weights(mu: Column, cov: Column, vol_cap: Column, w_max: Column) -> Column:
-    return _solve_rows(mu, cov, vol_cap, w_max)
+    return optimum(mu, cov, vol_cap, w_max)["w"]
 
 
 def _spread(rows: DataFrame, symbols: list[str], run: str) -> DataFrame:
@@ -154,12 +214,64 @@ def multi_horizon(history: DataFrame, symbols: list[str], calendar: Calendar, ho
 
 def diagonal_allocation(estimates: DataFrame, symbols: list[str], vol_cap: float = 0.30, w_max: float = 1.0,
                         mean: str = "expected_return", run: str = "forecast_allocation") -> DataFrame:
-    """Estimates with independent risks; any degraded symbol turns the date into equal weight."""
+    """Estimates with independent risks; any degraded symbol turns the date into equal weight.
+
+    Without a weight limit the held symbols are those of highest mean, so the best weights lie
+    among as many candidates as there are symbols, each known from running sums over the means
+    in order (``water_levels``). With one, the critical line is followed.
+    """
+    mine = estimates.filter(F.col("symbol").isin(symbols)).select("k", "symbol", F.col(mean).alias("mu"), F.col("volatility").alias("sigma"), "status")
+    if w_max < 1.0:
+        return _limited_diagonal(mine, symbols, vol_cap, w_max, run)
+    date = Window.partitionBy("k")
+    sound = (F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).over(date) == len(symbols)) & (F.count("*").over(date) == len(symbols))
+    marked = mine.select("*", sound.alias("sound"))
+    optimal = water_levels(marked.filter("sound"), vol_cap).select("k", "symbol", "weight")
+    equal = marked.filter("not sound").select("k").distinct().select("k", F.explode(F.array(*[F.lit(s) for s in symbols])).alias("symbol"), F.lit(1.0 / len(symbols)).alias("weight"))
+    return optimal.unionByName(equal).select(F.lit(run).alias("run"), "k", "symbol", "weight").select(*COLUMNS)
+
+
+def water_levels(rows: DataFrame, vol_cap: float) -> DataFrame:
+    """(k, symbol, mu, sigma, weight, regime): best weights of (k, symbol, mu, sigma) with independent risks.
+
+    At tilt t and level g a weight is max(t * mu + g, 0) / sigma^2. Over the first symbols by
+    mean, with A, B and C the sums of 1, mu and mu^2 over sigma^2, the sum of weights fixes g and
+    the cap fixes t: t^2 = (cap^2 - 1/A) / (C - B^2/A). Of the candidates whose least weight is
+    not negative the one of highest return is the optimum; with none the cap cannot be met and
+    the least variance, t = 0 over all symbols, is taken.
+    """
+    date = Window.partitionBy("k")
+    ordered = date.orderBy(F.desc("mu"), "symbol")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    precision = 1.0 / (F.col("sigma") * F.col("sigma"))
+    sums = rows.select("*", F.row_number().over(ordered).alias("place"), F.first("mu").over(upto).alias("top"), F.sum(precision).over(upto).alias("a"),
+                       F.sum(F.col("mu") * precision).over(upto).alias("b"))
+    # the spread of means around their weighted mean, from the first mean on, loses no digits where they are close
+    gap = F.col("mu") - F.col("top")
+    sums = sums.select("*", F.sum(gap * precision).over(upto).alias("gb"), F.sum(gap * gap * precision).over(upto).alias("gc"))
+    spread = F.when(F.col("top") == F.col("mu"), 0.0).otherwise(F.greatest(F.col("gc") - F.col("gb") * F.col("gb") / F.col("a"), F.lit(0.0)))
+    room = F.lit(float(vol_cap) ** 2) - 1.0 / F.col("a")
+    tilt = F.when(spread > 0, F.sqrt(F.greatest(room, F.lit(0.0)) / spread)).otherwise(0.0)
+    told = sums.withColumn("tilt", tilt).withColumn("spread", spread).withColumn("room", room)
+    least = 1.0 / F.col("a") + F.col("tilt") * (gap - F.col("gb") / F.col("a"))
+    gained = F.col("b") / F.col("a") + F.col("tilt") * F.col("spread")
+    fits = (F.col("room") >= 0) & (least >= -1e-12 / F.col("a"))
+    candidate = F.struct(gained.alias("gain"), (-F.col("place")).alias("first"), "a", "gb", "tilt")
+    picked = told.select("k", "symbol", "mu", "sigma", "place", "top", F.max(F.when(fits, candidate)).over(date).alias("best"),
+                         F.sum(precision).over(date).alias("whole"))
+    inside = F.col("place") <= -F.col("best.first")
+    share = (1.0 / F.col("best.a") + F.col("best.tilt") * (gap - F.col("best.gb") / F.col("best.a"))) * precision
+    weight = F.when(F.col("best").isNull(), precision / F.col("whole")).when(inside, F.greatest(share, F.lit(0.0))).otherwise(0.0)
+    regime = F.when(F.col("best").isNull(), "least_variance").when((F.col("best.first") == -1), "corner").otherwise("cap")
+    return picked.select("k", "symbol", "mu", "sigma", weight.alias("weight"), regime.alias("regime"))
+
+
+def _limited_diagonal(mine: DataFrame, symbols: list[str], vol_cap: float, w_max: float, run: str) -> DataFrame:
     def per_symbol(name):
         return F.array(*[F.max(F.when(F.col("symbol") == s, F.col(name))) for s in symbols])
 
-    rows = estimates.filter(F.col("symbol").isin(symbols)).groupBy("k").agg(
-        per_symbol(mean).alias("mu"), per_symbol("volatility").alias("sigma"),
+    rows = mine.groupBy("k").agg(
+        per_symbol("mu").alias("mu"), per_symbol("sigma").alias("sigma"),
         F.when(F.bool_and(F.col("status") == "ok") & (F.count("*") == len(symbols)), 1).otherwise(0).alias("n"))
     size = len(symbols)
     square = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.when(

@@ -222,14 +222,25 @@ def _(spark, d):
     return metric_output(m.withColumnRenamed("run", "run_id"), "run_id", "segment")
 
 
-@query("b5_return_risk_benchmark")
+def _against_equal(run: str) -> str:
+    cte(f"{run}_pair", f"SELECT * FROM {run} UNION ALL SELECT 'baseline', k, symbol, weight FROM wi_equal", [run, "wi_equal"])
+    return sql(f"{run}_pair index_legs seg", f"""
+        SELECT run AS run_id, {rd('sharpe')} AS oos_net_sharpe, run = 'baseline' AS is_baseline, row_number() OVER (ORDER BY sharpe DESC, run) AS rank
+        FROM metric WHERE segment = 'out_of_sample'""", **backtest_blocks(f"{run}_pair", "index_legs", 5))
+
+
+def _board(found):
+    return found.select("run_id", r("oos_net_sharpe").alias("oos_net_sharpe"), "is_baseline", F.col("rank").cast("long").alias("rank"))
+
+
+@query("b5_return_risk_benchmark", _against_equal("forecast_allocation"))
 def _(spark, d):
-    return benchmarks.return_risk_benchmark(base.index_prices(spark, d), CONFIG, base.ASSETS).select("run_id", r("oos_net_sharpe").alias("oos_net_sharpe"), "is_baseline", "rank")
+    return _board(benchmarks.return_risk_benchmark(base.index_prices(spark, d), CONFIG, base.ASSETS))
 
 
-@query("b5_robust_benchmark")
+@query("b5_robust_benchmark", _against_equal("robust_allocation"))
 def _(spark, d):
-    return benchmarks.robust_benchmark(base.index_prices(spark, d), CONFIG, base.ASSETS).select("run_id", r("oos_net_sharpe").alias("oos_net_sharpe"), "is_baseline", "rank")
+    return _board(benchmarks.robust_benchmark(base.index_prices(spark, d), CONFIG, base.ASSETS))
 
 
 cte("wi_two", "SELECT * FROM wi_equal UNION ALL SELECT * FROM wi_sma", ["wi_equal", "wi_sma"])

@@ -212,9 +212,67 @@ def _(spark, d):
                         r("expected_return").alias("expected_return"), r("variance").alias("variance"))
 
 
-@query("m7_mean_variance")
+# The optimum by trying out every set of held symbols: on each, weights are a + t * b for a tilt t, from one linear
+# system, with variance g + t^2 * (b . mu); of those within the cap and not negative the highest return is the optimum.
+cte("hz", "SELECT * FROM (VALUES (0, 12, 0.20::DOUBLE, 0.25::DOUBLE), (1, 36, 0.30, 0.50), (2, 60, 0.35, 0.25)) AS t(h, lookback, cap, share)", [])
+cte("hrets", """SELECT h, k, symbol, event_date, ret FROM hz JOIN (SELECT k, symbol, event_date, row_number() OVER (PARTITION BY k, symbol ORDER BY event_date DESC) AS rn,
+      close / lag(close) OVER (PARTITION BY k, symbol ORDER BY event_date) - 1 AS ret FROM index_hist SEMI JOIN complete USING (k, event_date)) ON rn <= lookback
+    WHERE ret IS NOT NULL""", ["hz", "complete"])
+cte("hmus", """SELECT k, h, list(mu ORDER BY symbol) AS mu FROM (SELECT k, h, symbol, avg(ret) * 12 AS mu FROM hrets GROUP BY k, h, symbol HAVING count(*) >= 24)
+    GROUP BY k, h""", ["hrets"])
+cte("hcovs", """SELECT k, h, list(c ORDER BY s1) AS cov FROM (SELECT k, h, s1, list(c ORDER BY s2) AS c FROM (
+      SELECT a.k, a.h, a.symbol AS s1, b.symbol AS s2, covar_samp(a.ret, b.ret) * 12 AS c FROM hrets a JOIN hrets b USING (k, h, event_date) GROUP BY a.k, a.h, a.symbol, b.symbol)
+    GROUP BY k, h, s1) GROUP BY k, h""", ["hrets"])
+cte("hproblems", "SELECT k, h, cap, mu, cov FROM hmus JOIN hcovs USING (k, h) JOIN hz USING (h)", ["hmus", "hcovs", "hz"])
+
+
+def _optima(problems: str, name: str) -> dict[str, str]:
+    """Blocks over ``problems`` (k, h, cap, mu, cov); the block ``name`` has the best weights (k, h, symbol, weight)."""
+    names = ", ".join(f"'{a}'" for a in ASSETS)
+    return {
+        f"{name}_held": f"""SELECT *, list_concat(list_transform(held, lambda i: list_concat(list_transform(held, lambda j: cov[i][j]), [-1.0::DOUBLE, 0.0, mu[i]])),
+              [list_concat(list_transform(held, lambda j: 1.0::DOUBLE), [0.0::DOUBLE, 1.0, 0.0])]) AS g, 0 AS step FROM {problems},
+              (SELECT mask, list_filter(range(1, {len(ASSETS) + 1}), lambda i: (mask >> (i - 1)::INTEGER) & 1 = 1) AS held FROM range(1, {2 ** len(ASSETS)}) AS m(mask))""",
+        f"{name}_solved": f"""SELECT k, h, cap, mu, cov, held, step, g FROM {name}_held
+            UNION ALL SELECT k, h, cap, mu, cov, held, step + 1, list_transform(range(1, len(g) + 1), lambda i: list_transform(range(1, len(g) + 3), lambda j:
+              CASE WHEN i = step + 1 THEN g[i][j] / g[i][i] ELSE g[i][j] - g[i][step + 1] * g[step + 1][j] / g[step + 1][step + 1] END)) FROM {name}_solved WHERE step < len(g)""",
+        f"{name}_lines": f"""SELECT *, list_sum(list_transform(range(1, len(held) + 1), lambda i: b[i] * mu[held[i]])) AS bend FROM (
+              SELECT k, h, cap, mu, cov, held, list_transform(g[:len(held)], lambda r: r[-2]) AS a, list_transform(g[:len(held)], lambda r: r[-1]) AS b, g[-1][-2] AS flat
+              FROM {name}_solved WHERE step = len(g))""",
+        f"{name}_tried": f"""SELECT k, h, held, list_sum(list_transform(range(1, len(held) + 1), lambda i: w[i] * mu[held[i]])) AS gain, flat, fits, w FROM (
+              SELECT *, 0 AS fits, a AS w FROM {name}_lines
+              UNION ALL SELECT *, 1, a FROM {name}_lines WHERE len(held) = 1 AND flat <= cap * cap
+              UNION ALL SELECT *, 1, list_transform(range(1, len(held) + 1), lambda i: a[i] + sqrt(greatest(cap * cap - flat, 0) / bend) * b[i]) FROM {name}_lines
+              WHERE len(held) > 1 AND bend > 1e-14 AND flat <= cap * cap) WHERE list_min(w) >= -1e-11""",
+        f"{name}_best": f"SELECT * FROM {name}_tried QUALIFY row_number() OVER (PARTITION BY k, h ORDER BY fits DESC, CASE fits WHEN 1 THEN -gain ELSE flat END, len(held)) = 1",
+        name: f"""SELECT k, h, ([{names}])[i] AS symbol, coalesce(w[list_position(held, i)], 0) AS weight FROM {name}_best, range(1, {len(ASSETS) + 1}) AS s(i)""",
+    }
+
+
+_EQUAL = f"{1.0 / len(ASSETS)!r}::DOUBLE"
+_NAMES = "(SELECT DISTINCT symbol FROM index_prices)"
+
+
+@query("m7_mean_variance", sql("cal index_prices hproblems", f"""
+    SELECT 'mean_variance' AS run, CAST(c.k AS BIGINT) AS k, s.symbol, {rd(f'coalesce(weight, {_EQUAL})')} AS weight FROM cal c CROSS JOIN {_NAMES} s
+    LEFT JOIN optimum o ON o.k = c.k AND o.symbol = s.symbol""", medium="SELECT * FROM hproblems WHERE h = 1", **_optima("medium", "optimum")))
 def _(spark, d):
-    return _weights(allocation.mean_variance(index_history(spark, d), ASSETS, MONTHLY, 0.30))
+    found = allocation.mean_variance(index_history(spark, d), ASSETS, MONTHLY, 0.30)
+    return found.select("run", F.col("k").cast("long").alias("k"), "symbol", r("weight").alias("weight"))
+
+
+@query("m7_optimality", sql("cal hproblems", f"""
+    SELECT CAST(k AS BIGINT) AS k, CASE WHEN fits = 0 THEN 'least_variance' WHEN len(held) = 1 THEN 'corner' ELSE 'cap' END AS regime, {rd('gain')} AS expected_return,
+      {rd('CASE WHEN fits = 1 AND len(held) > 1 THEN 0.09 ELSE flat END')} AS variance, TRUE AS optimal FROM optimum_best""",
+    medium="SELECT * FROM hproblems WHERE h = 1", **_optima("medium", "optimum")))
+def _(spark, d):
+    rows = moments.moments(index_history(spark, d), ASSETS, MONTHLY).filter("n > 0")
+    solved = rows.select("k", "mu", "cov", allocation.optimum(F.col("mu"), F.col("cov"), F.lit(0.30), F.lit(1.0)).alias("o"))
+    n = len(ASSETS)
+    gain = F.aggregate(F.zip_with("mu", "o.w", lambda m, x: m * x), F.lit(0.0), lambda s, x: s + x)
+    cells = F.transform(F.col("cov"), lambda c, i: c * F.get(F.col("o.w"), (i / n).cast("int")) * F.get(F.col("o.w"), i % n))
+    return solved.select(F.col("k").cast("long").alias("k"), "o.regime", r(gain).alias("expected_return"),
+                         r(F.aggregate(cells, F.lit(0.0), lambda s, x: s + x)).alias("variance"), (F.col("o.residual") < 1e-7).alias("optimal"))
 
 
 @query("m7_optimum_dominates_candidates", sql("mus covs", f"""
@@ -240,22 +298,49 @@ def _(spark, d):
                        better.alias("not_worse"), (F.col("v") <= F.greatest(F.lit(0.09), F.col("variance")) + 1e-7).alias("within_cap"))
 
 
-@query("m8_multi_horizon")
+@query("m8_multi_horizon", sql("cal index_prices hz hproblems", f"""
+    SELECT 'multi_horizon' AS run, CAST(c.k AS BIGINT) AS k, s.symbol, {rd(f'sum(share * coalesce(weight, {_EQUAL}))')} AS weight
+    FROM cal c CROSS JOIN {_NAMES} s CROSS JOIN hz LEFT JOIN optimum o ON o.k = c.k AND o.symbol = s.symbol AND o.h = hz.h GROUP BY c.k, s.symbol""",
+    **_optima("hproblems", "optimum")))
 def _(spark, d):
-    return _weights(allocation.multi_horizon(index_history(spark, d), ASSETS, MONTHLY))
+    found = allocation.multi_horizon(index_history(spark, d), ASSETS, MONTHLY)
+    return found.select("run", F.col("k").cast("long").alias("k"), "symbol", r("weight").alias("weight"))
+
 
+# M9 and M10 by the same trial of every set, with covariances of nothing but own variances
+cte("iest", """SELECT k, symbol, count(*) AS n, avg(ret) * 12 AS mean, stddev_pop(ret) * sqrt(12.0) AS vol, sqrt(coalesce(avg(ret * ret) FILTER (WHERE ret < 0), 0)) * sqrt(12.0) AS below
+    FROM (SELECT k, symbol, close / lag(close) OVER (PARTITION BY k, symbol ORDER BY event_date) - 1 AS ret FROM (
+      SELECT *, row_number() OVER (PARTITION BY k, symbol ORDER BY event_date DESC) AS rn FROM index_hist) WHERE rn <= 37) WHERE ret IS NOT NULL GROUP BY k, symbol""", ["index_hist"])
 
-@query("m9_forecast_allocation")
+
+def _independent(name: str, mean: str, floor: str) -> None:
+    cte(f"{name}_problems", f"""SELECT k, 0 AS h, 0.30::DOUBLE AS cap, mu, list_transform(range(1, len(mu) + 1), lambda i: list_transform(range(1, len(mu) + 1), lambda j:
+          CASE WHEN i = j THEN vol[i] * vol[i] ELSE 0.0 END)) AS cov FROM (SELECT k, list({mean} ORDER BY symbol) AS mu, list(greatest(vol, {floor}) ORDER BY symbol) AS vol
+        FROM iest GROUP BY k HAVING count(*) = {len(ASSETS)} AND min(n) >= 24)""", ["iest"])
+    needs = f"{name}_problems"
+    for block, text in _optima(f"{name}_problems", f"{name}_optimum").items():
+        cte(block, text, [needs])
+        needs = block
+    cte(name, f"SELECT '{name}' AS run, c.k, s.symbol, coalesce(weight, {_EQUAL}) AS weight FROM cal c CROSS JOIN {_NAMES} s LEFT JOIN {name}_optimum o ON o.k = c.k AND o.symbol = s.symbol",
+        ["cal", "index_prices", needs])
+
+
+_independent("forecast_allocation", "mean", "1e-9")
+_independent("robust_allocation", "mean - below", "1e-6")
+
+
+@query("m9_forecast_allocation", sql("forecast_allocation", f"SELECT run, CAST(k AS BIGINT) AS k, symbol, {rd('weight')} AS weight FROM forecast_allocation"))
 def _(spark, d):
     px = base.index_prices(spark, d)
-    return _weights(allocation.diagonal_allocation(moments.return_risk(px, base.assets(spark), MONTHLY), ASSETS))
+    found = allocation.diagonal_allocation(moments.return_risk(px, base.assets(spark), MONTHLY), ASSETS)
+    return found.select("run", F.col("k").cast("long").alias("k"), "symbol", r("weight").alias("weight"))
 
 
-@query("m10_robust_allocation")
+@query("m10_robust_allocation", sql("robust_allocation", f"SELECT run, CAST(k AS BIGINT) AS k, symbol, {rd('weight')} AS weight FROM robust_allocation"))
 def _(spark, d):
-    px = base.index_prices(spark, d)
-    est = moments.downside_risk(px, base.assets(spark), MONTHLY)
-    return _weights(allocation.diagonal_allocation(est, ASSETS, mean="adjusted_return", run="robust_allocation"))
+    est = moments.downside_risk(base.index_prices(spark, d), base.assets(spark), MONTHLY)
+    found = allocation.diagonal_allocation(est, ASSETS, mean="adjusted_return", run="robust_allocation")
+    return found.select("run", F.col("k").cast("long").alias("k"), "symbol", r("weight").alias("weight"))
 
 
 # -- screen -------------------------------------------------------------------

@@ -134,17 +134,6 @@ def test_solver_respects_the_weight_limit_and_gains_from_a_looser_cap():
     assert gains == sorted(gains)
 
 
-def test_projection_is_the_nearest_point():
-    rng = np.random.default_rng(0)
-    for top in (1.0, 0.5):
-        v = rng.normal(0, 1, (50, 4))
-        w = allocation._project(v, top)
-        assert np.allclose(w.sum(1), 1) and w.min() >= 0 and w.max() <= top + 1e-12
-        grid = np.array([g for g in simplex_grid(4, 20) if g.max() <= top])
-        nearest = ((v[:, None, :] - grid[None]) ** 2).sum(2).min(1)
-        assert (((v - w) ** 2).sum(1) <= nearest + 1e-12).all()
-
-
 def test_thin_history_is_equal_weight(spark):
     rows = monthly("A", "2019-01-01", 10) + monthly("B", "2019-01-01", 10, 20.0)
     days = Calendar.between("2019-06-01", "2019-10-31")
