@@ -1,22 +1,22 @@
 """A small learned forecaster, trained on every date at once.
 
-Training is full-batch gradient descent on one hidden tanh layer, so an epoch is a
-sum over training windows: each task adds up the gradients of its windows for every
-date and parameter set, Spark adds the tasks, and the driver keeps only the weights,
-whose number follows the calendar and the grid and never the panel. No date's
-windows are ever brought together in one task.
+Training is full-batch gradient descent on one hidden tanh layer. Fitted networks are a
+table keyed by (net, date), and nothing of it passes through the driver. Where a date's
+windows fit a task, they meet there once for some networks and all epochs are run in that
+pass. Larger dates stay in blocks: an epoch is a sum of gradients over blocks, joined to the
+weights of the epoch before, which are again a table, written after every epoch.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import local_table, materialise
@@ -25,6 +25,14 @@ from .calendars import Calendar
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: windows of a date that one task trains on
+TOGETHER = 200_000
+#: windows of a block of a larger date
+BLOCK = 50_000
+#: networks that a task trains on the windows it was given
+NETS_EACH = 4
+FITTED = "net int, k int, weights array<double>, losses array<double>"
+
 
 @dataclass(frozen=True)
 class Network:
@@ -88,62 +96,93 @@ def _scales(rows: DataFrame, lookback: int) -> DataFrame:
                                  F.array(*[F.stddev_pop(c) for c in columns]).alias("std"))
 
 
-def _standard(frame: pd.DataFrame, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
-    return (np.stack(frame["x"].to_numpy()) - mean[:-1]) / np.where(std[:-1] > 1e-12, std[:-1], 1.0)
+def _standard(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    return (x - mean[:-1]) / np.where(std[:-1] > 1e-12, std[:-1], 1.0)
+
 
+def _inputs(frame: pd.DataFrame, mean: np.ndarray, std: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _standard(np.stack(frame["x"].to_numpy()), mean, std), (frame["y"].to_numpy() - mean[-1]) / std[-1]
 
-def train(rows: DataFrame, nets: Sequence[Network]) -> tuple[dict, dict, dict]:
-    """Fit every network on every date with enough windows.
+
+def train(rows: DataFrame, nets: Sequence[Network], together: int = TOGETHER) -> DataFrame:
+    """(net, k, n, mean, std, weights, losses): every network fitted on every date with enough windows.
 
     ``rows`` come from :func:`windows` for the nets' common lookback, best as a written
-    table, since every epoch reads them. Returns the scales per date, the weights per
-    (net, date) and the loss per epoch.
+    table. ``losses`` holds each epoch's loss before its step. A date of more than
+    ``together`` windows is trained in blocks, with the same result up to rounding.
     """
     lookback = nets[0].lookback
     if any(n.lookback != lookback for n in nets):
         raise ValueError("networks trained together share a lookback")
-    spark = rows.sparkSession
     table = rows.select("k", "x", "y")
-    scales = {r["k"]: (r["n"], np.array(r["mean"]), np.array(r["std"])) for r in _scales(table, lookback).collect()}
-    fits = {k: s for k, s in scales.items() if s[2][-1] > 1e-12}
-    weights = {(i, k): net.start() for i, net in enumerate(nets) for k, s in fits.items() if s[0] >= net.min_obs}
-    losses: dict = {key: [] for key in weights}
-    networks = list(nets)
+    scales = materialise(_scales(table, lookback).filter(F.element_at("std", -1) > 1e-12), "scales")
+    fitted = _train_whole(table, scales.filter(F.col("n") <= together), list(nets))
+    large = scales.filter(F.col("n") > together)
+    if not large.isEmpty():
+        fitted = fitted.unionByName(_train_blocks(table, large, list(nets)))
+    return fitted.join(scales, "k").select("net", "k", "n", "mean", "std", "weights", "losses")
+
+
+def _train_whole(table: DataFrame, scales: DataFrame, nets: list[Network]) -> DataFrame:
+    """All epochs in one pass, some networks of a date in a task."""
+    groups = -(-len(nets) // NETS_EACH)
+
+    def run(key, frame):
+        group, k = key
+        mean, std = (np.array(frame[c].iloc[0]) for c in ("mean", "std"))
+        x, y = _inputs(frame, mean, std)
+        out = []
+        for i, net in list(enumerate(nets))[int(group)::groups]:
+            if len(y) < net.min_obs:
+                continue
+            weights, losses = net.start(), []
+            for _ in range(net.epochs):
+                slope = net.gradient(weights, x, y) / len(y)
+                losses.append(slope[-1])
+                weights = weights - net.rate * slope[:-1]
+            out.append((i, int(k), weights, losses))
+        return pd.DataFrame(out, columns=["net", "k", "weights", "losses"])
+
+    least = min(n.min_obs for n in nets)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("nets")
+    met = table.join(scales.filter(F.col("n") >= least), "k").select(spread, "k", "x", "y", "mean", "std")
+    return met.groupBy("nets", "k").applyInPandas(run, FITTED)
+
+
+def _train_blocks(table: DataFrame, scales: DataFrame, nets: list[Network]) -> DataFrame:
+    """An epoch at a time: gradients of blocks, summed place by place, move the weights of the epoch before."""
+    spark = table.sparkSession
+    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = table.join(scales.select("k", parts.alias("parts")), "k").withColumn("part", F.pmod(F.xxhash64("x", "y", F.monotonically_increasing_id()), F.col("parts")))
+    packed = dealt.groupBy("k", "part").agg(F.collect_list(F.struct("x", "y")).alias("rows"))
+    blocks = materialise(packed, "blocks")
+    start = local_table(spark, [(i, n.min_obs, float(n.rate), n.epochs, ",".join(map(repr, n.start().tolist()))) for i, n in enumerate(nets)],
+                        "net int, min_obs int, rate double, epochs int, start string")
+    fresh = F.split("start", ",").cast("array<double>")
+    state = scales.select("k", "n", "mean", "std").join(start, F.col("n") >= F.col("min_obs")).select(
+        "net", "k", "n", "mean", "std", "rate", "epochs", fresh.alias("weights"), F.array().cast("array<double>").alias("losses"))
+    state = materialise(state, "weights")
+
+    def partial(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                frame = pd.DataFrame(list(row.rows))
+                slope = nets[row.net].gradient(np.array(row.weights), *_inputs(frame, np.array(row.mean), np.array(row.std)))
+                out += [(row.net, row.k, j, float(v)) for j, v in enumerate(slope)]
+            yield pd.DataFrame(out, columns=["net", "k", "j", "v"])
+
     for epoch in range(max(n.epochs for n in nets)):
-        live = {key: w for key, w in weights.items() if epoch < nets[key[0]].epochs}
-        if not live:
-            break
-        sent = spark.sparkContext.broadcast((live, {k: fits[k] for _, k in live}))
-
-        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            current, scale = sent.value
-            sums: dict = {}
-            for batch in batches:
-                for k, part in batch.groupby("k"):
-                    mine = [i for i in range(len(networks)) if (i, k) in current]
-                    if not mine:
-                        continue
-                    _, mean, std = scale[k]
-                    x, y = _standard(part, mean, std), (part["y"].to_numpy() - mean[-1]) / std[-1]
-                    for i in mine:
-                        sums[(i, k)] = sums.get((i, k), 0.0) + networks[i].gradient(current[(i, k)], x, y)
-            if sums:
-                yield pd.DataFrame([(i, int(k), j, float(v)) for (i, k), g in sums.items() for j, v in enumerate(g)], columns=["net", "k", "j", "v"])
-
-        for row in _summed(table, partial).collect():
-            key = (row["net"], row["k"])
-            g = np.array(row["g"]) / fits[row["k"]][0]
-            losses[key].append(float(g[-1]))
-            weights[key] = weights[key] - nets[key[0]].rate * g[:-1]
-        sent.unpersist()
-    return scales, weights, losses
-
-
-def _summed(table: DataFrame, partial) -> DataFrame:
-    """(net, k, g): task sums added up per position, then put in order."""
-    cells = table.mapInPandas(partial, "net int, k int, j int, v double").groupBy("net", "k", "j").agg(F.sum("v").alias("v"))
-    ordered = F.sort_array(F.collect_list(F.struct("j", "v")))
-    return cells.groupBy("net", "k").agg(F.transform(ordered, lambda p: p["v"]).alias("g"))
+        live = state.filter(F.col("epochs") > epoch)
+        cells = blocks.join(live.select("net", "k", "weights", "mean", "std"), "k").mapInPandas(partial, "net int, k int, j int, v double")
+        summed = cells.groupBy("net", "k", "j").agg(F.sum("v").alias("v")).groupBy("net", "k").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("g"))
+        slope = F.transform("g", lambda p: p["v"] / F.col("n"))
+        moved = state.join(summed, ["net", "k"], "left").withColumn("slope", slope)
+        step = F.transform("weights", lambda w, i: w - F.col("rate") * F.get("slope", i))
+        state = materialise(moved.select(
+            "net", "k", "n", "mean", "std", "rate", "epochs", F.when(F.col("slope").isNull(), F.col("weights")).otherwise(step).alias("weights"),
+            F.when(F.col("slope").isNull(), F.col("losses")).otherwise(F.concat("losses", F.array(F.element_at("slope", -1)))).alias("losses")), "weights")
+    return state.select("net", "k", "weights", "losses")
 
 
 def forecast(history: DataFrame, symbols: Sequence[str], calendar: Calendar, nets: Sequence[Network]) -> tuple[DataFrame, DataFrame]:
@@ -167,39 +206,40 @@ def forecast(history: DataFrame, symbols: Sequence[str], calendar: Calendar, net
     return rows, trace
 
 
+def _guess(nets: Sequence[Network]) -> Column:
+    """The network's answer to ``x``, by its place ``net``, in column expressions."""
+    scaled = F.transform("x", lambda v, i: (v - F.get("mean", i)) / F.when(F.get("std", i) > 1e-12, F.get("std", i)).otherwise(1.0))
+
+    def answer(net: Network) -> Column:
+        inner, hidden = net.lookback * net.hidden, net.hidden
+        total = F.get("weights", F.lit(net.size - 1))
+        for h in range(hidden):
+            own = F.filter("weights", lambda _, i: (i < inner) & (i % hidden == h))  # one weight per input
+            terms = F.zip_with(scaled, own, lambda v, w: v * w)
+            layer = F.tanh(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) + F.get("weights", F.lit(inner + h)))
+            total = total + layer * F.get("weights", F.lit(inner + hidden + h))
+        return total * F.element_at("std", -1) + F.element_at("mean", -1)
+
+    found = F.lit(None).cast("double")
+    for i, net in enumerate(nets):
+        found = F.when(F.col("net") == i, answer(net)).otherwise(found)
+    return found
+
+
 def _forecast_together(history: DataFrame, symbols: Sequence[str], calendar: Calendar, nets: Sequence[Network]) -> tuple[DataFrame, DataFrame]:
-    spark, lookback, networks = history.sparkSession, nets[0].lookback, list(nets)
+    spark, lookback = history.sparkSession, nets[0].lookback
     mine = history.filter(F.col("symbol").isin(list(symbols)))
-    # every epoch reads the windows again; a written table survives lost executors
+    # scales, training and the newest windows read it; a written table survives lost executors
     table = materialise(windows(mine, lookback), "windows")
-    scales, weights, losses = train(table, nets)
+    fitted = materialise(train(table, nets), "fitted")
     newest = newest_windows(table)
     whole = newest.groupBy("k").agg((F.count("*") == len(set(symbols))).alias("whole"))
-    sent = spark.sparkContext.broadcast((scales, weights))
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scale, fitted = sent.value
-        for batch in batches:
-            out = []
-            for k, part in batch.groupby("k"):
-                for i, net in enumerate(networks):
-                    value = np.full(len(part), np.nan)
-                    if (i, k) in fitted:
-                        _, mean, std = scale[k]
-                        value = net.predict(fitted[(i, k)], _standard(part, mean, std))[0] * std[-1] + mean[-1]
-                    out.append(pd.DataFrame({"net": i, "k": part["k"].to_numpy(), "symbol": part["symbol"].to_numpy(), "value": value}))
-            if out:
-                yield pd.concat(out)
-
     full = newest.join(whole.filter("whole"), "k", "left_semi").select("k", "symbol", "x")
-    guessed = full.mapInPandas(predict, "net int, k int, symbol string, value double")
+    guessed = full.join(fitted, "k").select("net", "k", "symbol", _guess(nets).alias("value"))
     grid = local_table(spark, [(s,) for s in symbols], "symbol string").withColumn(
         "k", F.explode(F.sequence(F.lit(0), F.lit(len(calendar) - 1)))).withColumn(
         "net", F.explode(F.sequence(F.lit(0), F.lit(len(nets) - 1))))
     good = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
     rows = grid.join(guessed, ["net", "k", "symbol"], "left").select(
         "net", "k", "symbol", F.when(good, F.col("value")).otherwise(0.0).alias("expected_return"), F.when(good, "ok").otherwise("degraded").alias("status"))
-    # training stands behind every row, so it must not run again for each use
-    rows = materialise(rows, "forecast")
-    trace = [(i, k, e, v) for (i, k), values in losses.items() for e, v in enumerate(values)]
-    return rows, spark.createDataFrame(trace, "net int, k int, epoch int, loss double")
+    return rows, fitted.select("net", "k", F.posexplode("losses").alias("epoch", "loss"))

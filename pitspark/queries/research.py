@@ -222,7 +222,7 @@ def _(spark, d):
     return metric_output(m.withColumnRenamed("run", "run_id"), "run_id", "segment")
 
 
-def _against_equal(run: str) -> str:
+def against_equal(run: str) -> str:
     cte(f"{run}_pair", f"SELECT * FROM {run} UNION ALL SELECT 'baseline', k, symbol, weight FROM wi_equal", [run, "wi_equal"])
     return sql(f"{run}_pair index_legs seg", f"""
         SELECT run AS run_id, {rd('sharpe')} AS oos_net_sharpe, run = 'baseline' AS is_baseline, row_number() OVER (ORDER BY sharpe DESC, run) AS rank
@@ -233,12 +233,12 @@ def _board(found):
     return found.select("run_id", r("oos_net_sharpe").alias("oos_net_sharpe"), "is_baseline", F.col("rank").cast("long").alias("rank"))
 
 
-@query("b5_return_risk_benchmark", _against_equal("forecast_allocation"))
+@query("b5_return_risk_benchmark", against_equal("forecast_allocation"))
 def _(spark, d):
     return _board(benchmarks.return_risk_benchmark(base.index_prices(spark, d), CONFIG, base.ASSETS))
 
 
-@query("b5_robust_benchmark", _against_equal("robust_allocation"))
+@query("b5_robust_benchmark", against_equal("robust_allocation"))
 def _(spark, d):
     return _board(benchmarks.robust_benchmark(base.index_prices(spark, d), CONFIG, base.ASSETS))
 

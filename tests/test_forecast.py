@@ -8,6 +8,7 @@ from pitspark.operators import forecast as f
 from pitspark.operators.asof import history_asof
 from pitspark.operators.calendars import Calendar
 from pitspark.schemas import PRICES
+from pitspark.session import materialise
 
 
 def test_gradient_agrees_with_finite_differences():
@@ -46,17 +47,41 @@ def plain_fit(net, x, y):
     return w, trace
 
 
-def test_distributed_training_equals_training_in_one_place(spark):
+@pytest.mark.parametrize("together", [f.TOGETHER, 10])
+def test_distributed_training_equals_training_in_one_place(spark, together, monkeypatch):
+    """Whole dates and, where they are too large, blocks of about seven windows."""
+    monkeypatch.setattr(f, "BLOCK", 7)
     days = Calendar.of([datetime(2018, 1, 31), datetime(2019, 12, 31)])
     history = history_asof(spark.createDataFrame(panel(), PRICES), days)
-    net = f.Network(lookback=3, hidden=2, epochs=5)
-    rows = f.windows(history, 3)
-    _, weights, losses = f.train(rows, [net])
-    frame = rows.filter("k = 1").toPandas()
-    want, trace = plain_fit(net, np.stack(frame["x"]), frame["y"].to_numpy())
-    assert np.allclose(weights[(0, 1)], want, atol=1e-10)
-    assert np.allclose(losses[(0, 1)], trace, atol=1e-10)
-    assert losses[(0, 1)][-1] < losses[(0, 1)][0]
+    nets = [f.Network(lookback=3, hidden=2, epochs=5), f.Network(lookback=3, hidden=3, epochs=3, seed=4, rate=0.2), f.Network(lookback=3, min_obs=500)]
+    rows = materialise(f.windows(history, 3), "windows")
+    got = {(r["net"], r["k"]): r for r in f.train(rows, nets, together).collect()}
+    assert set(got) == {(i, k) for i in (0, 1) for k in (0, 1)}
+    for k in (0, 1):
+        frame = rows.filter(f"k = {k}").toPandas()
+        x, y = np.stack(frame["x"]), frame["y"].to_numpy()
+        for i, net in enumerate(nets[:2]):
+            want, trace = plain_fit(net, x, y)
+            assert np.allclose(got[i, k]["weights"], want, atol=1e-10) and np.allclose(got[i, k]["losses"], trace, atol=1e-10)
+            assert got[i, k]["n"] == len(y) and np.allclose(got[i, k]["mean"][:-1], x.mean(0)) and len(got[i, k]["losses"]) == net.epochs
+    assert got[0, 1]["losses"][-1] < got[0, 1]["losses"][0]
+
+
+def test_answers_are_the_networks(spark):
+    days = Calendar.of([datetime(2019, 12, 31)])
+    history = history_asof(spark.createDataFrame(panel(), PRICES), days)
+    nets = [f.Network(lookback=3, hidden=2, epochs=5), f.Network(lookback=5, hidden=3, epochs=2, seed=1)]
+    rows, trace = f.forecast(history, ["A", "B"], days, nets)
+    got = {(r["net"], r["symbol"]): r["expected_return"] for r in rows.collect()}
+    for i, net in enumerate(nets):
+        frame = f.windows(history, net.lookback).toPandas()
+        x, y = np.stack(frame["x"]), frame["y"].to_numpy()
+        weights, losses = plain_fit(net, x, y)
+        newest = {r["symbol"]: np.array(r["x"]) for r in f.newest_windows(f.windows(history, net.lookback)).collect()}
+        for symbol in "AB":
+            want = net.predict(weights, (newest[symbol] - x.mean(0)) / x.std(0))[0] * y.std() + y.mean()
+            assert got[i, symbol] == pytest.approx(want, abs=1e-12)
+        assert [r["loss"] for r in trace.filter(f"net = {i}").orderBy("epoch").collect()] == pytest.approx(losses)
 
 
 def test_forecasts_do_not_see_the_future_and_thin_dates_degrade(spark):
