@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import local_table
+from ..session import local_table, materialise
+from .ordering import neighbours, numbered
 
 # Periods per year of the rebalance frequencies.
 PERIODS_PER_YEAR = {"monthly": 12.0, "quarterly": 4.0, "semiannual": 2.0}
@@ -150,7 +151,7 @@ def event_dates(rows: DataFrame, start, end) -> DataFrame:
             .select(F.col("event_date").alias("as_of")).distinct())
 
 
-# -- rebalance triggers (calendar-sized inputs) -------------------------------
+# -- rebalance triggers -------------------------------------------------------
 
 
 def every_nth(dates: DataFrame, frequency: str | None) -> DataFrame:
@@ -159,20 +160,19 @@ def every_nth(dates: DataFrame, frequency: str | None) -> DataFrame:
         return dates.filter(F.lit(False))
     if frequency not in DATE_STEP:
         raise ValueError(f"no rebalancing known by the name {frequency}")
-    rank = F.row_number().over(Window.orderBy("as_of"))
-    return dates.withColumn("rank", rank).filter(F.col("rank") % DATE_STEP[frequency] == 0).drop("rank")
+    placed = numbered(dates, F.asc("as_of"), column="place")
+    return placed.filter(F.col("place") % DATE_STEP[frequency] == 0).drop("place")
 
 
 def on_change_or_due(labelled: DataFrame, frequency: str | None) -> DataFrame:
     """First date, dates due by time, and dates whose label left the previous one."""
     if frequency is not None and frequency not in DATE_STEP:
         raise ValueError(f"no rebalancing known by the name {frequency}")
-    order = Window.orderBy("as_of")
-    rank = F.row_number().over(order)
-    due = F.lit(False) if frequency is None else F.col("rank") % DATE_STEP[frequency] == 0
-    marked = labelled.select("*", rank.alias("rank"), F.lag("label").over(order).alias("before"))
-    return (marked.filter((F.col("rank") == 1) | due | (F.col("label") != F.col("before")))
-            .drop("rank", "before"))
+    due = F.lit(False) if frequency is None else F.col("place") % DATE_STEP[frequency] == 0
+    # numbered rows are read twice, once as each other's predecessors
+    marked = neighbours(materialise(numbered(labelled, F.asc("as_of"), column="place"), "placed"), "label", -1, "before", "place")
+    return (marked.filter((F.col("place") == 1) | due | (F.col("label") != F.col("before")))
+            .drop("place", "before"))
 
 
 def require_labels(dates: DataFrame, labels: DataFrame) -> DataFrame:
@@ -232,7 +232,8 @@ def fold_members(dates: DataFrame, plan: WalkForward) -> DataFrame:
 
 def next_dates(dates: DataFrame) -> DataFrame:
     """W14 as a table over distinct (as_of): the date that follows each, null after the last."""
-    return dates.select("as_of", F.lead("as_of").over(Window.orderBy("as_of")).alias("next_as_of"))
+    placed = materialise(numbered(dates.select("as_of"), F.asc("as_of"), column="place"), "placed")
+    return neighbours(placed, "as_of", 1, "next_as_of", "place").drop("place")
 
 
 def segments(calendar: Calendar, plan: WalkForward | None) -> dict[str, list[int]]:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import oos_net
 from ..operators.backtest import Backtest, run_backtest
+from ..operators.ordering import numbered
 from ..session import local_table, scratch_path
 from ..sources.runstore import CLAIM, checked_sharpe, latest_runs, log_runs
 from ..schemas import METRIC
@@ -45,17 +46,13 @@ def run_and_log(spark: SparkSession, runs: DataFrame, path: str | None = None) -
     return latest_runs(spark.read.parquet(path))
 
 
-def _ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-
-
 def leaderboard(runs: DataFrame, metric: str = "oos_net_sharpe", descending: bool = True) -> DataFrame:
     """O1: only the out-of-sample net Sharpe ranks; runs without one come last either way."""
     if metric != "oos_net_sharpe":
         raise ValueError(f"unsupported leaderboard metric: {metric}")
     rows = runs.select("run_id", "strategy_name", checked_sharpe(F.col("metrics")).alias(metric), "is_baseline")
     order = F.desc_nulls_last(metric) if descending else F.asc_nulls_last(metric)
-    return _ranked(rows, order, F.asc("run_id")).orderBy("rank")
+    return numbered(rows, order, F.asc("run_id")).orderBy("rank")
 
 
 def leaderboard_records(runs: DataFrame) -> DataFrame:
@@ -79,7 +76,7 @@ def required_sharpe() -> Column:
 def ranked_rows(runs: DataFrame) -> DataFrame:
     """O2: comparison rows, best first, baseline kept in sight."""
     rows = require_claim(runs).select("run_id", "strategy_name", required_sharpe().alias("oos_net_sharpe"), "is_baseline")
-    return _ranked(rows, F.desc("oos_net_sharpe"), F.asc("run_id")).orderBy("rank")
+    return numbered(rows, F.desc("oos_net_sharpe"), F.asc("run_id")).orderBy("rank")
 
 
 def family_scores(runs: DataFrame, families: DataFrame) -> DataFrame:
