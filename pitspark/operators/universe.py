@@ -114,6 +114,11 @@ def sufficiency(prices: DataFrame, min_assets: int = 2, min_months: float = 18.0
 
     Its facts are a dozen scalars; the universe itself stays a table (J10).
     """
+    return assess(prices, min_assets, min_months)[0]
+
+
+def assess(prices: DataFrame, min_assets: int = 2, min_months: float = 18.0) -> tuple[DataFrame, DataFrame]:
+    """A8 with what it rests on: the row of facts, and (symbol, start, end, median_days, cadence) of the shared universe."""
     # one pass over the quotes; what follows reads dates and spans per symbol
     dates = materialise(prices.groupBy("symbol", "event_date").agg(F.bool_or(usable(F.col("close"))).alias("ok")), "dates")
     spans = materialise(dates.filter("ok").groupBy("symbol").agg(F.min("event_date").alias("start"), F.max("event_date").alias("end")), "spans")
@@ -127,7 +132,8 @@ def sufficiency(prices: DataFrame, min_assets: int = 2, min_months: float = 18.0
         F.when(F.col("assets") > 0, F.round("months", 4)).otherwise(0.0).alias("overlap_months"))
     chosen = members.agg(F.count("*")).scalar() > 0
     scope = spans.join(members.select("symbol", F.lit(True).alias("chosen")), "symbol", "left").filter(F.col("chosen") | ~chosen)
-    rhythm = sampling(dates).join(scope.select("symbol"), "symbol", "left_semi").agg(
+    rhythms = sampling(dates)
+    rhythm = rhythms.join(scope.select("symbol"), "symbol", "left_semi").agg(
         F.coalesce(F.round(F.max("median_days"), 4), F.lit(0.0)).alias("coarsest_days"),
         (F.count_distinct("cadence") <= 1).alias("homogeneous"))
     # four rows of different columns folded into one, no join needed
@@ -138,6 +144,7 @@ def sufficiency(prices: DataFrame, min_assets: int = 2, min_months: float = 18.0
     thin = F.col("asset_count") < min_assets
     reason = (F.when(thin, "fewer_than_min_assets").when(F.col("universe_size") > 0, "ok")
               .when(F.col("full_overlap") >= 0, "history_below_min_window").otherwise("no_cotemporal_overlap"))
-    return row.withColumn("reason", reason).withColumn("sufficient", F.col("reason") == "ok").withColumn(
+    facts = row.withColumn("reason", reason).withColumn("sufficient", F.col("reason") == "ok").withColumn(
         "min_assets", F.lit(min_assets)).withColumn("min_months", F.lit(float(min_months)))
+    return facts, members.join(rhythms, "symbol")
 

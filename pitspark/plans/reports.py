@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CADENCE_DAYS, OVERSAMPLE_TOLERANCE, oos_net
+from ..functions.columns import CADENCE_DAYS, OVERSAMPLE_TOLERANCE, cadence, oos_net
 from ..operators import metrics as m
-from ..operators.backtest import Backtest, run_backtest
-from ..operators.calendars import ntz
-from ..operators.universe import episodes_in, sufficiency
+from ..operators.backtest import Backtest, Costs, run_backtest
+from ..operators.calendars import Calendar, WalkForward, as_timestamp, ntz
+from ..operators.universe import assess, episodes_in, sufficiency
 from ..session import local_table, materialise
 from ..sources.runstore import CLAIM
 from .runs import as_records, leaderboard, ranked_rows
@@ -74,6 +75,77 @@ def oos_report(prices: DataFrame, weights: DataFrame, config: Backtest, *, basel
             "episodes", F.filter(F.split("e", ","), lambda x: x != "")).drop("e")
 
 
+#: a strategy that is planned once the universe and the window are known
+Strategy = Callable[[DataFrame, DataFrame, Calendar], DataFrame]
+
+
+@dataclass(frozen=True)
+class FamilyReport:
+    """The ranked rows, one row of provenance, and the universe, all as tables."""
+
+    rows: DataFrame
+    provenance: DataFrame
+    universe: DataFrame
+
+
+def family_report(prices: DataFrame, baseline: Strategy, families: Mapping[str, Strategy], *, rebalance: str = "monthly", costs: Costs = Costs(),
+                  walk_forward: WalkForward = WalkForward(36, 12, 12), window: tuple | None = None, min_assets: int = 2, min_months: float = 18.0,
+                  metadata: Mapping[str, Mapping[str, str]] | None = None, availability_mode: str = "approximate_event_date") -> FamilyReport:
+    """A baseline and families on one shared universe and one shared window.
+
+    Which symbols and dates those are follows from the panel, so a strategy is a function of
+    (prices of the universe, universe, calendar) that is called only after the gate; symbols
+    outside the universe reach none of them. ``window`` replaces the shared one. Data that is
+    too thin, sampled more coarsely than it is rebalanced, or flat gives a single row with the
+    reason; the provenance is there all the same.
+    """
+    if not families:
+        raise ValueError("a comparison needs at least one family")
+    spark = prices.sparkSession
+    facts, members = assess(prices, min_assets, min_months)
+    facts, members = materialise(facts, "facts"), materialise(members, "universe")
+    known = facts.head()
+    days = CADENCE_DAYS.get(rebalance, CADENCE_DAYS["monthly"])
+    start, end = window or (known["overlap_start"], known["overlap_end"])
+    bounds = local_table(spark, [(start and as_timestamp(start), end and as_timestamp(end))], "start timestamp_ntz, end timestamp_ntz")
+    covered = episodes_in(bounds).agg(F.array_sort(F.collect_set("name"))).scalar()
+    provenance = facts.select(
+        F.lit(availability_mode).alias("availability_mode"), "asset_count", "universe_size", "history_months", "overlap_start", "overlap_end", "overlap_months",
+        ntz(start).alias("window_start") if start else F.lit(None).cast("timestamp_ntz").alias("window_start"),
+        ntz(end).alias("window_end") if end else F.lit(None).cast("timestamp_ntz").alias("window_end"),
+        "coarsest_days", cadence(F.col("coarsest_days")).alias("coarsest_cadence"), "homogeneous", F.lit(rebalance).alias("rebalance"),
+        F.lit(round(days, 4)).alias("rebalance_days"), F.lit(float(costs.charged_bps)).alias("cost_bps"), covered.alias("cycles_covered"))
+
+    def refused(status: str, reason: str) -> FamilyReport:
+        return FamilyReport(_refused(spark, status, reason), provenance, members)
+
+    if not known["sufficient"]:
+        return refused("insufficient_data", known["reason"])
+    if known["coarsest_days"] > days * (1.0 + OVERSAMPLE_TOLERANCE):
+        return refused("oversampled", f"rebalanced every {days} days, sampled every {known['coarsest_days']}")
+    calendar = Calendar.between(start, end, rebalance)
+    inside = prices.join(members.select("symbol"), "symbol", "left_semi")
+    names = members.select("symbol")
+    table = _named_run(baseline(inside, names, calendar), "baseline")
+    for family, build in families.items():
+        table = table.unionByName(_named_run(build(inside, names, calendar), family))
+    config = Backtest(calendar, rebalance, "net", costs, walk_forward)
+    _, metrics = run_backtest(materialise(table, "weights"), inside, config)
+    metrics = materialise(metrics, "metrics")
+    guard = m.flat_guard(metrics).head()
+    if guard["max_oos_vol"] is None or guard["status"] != "computed":
+        return refused("degenerate", "flat out-of-sample returns")
+    rows = ranked_rows(as_records(metrics, config, metadata or {}, ["baseline"]))
+    return FamilyReport(rows.select(
+        F.lit("computed").alias("status"), F.lit(CLAIM).alias("claim_boundary"), F.lit(AUTHORITY).alias("metric_authority"),
+        F.lit(None).cast("string").alias("reason"), F.col("run_id").alias("model_family"), "strategy_name", "run_id", "oos_net_sharpe", "is_baseline", "rank",
+        ntz(start).alias("window_start"), ntz(end).alias("window_end"), covered.alias("episodes")), provenance, members)
+
+
+def _named_run(weights: DataFrame, run: str) -> DataFrame:
+    return weights.select(F.lit(run).alias("run"), "k", "symbol", "weight")
+
+
 def performance_report(returns: DataFrame, window: int = 12, periods_per_year: int = 12,
                        learning_curves: DataFrame | None = None) -> DataFrame:
     """One row per run with its paths; ``status`` names series too short, not finite or flat to report."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import cadence, cadence_days, oos_net, oversampled
-from ..operators import asof, metrics, pit, universe
+from ..operators import asof, metrics, pit, universe, weights
+from ..operators.backtest import Costs
+from ..operators.calendars import WalkForward
 from ..plans import benchmarks, reports, runs
 from . import base
 from .base import D, METRIC_SQL, MONTHLY, backtest_blocks, cte, day, metric_output, query, r, rd, sql
@@ -266,6 +268,105 @@ def _(spark, d):
                          F.col("rank").cast("long").alias("rank"), F.array_join("episodes", ",").alias("episodes"))
 
 
+# One asset ends early and one begins late, so no window of two years is shared by all five.
+def ragged_prices(spark, d):
+    px = base.index_prices(spark, d)
+    return px.filter(((F.col("symbol") != "4-NOT SPECIFIED") | (F.col("event_date") < F.lit("1997-01-01").cast("timestamp_ntz")))
+                     & ((F.col("symbol") != "2-HIGH") | (F.col("event_date") >= F.lit("1998-01-01").cast("timestamp_ntz"))))
+
+
+cte("ragged", """SELECT * FROM index_prices WHERE (symbol <> '4-NOT SPECIFIED' OR event_date < TIMESTAMP '1997-01-01') AND (symbol <> '2-HIGH' OR event_date >= TIMESTAMP '1998-01-01')""",
+    ["index_prices"])
+cte("ragged_spans", """SELECT symbol, min(event_date) AS first_date, max(event_date) AS last_date, row_number() OVER (ORDER BY symbol) - 1 AS bit FROM ragged GROUP BY symbol""", ["ragged"])
+cte("ragged_best", """SELECT mask, max(first_date) AS lo, min(last_date) AS hi, count(*) AS size, date_diff('day', max(first_date), min(last_date)) / 30.4375 AS months
+    FROM range(1, 32) AS m(mask) JOIN ragged_spans ON (mask >> bit::INTEGER) & 1 = 1 GROUP BY mask HAVING count(*) >= 2 AND months >= 24
+    QUALIFY row_number() OVER (ORDER BY count(*) DESC, months DESC, list(symbol ORDER BY symbol) DESC) = 1""", ["ragged_spans"])
+cte("ragged_universe", "SELECT symbol, first_date, last_date FROM ragged_spans, ragged_best WHERE (mask >> bit::INTEGER) & 1 = 1", ["ragged_spans", "ragged_best"])
+cte("fcal", """SELECT CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS k, CAST(d AS TIMESTAMP) AS as_of FROM (
+      SELECT last_day(CAST(unnest(generate_series(date_trunc('month', lo), hi, INTERVAL 1 MONTH)) AS DATE)) AS d, lo, hi FROM ragged_best) WHERE d BETWEEN lo AND hi""", ["ragged_best"])
+cte("fasof", """SELECT k, as_of, symbol, close FROM (SELECT c.k, c.as_of, p.*, row_number() OVER (PARTITION BY c.k, p.symbol ORDER BY available_date DESC, event_date DESC, close DESC) AS rn
+      FROM fcal c JOIN ragged p ON p.available_date <= c.as_of SEMI JOIN ragged_universe u ON u.symbol = p.symbol) WHERE rn = 1""", ["fcal", "ragged", "ragged_universe"])
+cte("flegs", "SELECT a.k, a.symbol, b.close / a.close - 1 AS leg FROM fasof a JOIN fasof b ON a.symbol = b.symbol AND b.k = a.k + 1 WHERE a.close > 0 AND b.close > 0", ["fasof"])
+cte("fhist", """SELECT k, symbol, event_date, close FROM (SELECT c.k, p.symbol, p.event_date, p.close, row_number() OVER (PARTITION BY c.k, p.symbol, p.event_date ORDER BY available_date DESC, close DESC) AS rn
+      FROM fcal c JOIN ragged p ON p.available_date <= c.as_of SEMI JOIN ragged_universe u ON u.symbol = p.symbol) WHERE rn = 1""", ["fcal", "ragged", "ragged_universe"])
+cte("w_families", """SELECT 'baseline' AS run, k, symbol, 1.0 / (SELECT count(*) FROM ragged_universe) AS weight FROM fcal, ragged_universe
+    UNION ALL SELECT 'timing', c.k, s.symbol, CASE WHEN n IS NULL THEN 0.0 WHEN n < 6 THEN 1.0 WHEN last > mean THEN 1.0 ELSE 0.0 END / (SELECT count(*) FROM ragged_universe)
+      FROM fcal c CROSS JOIN ragged_universe s LEFT JOIN (SELECT k, symbol, count(*) AS n, avg(close) AS mean, arg_max(close, event_date) AS last FROM (
+        SELECT *, row_number() OVER (PARTITION BY k, symbol ORDER BY event_date DESC) AS rn FROM fhist) WHERE rn <= 6 GROUP BY k, symbol) h ON h.k = c.k AND h.symbol = s.symbol
+    UNION ALL SELECT 'trend', k, symbol, CASE WHEN total > 0 THEN w / total ELSE 1.0 / count(*) OVER (PARTITION BY k) END FROM (SELECT *, sum(w) OVER (PARTITION BY k) AS total FROM (
+      SELECT k, symbol, CASE WHEN n = 7 THEN greatest(arg / old - 1, 0) ELSE 0 END AS w FROM (SELECT c.k, s.symbol, n, arg, old FROM fcal c CROSS JOIN ragged_universe s LEFT JOIN (
+        SELECT k, symbol, count(*) AS n, arg_max(close, event_date) AS arg, arg_min(close, event_date) AS old FROM (
+          SELECT *, row_number() OVER (PARTITION BY k, symbol ORDER BY event_date DESC) AS rn FROM fhist) WHERE rn <= 7 GROUP BY k, symbol) h ON h.k = c.k AND h.symbol = s.symbol)))""",
+    ["fcal", "ragged_universe", "fhist"])
+_FAMILIES = {
+    "fwalk": "SELECT 0 AS fold, min(as_of) AS start FROM fcal UNION ALL SELECT fold + 1, start + INTERVAL 6 MONTH FROM fwalk WHERE fold < 100",
+    "ffolds": "SELECT fold, start, start + INTERVAL 24 MONTH AS split, start + INTERVAL 24 MONTH + INTERVAL 6 MONTH AS stop FROM fwalk WHERE start + INTERVAL 24 MONTH <= (SELECT max(as_of) FROM fcal)",
+    "seg": "SELECT 'full' AS segment, k FROM fcal UNION SELECT 'in_sample', k FROM fcal JOIN ffolds ON as_of >= start AND as_of < split UNION SELECT 'out_of_sample', k FROM fcal JOIN ffolds ON as_of >= split AND as_of < stop",
+    **backtest_blocks("w_families", "flegs", 10, "fcal")}
+
+
+def equal(prices, universe, calendar):
+    return weights.equal_weight(universe, calendar)
+
+
+def timing(prices, universe, calendar):
+    return weights.sma_timing(prices, universe, calendar, window=6)
+
+
+def trending(prices, universe, calendar):
+    grid = universe.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(calendar) - 1))))
+    rows = grid.join(weights.trend(prices, calendar, 6), ["k", "symbol"], "left").select("k", "symbol", F.coalesce("trend", F.lit(0.0)).alias("weight"))
+    return weights.normalise(rows, ["k"])
+
+
+def _families(spark, d, families):
+    return reports.family_report(ragged_prices(spark, d), equal, families, costs=Costs(commission_bps=10), walk_forward=WalkForward(24, 6, 6), min_months=24.0)
+
+
+def _family_rows(report):
+    return report.rows.select("status", "model_family", r("oos_net_sharpe").alias("oos_net_sharpe"), "is_baseline", F.col("rank").cast("long").alias("rank"),
+                              day("window_start").alias("window_start"), day("window_end").alias("window_end"))
+
+
+_FAMILY_ROWS = f"""SELECT 'computed' AS status, run AS model_family, {rd('sharpe')} AS oos_net_sharpe, run = 'baseline' AS is_baseline,
+      row_number() OVER (ORDER BY sharpe DESC, run) AS rank, {D.format('lo')} AS window_start, {D.format('hi')} AS window_end FROM metric, ragged_best WHERE segment = 'out_of_sample'"""
+
+
+@query("b6_shared_universe_report", sql("w_families flegs ragged_best", _FAMILY_ROWS + " AND run IN ('baseline', 'timing')", **_FAMILIES))
+def _(spark, d):
+    return _family_rows(_families(spark, d, {"timing": timing}))
+
+
+@query("b8_shared_universe_report", sql("w_families flegs ragged_best", _FAMILY_ROWS, **_FAMILIES))
+def _(spark, d):
+    return _family_rows(_families(spark, d, {"timing": timing, "trend": trending}))
+
+
+@query("b8_provenance", sql("ragged ragged_best ragged_spans", f"""
+    SELECT 'approximate_event_date' AS availability_mode, CAST(5 AS BIGINT) AS asset_count, size AS universe_size,
+      {rd("date_diff('day', (SELECT min(event_date) FROM ragged), (SELECT max(event_date) FROM ragged)) / 30.4375", 4)} AS history_months,
+      {D.format('lo')} AS overlap_start, {D.format('hi')} AS overlap_end, {rd('months', 4)} AS overlap_months, 31.0::DOUBLE AS coarsest_days, 'monthly' AS coarsest_cadence, TRUE AS homogeneous,
+      'monthly' AS rebalance, 30.4375::DOUBLE AS rebalance_days, 10.0::DOUBLE AS cost_bps,
+      coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM (VALUES ('dot_com', DATE '2000-03-10'), ('gfc', DATE '2008-09-15'), ('covid', DATE '2020-03-23'), ('rate_shock_2022', DATE '2022-06-16')) AS e(name, happened)
+        WHERE happened BETWEEN lo AND hi), '') AS cycles_covered FROM ragged_best"""))
+def _(spark, d):
+    facts = _families(spark, d, {"timing": timing}).provenance
+    return facts.select("availability_mode", F.col("asset_count").cast("long").alias("asset_count"), F.col("universe_size").cast("long").alias("universe_size"),
+                        r("history_months", 4).alias("history_months"), day("overlap_start").alias("overlap_start"), day("overlap_end").alias("overlap_end"),
+                        r("overlap_months", 4).alias("overlap_months"), "coarsest_days", "coarsest_cadence", "homogeneous", "rebalance", "rebalance_days", "cost_bps",
+                        F.array_join("cycles_covered", ",").alias("cycles_covered"))
+
+
+@query("b8_universe", sql("ragged ragged_universe", f"""
+    SELECT symbol, {D.format('first_date')} AS first_date, {D.format('last_date')} AS last_date, median(gap)::DOUBLE AS median_days,
+      CASE WHEN median(gap) <= 0 THEN 'irregular' WHEN median(gap) <= 4 THEN 'daily' WHEN median(gap) <= 10 THEN 'weekly' WHEN median(gap) <= 45 THEN 'monthly' WHEN median(gap) <= 135 THEN 'quarterly' ELSE 'irregular' END AS cadence
+    FROM ragged_universe JOIN (SELECT symbol, date_diff('day', lag(event_date) OVER (PARTITION BY symbol ORDER BY event_date), event_date) AS gap FROM (SELECT DISTINCT symbol, event_date FROM ragged)) USING (symbol)
+    GROUP BY symbol, first_date, last_date"""))
+def _(spark, d):
+    members = _families(spark, d, {"timing": timing}).universe
+    return members.select("symbol", day("start").alias("first_date"), day("end").alias("last_date"), "median_days", "cadence")
+
+
 @query("b10_performance_report", sql("series", f"""
     SELECT run, {rd('CASE WHEN s > 1e-12 THEN m / s * sqrt(12.0) ELSE 0 END')} AS oos_net_sharpe, n AS observations, {rd('eq')} AS final_equity, {rd('dd')} AS max_drawdown
     FROM (SELECT run, avg(ret) AS m, stddev_pop(ret) AS s, count(*) AS n FROM series GROUP BY run) JOIN (SELECT run, arg_max(equity, k) AS eq, min(drawdown) AS dd FROM equity GROUP BY run) USING (run)""",
