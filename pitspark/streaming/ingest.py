@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.calendars import business_days
 from ..operators.quality import close_row_problem
 from ..schemas import SNAPSHOT
-from ..session import scratch_path
+from ..session import read_if_there, scratch_path
 from ..sources.snapshots import write_snapshots
 from ..sources.vintage import envelope, gap_slices, slices_to_csv
 
@@ -48,19 +48,43 @@ def split_batch(batch: DataFrame, batch_id: int, good_path: str, bad_path: str)
 
 
 def latest_revisions(quotes: DataFrame) -> DataFrame:
-    """The newest release of each (symbol, event_date) so far; state is one row per key."""
+    """The newest release of each (symbol, event_date)."""
     newest = F.max(F.struct("available_date", "close")).alias("row")
     return quotes.groupBy("symbol", "event_date").agg(newest).select("symbol", "event_date", "row.*")
 
 
-def write_revisions(batch: DataFrame, batch_id: int, path: str) -> None:
-    """T3 in update mode: what changed in this batch, in the batch's own folder."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def merge_revisions(batch: DataFrame, batch_id: int, path: str, compact_every: int = 16) -> None:
+    """What a batch knows of each (symbol, event_date), written beside what is known already.
+
+    The stream itself keeps no state. A batch adds one row per key of its own to the log, and
+    every ``compact_every`` batches log and base become a new base of one row per key, so at
+    most so many batches are ever read on top of it and a row is rewritten once per that many
+    batches. A base counts once its mark is written and is not written again; a replayed batch
+    overwrites its own log, and one that ended half-way leaves no base that is read.
+    """
+    latest_revisions(batch).write.mode("overwrite").parquet(f"{path}/log/batch={batch_id}")
+    if (batch_id + 1) % compact_every == 0 and compacted_upto(batch.sparkSession, path) < batch_id:
+        read_revisions(batch.sparkSession, path).write.mode("overwrite").parquet(f"{path}/base/upto={batch_id}")
+        marks = batch.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("upto"))
+        marks.write.mode("overwrite").parquet(f"{path}/marks/at={batch_id}")
+
+
+def compacted_upto(spark: SparkSession, path: str) -> int:
+    """The last batch that the newest finished base holds, -1 without one."""
+    marks = read_if_there(lambda: spark.read.parquet(f"{path}/marks"))
+    return -1 if marks is None else marks.agg(F.max("upto")).head()[0]
+
+
+def revision_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The rows behind :func:`read_revisions`: the newest base and the batches after it."""
+    columns, upto = ["symbol", "event_date", "available_date", "close"], compacted_upto(spark, path)
+    log = spark.read.parquet(f"{path}/log").filter(F.col("batch") > upto).select(*columns)
+    return log if upto < 0 else log.unionByName(spark.read.parquet(f"{path}/base/upto={upto}").select(*columns))
 
 
 def read_revisions(spark: SparkSession, path: str) -> DataFrame:
-    """Newest of all written updates; older ones stay on file, superseded."""
-    return latest_revisions(spark.read.parquet(path).select("symbol", "event_date", "available_date", "close"))
+    """The newest release of each key; a later one supersedes, whichever batch brought it."""
+    return latest_revisions(revision_parts(spark, path))
 
 
 def missing_days(span: DataFrame, captured: DataFrame) -> DataFrame:
@@ -111,6 +135,6 @@ def run_latest_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..queries.base import quotes_of
 
     path = scratch_path(spark, "revisions")
-    stream = latest_revisions(quotes_of(_table_stream(spark, sf_dir, "lineitem")))
-    drain(stream, lambda batch, i: write_revisions(batch, i, path), scratch_path(spark, "progress"), mode="update")
+    stream = quotes_of(_table_stream(spark, sf_dir, "lineitem"))
+    drain(stream, lambda batch, i: merge_revisions(batch, i, path), scratch_path(spark, "progress"))
     return read_revisions(spark, path)
