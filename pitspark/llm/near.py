@@ -259,6 +259,12 @@ def _by_rare_shingles(seats: DataFrame, sets: DataFrame, percent: int) -> DataFr
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, registers: int = REGISTERS, band: int = BAND,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, text_key, n_shingles, component_id (smallest id reachable), kept."""
+    found = _components(docs, percent, width, registers, band, id_col, text_col)
+    return found.select("doc_id", "text_key", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _components(docs: DataFrame, percent: int, width: int, registers: int, band: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, n_shingles, label (its component's, null where the set is empty), component_id."""
     threshold = percent / 100
     found = materialise(sketches(docs, width, registers, id_col, text_col), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
@@ -282,10 +288,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, register
         label = classes.select(F.col("set_key").alias("node"), F.col("set_key").alias("label")).limit(0)
     members = classes.join(label, classes.set_key == label.node, "left").select("set_key", "doc_id", F.coalesce("label", "set_key").alias("label"))
     smallest = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = members.join(smallest, "label").select("set_key", "component_id")
+    answer = members.join(smallest, "label").select("set_key", "component_id", "label")
+    linked = F.col("n_shingles") > 0
     return (found.select("doc_id", "text_key", "n_shingles", "set_key").join(answer, "set_key", "left")
-            .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-            .select("doc_id", "text_key", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+            .select("doc_id", "text_key", "n_shingles", F.when(linked, F.col("label")).alias("label"),
+                    F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -304,12 +311,27 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
     return rows.mapInArrow(run, "set_key binary, elements binary").dropDuplicates(["set_key"])
 
 
-def keep_rows(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all their columns."""
+def keep_rows(docs: DataFrame, percent: int = 75, width: int = 5, registers: int = REGISTERS, band: int = BAND,
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, with all its columns.
+
+    The smallest id stays, a null id coming last; then the text with the smaller hash; of rows
+    equal in both the one whose other columns sort first as text. Texts without words are
+    linked with nothing and all stay.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    keep = near_duplicates(docs, percent, id_col=id_col, text_col=text_col)
-    keep = keep.filter(F.col("kept") | F.col("doc_id").isNull()).select("doc_id", "text_key").distinct()
+    found = materialise(_components(docs, percent, width, registers, band, id_col, text_col).select("doc_id", "text_key", "label"), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    chosen = found.filter("label is not null").groupBy("label").agg(first).select("first.doc_id", "first.text_key", F.lit(True).alias("linked"))
+    kept = chosen.unionByName(found.filter("label is null").select("doc_id", "text_key", F.lit(False).alias("linked")).distinct())
+    times = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    same = F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.text_key") == F.col("t.text_key"))
+    keep = kept.alias("k").join(times.alias("t"), same).select("k.doc_id", "k.text_key", (F.col("linked") & (F.col("times") > 1)).alias("tied"))
     plain = docs.toDF(*names).withColumn("text_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    same = F.col(key).cast("long").eqNullSafe(keep.doc_id) & (plain.text_key == keep.text_key)
-    return plain.join(keep, same, "left_semi").select(*(F.col(n).alias(f.name) for n, f in zip(names, docs.schema)))
+    here = F.col(f"p.{key}").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col("p.text_key") == F.col("k.text_key"))
+    rows = plain.alias("p").join(keep.alias("k"), here).select("p.*", "k.tied")
+    # only rows that are equal in id and text are ordered at all
+    order = Window.partitionBy(key, "text_key").orderBy(F.to_json(F.struct(*names)))
+    single = rows.filter("tied").withColumn("place", F.row_number().over(order)).filter("place = 1").select(*names)
+    return rows.filter("not tied").select(*names).unionByName(single).toDF(*names).select(*(F.col(n).alias(f.name) for n, f in zip(names, docs.schema)))

@@ -99,6 +99,20 @@ def test_awkward_rows(spark, awkward, nothing):
     assert near.near_duplicates(nothing).count() == 0 and near.keep_rows(nothing).count() == 0
 
 
+def test_one_row_stays_of_each_component(spark):
+    """Copies without id, equal rows, and rows of one id with different texts."""
+    base = [f"w{i}" for i in range(60)]
+    close = [" ".join(base[:i] + ["x"] + base[i + 1:]) for i in range(4)]
+    rows = [(None, close[0]), (None, close[1]), (5, close[2]), (7, close[3]), (7, close[3]), (None, "alone without id but long enough"), (9, ""), (9, ""), (None, None),
+            (3, "equal rows of five words here"), (3, "equal rows of five words here"), (11, "one id two texts of words a"), (11, "quite another text under that id b")]
+    docs = spark.createDataFrame([(i, t, n, "k", 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int, label string, times int")
+    kept = near.keep_rows(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.n for r in kept.collect()) == [2, 5, 6, 7, 8, 10, 11, 12]  # 10 sorts before 9 as text
+    nameless = [r.text for r in near.keep_rows(docs.filter("doc_id is null")).collect()]
+    assert len(nameless) == 3 and sum(t in close for t in nameless) == 1
+
+
 def test_joint_estimate():
     rng = np.random.default_rng(11)
     errors = []
