@@ -7,7 +7,8 @@
 3. Local search then tries to empty the group's least filled sequence: its pieces move to
    gaps, or are exchanged one for one, one for two or two for one with smaller pieces of
    fuller sequences. Every step raises the sum of squared fills, so it ends; it goes on
-   with the next sequence until the lower bound is met or one cannot be emptied.
+   with the next sequence until the lower bound is met or none of those with room can be
+   changed any more.
 
 Independent groups cost at most about one part-filled sequence each, of some thousands.
 
@@ -190,8 +191,11 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
     least = max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+    tried = np.zeros(len(fill), bool)  # could not be emptied since anything last changed
     while (fill > 0).sum() > least:
-        donor = int(np.argmin(np.where(fill > 0, fill, capacity + 1)))
+        donor = int(np.argmin(np.where((fill > 0) & ~tried, fill, capacity)))
+        if fill[donor] in (0, capacity) or tried[donor]:
+            break
         gap = np.where((fill > 0) & (fill >= fill[donor]), capacity - fill, 0)
         gap[donor] = 0
         others = np.flatnonzero(gap[bins] > 0)
@@ -207,8 +211,8 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
             gap[target] -= gain
             own = np.flatnonzero(bins == donor)
             others = np.flatnonzero(gap[bins] > 0)
-        if len(own):
-            break
+            tried[:] = False
+        tried[donor] = len(own) > 0
     return np.unique(bins, return_inverse=True)[1]
 
 

@@ -70,3 +70,42 @@ def test_memory_of_words_forgets_without_harm(monkeypatch):
     for text in ("A b, c. d! e", "b c A Ünï cöde", "<|endoftext|> <|ENDOFTEXT|> x.", "it's 3a. 12,", ""):
         want = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4").tobytes()
         assert ids.of(text) == want
+
+
+def fewest(lengths, room):
+    """Fewest sequences by trying every way to place pieces, the largest first."""
+    lengths = sorted(lengths, reverse=True)
+    best = [len(lengths)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for j in sorted(range(len(bins)), key=lambda j: bins[j]):
+            if bins[j] + lengths[i] <= room and bins[j] not in bins[:j]:
+                place(i + 1, bins[:j] + [bins[j] + lengths[i]] + bins[j + 1:])
+        place(i + 1, bins + [lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_inputs_against_the_optimum():
+    draw, over = np.random.default_rng(6), 0
+    for _ in range(150):
+        lengths = np.sort(draw.integers(5, 60, draw.integers(3, 12)))[::-1].astype(np.int64)
+        used = packing.local_search(lengths, packing.best_fit(lengths, 100), 100).max() + 1
+        least = fewest(lengths.tolist(), 100)
+        assert least <= used <= least + 1
+        over += used - least
+    assert over <= 3
+
+
+def test_search_goes_on_behind_a_bin_that_cannot_be_emptied():
+    """The least filled sequence fits nowhere; the next one can be emptied all the same."""
+    lengths = np.array([50, 97, 2, 97, 2, 51, 2, 1], np.int64)
+    start = np.array([0, 1, 1, 2, 2, 3, 4, 4], np.int64)
+    after = packing.local_search(lengths, start, 100)
+    assert np.bincount(after, weights=lengths).max() <= 100 and after.max() + 1 <= 4
