@@ -46,7 +46,7 @@ SUBSTITUTED, SEPARATED, REPEATED, KEPT_SIGN = -1.5, -0.5, -2.0, -12.0
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 40  # tokens kept with their result; longer ones are restored each time
 SETTLED = 64
 _MARKED = re.compile(r"[0-9@$!|+€£.\-_*~'\"/\\,]|(.)\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 
 
 @dataclass
@@ -137,7 +137,7 @@ def tokens(text: str) -> set[str]:
     """Distinct tokens of a text, and its runs of single characters as one token each."""
     low = text.lower()
     found = set(low.split())
-    found.update(re.sub(r"\s", " ", m.group()) for m in _SPACED.finditer(low))
+    found.update(re.sub(r"\s+", " ", m.group()) for m in _SPACED.finditer(low))
     return found
 
 

@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -194,6 +195,51 @@ def test_doubled_letters_and_short_words_are_restored(written, meant):
     assert toxicity.restored(written, toxicity.CharModel(dict(words + Counter(chars().trigrams)))) == [meant]
 
 
+def exhaustive(token, model):
+    """The likeliest reading of a token among all there are, scored from the start for each."""
+    options, before = [], ""
+    for c in token:
+        options.append(toxicity.readings(c, before))
+        if c != " ":
+            before = c if c not in toxicity.SEPARATORS else before
+    best = None
+    for chosen in itertools.product(*options):
+        text, score = "".join(letter for letter, _ in chosen), sum(cost for _, cost in chosen)
+        for word in text.split(" "):
+            padded = f"^^{word}^"
+            score += sum(model.logp(*padded[i:i + 3]) for i in range(len(word) + 1))
+        if best is None or score > best[0]:
+            best = (score, text)
+    return best
+
+
+def test_the_decoder_finds_the_best_of_all_readings():
+    rng, model = np.random.default_rng(8), chars()
+    for _ in range(300):
+        token = "".join(rng.choice(list("idotmrn10$ .s"), rng.integers(1, 8)))
+        score, text = exhaustive(token, model)
+        found = toxicity.restore(token, model)
+        assert found == text or _score_of(token, found, model) == pytest.approx(score), token
+
+
+def _score_of(token, wanted, model):
+    """The best score of one reading."""
+    options, before = [], ""
+    for c in token:
+        options.append(toxicity.readings(c, before))
+        if c != " ":
+            before = c if c not in toxicity.SEPARATORS else before
+    costs = [sum(cost for _, cost in chosen) for chosen in itertools.product(*options) if "".join(letter for letter, _ in chosen) == wanted]
+    letters = sum(model.logp(*f"^^{w}^"[i:i + 3]) for w in wanted.split(" ") for i in range(len(w) + 1))
+    return max(costs) + letters
+
+
+@pytest.mark.parametrize("written", ["s t u p i d", "s  t u\tp  i d", "s   t   u   p   i   d", "s\nt\nu\np\ni\nd"])
+def test_any_spacing_makes_one_run(written):
+    (run,) = (t for t in toxicity.tokens(f"what a {written} thing") if " " in t and "t u" in t)
+    assert "stupid" in "".join(toxicity.restored(run, chars()))
+
+
 def training(spark, seed=0):
     rng = np.random.default_rng(seed)
     rows, labels = [], []
