@@ -3,6 +3,11 @@
 Quality rules drop repetitive and junk texts, exact and near duplicates leave one document
 of each group, the mix brings the sources to their target weights (a document taken twice
 is there twice), and packing places every piece of every document in a sequence.
+
+Defined results: a null text counts as empty, and too short for the quality rules; a row without
+id takes part like any other and is the first to go among copies; of repeated rows one stays;
+other columns pass through all stages but the last, whatever their names; an empty table
+gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -44,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL cannot tokenise, so tests compare every stage with a plain version instead.
+#: SQL cannot tokenise. Tests hold the rows of every other stage against its operator's SQL over the
+#: stage's own input, and the packed pieces against the tokenizer.
 ORACLE_SQL = None

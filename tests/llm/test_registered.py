@@ -35,15 +35,51 @@ def test_awkward_rows(spark, awkward_dir, name):
         assert _ordered(got) == _ordered(expected)
 
 
-def test_pipeline_stages_keep_the_columns(spark, sf_dir):
+#: what stays of a stage's input, by the SQL twin of its operator; a row as often as it is taken
+STAYS = {"quality rules": ("op7_quality", "kept::int"), "exact dedup": ("op4_exact_dedup", "kept::int"),
+         "near dedup": ("op10_near_dedup", "kept::int"), "source mixing": ("op3_mixing", "times")}
+
+
+def test_pipeline_against_sql_stage_by_stage(spark, sf_dir, tmp_path):
+    """Each stage's rows are those its SQL keeps of the input it had, column by column; packing is held against the tokenizer."""
     import corpus_pipeline
-    from pitspark.llm.common import dataset, materialise
+    import duckdb
+    from pitspark.llm.common import dataset
+    from test_packing import check
     docs = dataset(spark, sf_dir, "documents")
-    before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = materialise(stage(spark, docs, sf_dir), "stage")
-        assert after.columns == docs.columns, name
-        assert 0 < after.count() <= 2 * before
-        docs, before = after, after.count()
+        before = f"{tmp_path}/{name}-in"
+        docs.write.parquet(before)
+        after = stage(spark, spark.read.parquet(before), sf_dir)
+        assert after.schema == docs.schema, name
+        after.write.parquet(f"{tmp_path}/{name}-out")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{before}/*.parquet'")
+        twin, times = STAYS[name]
+        want = con.execute(f"SELECT d.*, unnest(range(t.times)) AS nth FROM documents d JOIN (SELECT doc_id, {times} AS times FROM ({ORACLES[twin]})) t USING (doc_id)").df()
+        docs = spark.read.parquet(f"{tmp_path}/{name}-out")
+        got = docs.toPandas()
+        assert 0 < len(got) == len(want), name
+        assert _ordered(got.itertuples(index=False)) == _ordered(want.drop(columns="nth").itertuples(index=False)), name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).toPandas()
-    assert set(packed["doc_id"]) == {r.doc_id for r in docs.select("doc_id").collect()}
+    check(packed, {r.doc_id: r.text or "" for r in docs.collect()})
+    assert len(packed[packed["piece"] == 0]) == docs.count()
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, nothing, awkward_dir, tmp_path):
+    import corpus_pipeline
+    from test_packing import check
+    ids = {r.doc_id: r.text or "" for r in awkward.collect()}
+    twice = awkward.unionByName(awkward)
+    for rows in (awkward, twice):
+        docs = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, awkward_dir).collect(), awkward.schema)
+            assert docs.columns == awkward.columns, name
+        check(corpus_pipeline.STAGES[-1][1](spark, docs, awkward_dir).toPandas(), ids)
+    docs = nothing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, awkward_dir)
+        assert docs.columns == nothing.columns and docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, awkward_dir).count() == 0
+    assert len(corpus_pipeline.run(spark, awkward_dir).columns) == 7
