@@ -36,11 +36,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` as the session has it.
 
-    Where it is unset, as in a plain local session, a folder of the warehouse, which
-    driver and executors share as well.
+    Where it is unset, a folder of the warehouse, which driver and executors share as well. On a
+    cluster a folder of the driver's own disk is refused: executors would write to theirs.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    folder = (spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/")
+    own_disk = folder.startswith("file:") or "://" not in folder
+    if own_disk and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

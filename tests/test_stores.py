@@ -80,3 +80,27 @@ def test_a_sweep_may_mix_lookbacks(spark):
 
 def test_scratch_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+class _Session:
+    """As much of a session as says where scratch may go."""
+
+    def __init__(self, master, warehouse, checkpoint=None):
+        self.sparkContext, self.conf, self.master = self, self, master
+        self.kept = {"spark.sql.warehouse.dir": warehouse, "spark.checkpoint.dir": checkpoint}
+
+    def get(self, key, default=None):
+        return self.kept[key] or default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_is_never_a_machines_own_disk_on_a_cluster():
+    from pitspark.session import shared_folder
+    assert shared_folder(_Session("local[4]", "file:/tmp/w")) == "file:/tmp/w/scratch"
+    assert shared_folder(_Session("yarn", "hdfs://n/w")) == "hdfs://n/w/scratch"
+    assert shared_folder(_Session("yarn", "file:/tmp/w", "hdfs://n/c/")) == "hdfs://n/c"
+    for warehouse in ("file:/tmp/w", "/tmp/w"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_folder(_Session("spark://host:7077", warehouse))
