@@ -198,6 +198,8 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
             break
         gap = np.where((fill > 0) & (fill >= fill[donor]), capacity - fill, 0)
         gap[donor] = 0
+        if gap.sum() < fill[donor]:  # it cannot be emptied, nor can a fuller one
+            break
         others = np.flatnonzero(gap[bins] > 0)
         own = np.flatnonzero(bins == donor)
         while len(own) and (found := _exchange(own, lengths, bins, gap, others)):
