@@ -7,8 +7,8 @@
 3. Local search then tries to empty the group's least filled sequence: its pieces move to
    gaps, or are exchanged one for one, one for two or two for one with smaller pieces of
    fuller sequences. Every step raises the sum of squared fills, so it ends; it goes on
-   with the next sequence until the lower bound is met or none of those with room can be
-   changed any more.
+   with the next sequence, and with all of them again whenever one was emptied, until the
+   lower bound is met, none can be emptied or the room left proves that.
 
 Independent groups cost at most about one part-filled sequence each, of some thousands.
 
@@ -173,16 +173,22 @@ def _exchange(own: np.ndarray, lengths: np.ndarray, bins: np.ndarray, gap: np.nd
         if good.any():
             return leave, [-1, int(others[np.argmax(np.where(good, gain, 0))])]
     by_bin = others[np.argsort(bins[others], kind="stable")]
-    edges = np.flatnonzero(np.diff(bins[by_bin], prepend=-1, append=-1))
-    for lo, hi in zip(edges[:-1], edges[1:]):  # one for two
-        members = by_bin[lo:hi]
-        sums = lengths[members][:, None] + lengths[members][None, :]
-        for x in order:
+    bin_of, size = bins[by_bin], lengths[by_bin]
+    pairs_of = []
+    for step in range(1, len(by_bin)):  # pieces of one bin stand together
+        near = np.flatnonzero(bin_of[step:] == bin_of[:-step])
+        if not len(near):
+            break
+        pairs_of.append((near, near + step))
+    if pairs_of:
+        one, two = (np.concatenate(side) for side in zip(*pairs_of))
+        sums, room = size[one] + size[two], gap[bin_of[one]]
+        for x in order:  # one for two
             gain = lengths[x] - sums
-            good = np.triu((gain > 0) & (gain <= gap[bins[members[0]]]), 1)
+            good = (gain > 0) & (gain <= room)
             if good.any():
-                a, b = np.unravel_index(np.argmax(np.where(good, gain, 0)), gain.shape)
-                return [int(x)], [-1, int(members[a]), int(members[b])]
+                best = int(np.argmax(np.where(good, gain, 0)))
+                return [int(x)], [-1, int(by_bin[one[best]]), int(by_bin[two[best]])]
     return None
 
 
@@ -191,7 +197,7 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
     least = max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
-    tried = np.zeros(len(fill), bool)  # could not be emptied since anything last changed
+    tried = np.zeros(len(fill), bool)  # could not be emptied since a sequence last was
     while (fill > 0).sum() > least:
         donor = int(np.argmin(np.where((fill > 0) & ~tried, fill, capacity)))
         if fill[donor] in (0, capacity) or tried[donor]:
@@ -213,8 +219,9 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.nda
             gap[target] -= gain
             own = np.flatnonzero(bins == donor)
             others = np.flatnonzero(gap[bins] > 0)
-            tried[:] = False
         tried[donor] = len(own) > 0
+        if not len(own):
+            tried[:] = False
     return np.unique(bins, return_inverse=True)[1]
 
 
