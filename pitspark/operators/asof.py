@@ -19,6 +19,9 @@ from .calendars import Calendar, ntz
 BY_RELEASE = ("available_date", "event_date")
 BY_PERIOD = ("event_date", "available_date")
 
+#: cells (rows x dates) that a part may at most unfold into
+CELLS = 8_000_000
+
 
 def usable(close: Column) -> Column:
     """Finite and positive. NaN sorts above every number, hence the explicit test."""
@@ -35,6 +38,14 @@ def first_visible(rows: DataFrame, calendar: Calendar, time: str = "available_da
     return seen.withColumn("k", calendar.ordinal(F.col(time)))
 
 
+def _parts(rows: DataFrame, calendar: Calendar) -> int:
+    """Number of parts in which rows are spread over the dates; grows with the table.
+
+    A shuffle before that would be coalesced by its own few bytes, whatever unfolds from them.
+    """
+    return max(1, -(-rows.count() * len(calendar) // CELLS))
+
+
 def _until(calendar: Calendar, following: Column) -> Column:
     return F.coalesce(following, F.lit(len(calendar)))
 
@@ -166,7 +177,7 @@ def history_asof(prices: DataFrame, calendar: Calendar, last: int | None = None,
     if last is None:
         dates = dates.withColumn("out", F.lit(len(calendar)))
     else:
-        dates = _drop_out(dates, calendar, last)
+        dates = _drop_out(dates, calendar, last, _parts(prices, calendar))
     spans = dates.select("symbol", "event_date", "out", F.posexplode("versions").alias("i", "v"), "versions")
     until = F.least(F.coalesce(F.get("versions", F.col("i") + 1)["k"], F.lit(len(calendar))), F.col("out"))
     # versions arrive in order of first visibility, so a later one always supersedes
@@ -178,7 +189,7 @@ def history_asof(prices: DataFrame, calendar: Calendar, last: int | None = None,
     return rows if last is None or not exact else last_rows(rows, last)
 
 
-def _drop_out(dates: DataFrame, calendar: Calendar, last: int) -> DataFrame:
+def _drop_out(dates: DataFrame, calendar: Calendar, last: int, parts: int) -> DataFrame:
     """Add ``out``: from this ordinal on the event date is not among the newest ``last``.
 
     An event date with ``last`` later ones first seen on the same calendar date is
@@ -188,7 +199,7 @@ def _drop_out(dates: DataFrame, calendar: Calendar, last: int) -> DataFrame:
     """
     rank = F.row_number().over(Window.partitionBy("symbol", "seen").orderBy(F.desc("event_date")))
     sound = dates.filter("not flawed").withColumn("rank", rank).filter(F.col("rank") <= last).drop("rank")
-    kept = sound.unionByName(dates.filter("flawed"))
+    kept = sound.unionByName(dates.filter("flawed")).repartition(parts, "symbol")
     later = Window.partitionBy("symbol").orderBy("event_date").rowsBetween(1, last)
     sure = F.when(F.col("flawed"), len(calendar)).otherwise(F.col("seen"))
     full = F.count("*").over(later) == last

@@ -39,6 +39,16 @@ def test_last_rows_are_limited_before_the_shuffle(stored):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+@pytest.mark.parametrize("last", [3])
+def test_parts_follow_the_cells_that_unfold(stored, monkeypatch, last):
+    days = Calendar.between("2020-01-01", "2020-12-31")
+    rows = stored.unionByName(stored)
+    for cells, parts in ((12, 2), (8, 3)):  # two rows on twelve dates
+        monkeypatch.setattr(asof, "CELLS", cells)
+        plan = plan_of(asof.history_asof(rows, days, last=last, exact=False))
+        assert f", {parts}), REPARTITION_BY_NUM" in plan
+
+
 @pytest.mark.parametrize("name", ["j1_asof_latest", "j2_macro_latest", "j3_align_panel", "j4_history_every_date", "j5_universe", "w9_last_rows",
                                   "b1_equal_weight_backtest", "a10_return_risk", "m3_random_weights", "a14_cointegration", "p8_gap_slices"])
 def test_no_nested_loops(spark, sf_dir, name):
