@@ -54,7 +54,8 @@ def latest_spans(rows: DataFrame, calendar: Calendar, key: str = "symbol",
                  order: tuple[str, ...] = BY_RELEASE, value: str = "close") -> DataFrame:
     """(key, k, until, order columns, value): the row in force on ordinals k .. until-1."""
     newest = (first_visible(rows, calendar).groupBy(key, "k")
-              .agg(F.max(F.struct(*order, value)).alias("row")))
+              .agg(F.max(F.struct(*order, value)).alias("row"))
+              .repartition(_parts(rows, calendar), key))
     steps = Window.partitionBy(key).orderBy("k")
     return newest.select(
         key, "k", _until(calendar, F.lead("k").over(steps)).alias("until"),

@@ -64,6 +64,15 @@ def turnover_parts(weights: DataFrame, n_dates: int) -> DataFrame:
     return pieces.select("run", "p.k", "p.turnover")
 
 
+def on_legs(weights: DataFrame, legs: DataFrame) -> DataFrame:
+    """Weights with the legs they earn.
+
+    Weights unfold over the dates from few symbols, so Spark's size check would take them for
+    small and broadcast every cell.
+    """
+    return weights.hint("merge").join(legs.filter("leg is not null"), ["symbol", "k"])
+
+
 def portfolio_returns(weights: DataFrame, legs: DataFrame, n_dates: int,
                       cost_bps: float | Column = 0.0, runs: DataFrame | None = None) -> DataFrame:
     """A2: (run, k, gross, turnover, ret) for every run and date.
@@ -71,7 +80,7 @@ def portfolio_returns(weights: DataFrame, legs: DataFrame, n_dates: int,
     ``gross`` and ``ret`` are null on the last date, which has a turnover only.
     Dates without weights or without priced legs still get a row.
     """
-    earned = (weights.join(legs.filter("leg is not null"), ["symbol", "k"])
+    earned = (on_legs(weights, legs)
               .select("run", "k", (F.col("weight") * F.col("leg")).alias("gross"), F.lit(0.0).alias("turnover")))
     traded = turnover_parts(weights, n_dates).select("run", "k", F.lit(0.0).alias("gross"), "turnover")
     named = runs if runs is not None else weights.select("run").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import trading_cost
 from ..operators import asof, metrics, weights
-from ..operators.backtest import Backtest, Costs, portfolio_returns, run_backtest, turnover_parts
+from ..operators.backtest import Backtest, Costs, on_legs, portfolio_returns, run_backtest, turnover_parts
 from ..operators.calendars import WalkForward
 from ..session import local_table
 from . import base
@@ -78,8 +78,7 @@ def _(spark, d):
     SELECT CAST(k AS BIGINT) AS k, count(*) AS legs, {rd('sum(weight * leg)', 9)} AS gross FROM w_random JOIN legs USING (k, symbol) GROUP BY k"""))
 def _(spark, d):
     px = base.prices(spark, d)
-    legs = asof.price_legs(px, MONTHLY).filter("leg is not null")
-    joined = weights.random_weights(base.suppliers(spark, d), MONTHLY, 7).join(legs, ["symbol", "k"])
+    joined = on_legs(weights.random_weights(base.suppliers(spark, d), MONTHLY, 7), asof.price_legs(px, MONTHLY))
     return joined.groupBy(F.col("k").cast("long").alias("k")).agg(
         F.count("*").alias("legs"), r(F.sum(F.col("weight") * F.col("leg")), 9).alias("gross"))
 

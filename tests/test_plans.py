@@ -45,8 +45,14 @@ def test_parts_follow_the_cells_that_unfold(stored, monkeypatch, last):
     rows = stored.unionByName(stored)
     for cells, parts in ((12, 2), (8, 3)):  # two rows on twelve dates
         monkeypatch.setattr(asof, "CELLS", cells)
-        plan = plan_of(asof.history_asof(rows, days, last=last, exact=False))
-        assert f", {parts}), REPARTITION_BY_NUM" in plan
+        for frame in (asof.history_asof(rows, days, last=last, exact=False), asof.price_legs(rows, days)):
+            assert f", {parts}), REPARTITION_BY_NUM" in plan_of(frame)
+
+
+@pytest.mark.parametrize("name", ["b1_equal_weight_backtest", "b1_random_weight_backtest", "j7_weights_on_legs"])
+def test_weights_of_every_date_are_not_broadcast(spark, sf_dir, name):
+    plan = plan_of(QUERIES[name](spark, sf_dir))
+    assert "SortMergeJoin [symbol" in plan and "BroadcastHashJoin [symbol" not in plan
 
 
 @pytest.mark.parametrize("name", ["j1_asof_latest", "j2_macro_latest", "j3_align_panel", "j4_history_every_date", "j5_universe", "w9_last_rows",
