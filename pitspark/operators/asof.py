@@ -175,10 +175,12 @@ def history_asof(prices: DataFrame, calendar: Calendar, last: int | None = None,
         F.sort_array(F.collect_list(F.struct("k", "row"))).alias("versions"),
         F.bool_or(~present(F.col("row.close"))).alias("flawed"),
     )
+    parts = _parts(prices, calendar)
     if last is None:
-        dates = dates.withColumn("out", F.lit(len(calendar)))
+        # by symbol before it unfolds: what orders a symbol's history needs no shuffle of the cells
+        dates = dates.repartition(parts, "symbol").withColumn("out", F.lit(len(calendar)))
     else:
-        dates = _drop_out(dates, calendar, last, _parts(prices, calendar))
+        dates = _drop_out(dates, calendar, last, parts)
     spans = dates.select("symbol", "event_date", "out", F.posexplode("versions").alias("i", "v"), "versions")
     until = F.least(F.coalesce(F.get("versions", F.col("i") + 1)["k"], F.lit(len(calendar))), F.col("out"))
     # versions arrive in order of first visibility, so a later one always supersedes

@@ -73,12 +73,13 @@ def block_moments(history: DataFrame, symbols: DataFrame, lookbacks: list[int],
     symbols. Two blocks of a date meet in a row of their own, keyed by date and both blocks,
     and become a product of two small matrices there; no task sees a date whole, and what is
     shuffled is one array per symbol and block. Dates with fewer than ``min_obs`` returns give no rows.
+    ``history`` has one row per (k, symbol, event_date), so a period is whole by its number of rows.
     """
     names = symbols.select("symbol").filter("symbol is not null").distinct()
     size = names.count()
     blocks = max(1, -(-size // block))
     mine = history.filter(present(F.col("close"))).join(names, "symbol", "left_semi")
-    whole = mine.groupBy("k", "event_date").agg(F.count_distinct("symbol").alias("n")).filter(F.col("n") == size)
+    whole = mine.groupBy("k", "event_date").agg(F.count("*").alias("n")).filter(F.col("n") == size)
     # one row per date and period: ranks are the same for all symbols
     ranked = whole.select("k", "event_date", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("event_date"))).alias("rank"))
     kept = ranked.filter(F.col("rank") <= max(lookbacks) + 1)

@@ -73,3 +73,7 @@ def test_results_do_not_depend_on_the_session_zone(spark, stored):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert answers[0][1] == 1 and answers.count(answers[0]) == 3
+
+
+def test_whole_periods_are_counted_without_a_table_of_symbols(spark, sf_dir):
+    assert "distinct" not in plan_of(QUERIES["a9_all_suppliers"](spark, sf_dir)).lower()
