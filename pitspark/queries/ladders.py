@@ -52,8 +52,7 @@ def _(spark, d):
 
 @query("f15_budget_scale", _PLANS + f"x AS (SELECT 1) SELECT plan, {rd('ascale')} AS arithmetic, {rd('gscale')} AS geometric FROM scales")
 def _(spark, d):
-    both = ladder.scaled_plans(plans(spark, d)).select("plan", F.col("scale").alias("a")).join(
-        ladder.scaled_plans(plans(spark, d), "geometric").select("plan", F.col("scale").alias("g")), "plan")
+    both = ladder.scaled_plans(ladder.scaled_plans(plans(spark, d)).withColumnRenamed("scale", "a"), "geometric").withColumnRenamed("scale", "g")
     return both.select("plan", r("a").alias("arithmetic"), r("g").alias("geometric"))
 
 

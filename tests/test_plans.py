@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from pitspark.operators import asof, pit
+from pitspark.operators import asof, ladder, pit
 from pitspark.operators.calendars import Calendar
 from pitspark.queries import QUERIES, load_all
 from pitspark.schemas import PRICES
@@ -77,3 +77,19 @@ def test_results_do_not_depend_on_the_session_zone(spark, stored):
 
 def test_whole_periods_are_counted_without_a_table_of_symbols(spark, sf_dir):
     assert "distinct" not in plan_of(QUERIES["a9_all_suppliers"](spark, sf_dir)).lower()
+
+
+def test_scales_take_one_pass_and_agree_with_the_levels(spark):
+    plans = [(f"{f}|{n}", 1000.0, 90.0, p1, n, 0.01, f, u) for f in (-1.5, -1.0, 0.0, 0.5, 0.9999999, 1.0, 1.0000001, 1.1, 3.0, 1e5)
+             for n, p1, u in ((1, 60.0, 1.0), (1, 0.0, 2.0), (7, 45.5, 1.0), (50, 0.0, 3.0))]
+    frame = spark.createDataFrame(plans, "plan string, budget double, price_init double, price_final double, times int, min_increment double, param double, init_units double")
+    for method in ladder.METHODS:
+        found = ladder.scaled_plans(frame, method)
+        assert "Join" not in plan_of(found) and "Exchange" not in plan_of(found)
+        for (_, budget, p0, p1, n, _, f, u), row in zip(plans, found.collect(), strict=True):
+            cost = sum((p0 - abs(p0 - p1) / n * i) * (u + f * (i - 1) if method == "arithmetic" else u * f ** (i - 1)) for i in range(1, n + 1))
+            assert row["scale"] == (pytest.approx(budget / cost, rel=1e-11) if cost else None)
+
+
+def test_both_scales_come_without_a_join(spark, sf_dir):
+    assert "Join" not in plan_of(QUERIES["f15_budget_scale"](spark, sf_dir))
