@@ -74,8 +74,9 @@ class Network:
 def windows(history: DataFrame, lookback: int) -> DataFrame:
     """(k, symbol, event_date, x, y): each run of ``lookback`` returns and the return after it."""
     rets = period_returns(history)
-    before = Window.partitionBy("symbol", "k").orderBy("event_date").rowsBetween(-lookback, -1)
-    rows = rets.select("k", "symbol", "event_date", F.collect_list("ret").over(before).alias("x"), F.col("ret").alias("y"))
+    # newest first, as the returns come: no second sort
+    before = Window.partitionBy("symbol", "k").orderBy(F.desc("event_date")).rowsBetween(1, lookback)
+    rows = rets.select("k", "symbol", "event_date", F.reverse(F.collect_list("ret").over(before)).alias("x"), F.col("ret").alias("y"))
     return rows.filter(F.size("x") == lookback)
 
 

@@ -1,10 +1,11 @@
 """The shapes of the plans that matter at scale."""
 
+import re
 from datetime import datetime
 
 import pytest
 
-from pitspark.operators import asof, ladder, pit
+from pitspark.operators import asof, forecast, ladder, pit
 from pitspark.operators.calendars import Calendar
 from pitspark.queries import QUERIES, load_all
 from pitspark.schemas import PRICES
@@ -93,3 +94,10 @@ def test_scales_take_one_pass_and_agree_with_the_levels(spark):
 
 def test_both_scales_come_without_a_join(spark, sf_dir):
     assert "Join" not in plan_of(QUERIES["f15_budget_scale"](spark, sf_dir))
+
+
+def test_whole_histories_are_dealt_before_they_unfold(stored):
+    history = asof.history_asof(stored, Calendar.between("2020-01-01", "2020-12-31"))
+    plan = plan_of(forecast.windows(history, 6))
+    assert not re.search(r"hashpartitioning\(symbol#\d+, k#", plan)
+    assert len(re.findall(r"Sort \[symbol#\d+ ASC NULLS FIRST, k#\d+ ASC NULLS FIRST, event_date", plan)) == 1
