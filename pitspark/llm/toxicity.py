@@ -29,6 +29,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -42,11 +43,14 @@ LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "
              "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 SEPARATORS = " .-_*~'\"/\\,"
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_~`/\\"
+FRONT = EDGE.replace("$", "")  # a sign in front may be a letter
 SUBSTITUTED, SEPARATED, REPEATED, KEPT_SIGN = -1.5, -0.5, -2.0, -12.0
 REMEMBERED, REMEMBERED_LENGTH = 200_000, 40  # tokens kept with their result; longer ones are restored each time
 SETTLED = 64
 _MARKED = re.compile(r"[0-9@$!|+€£.\-_*~'\"/\\,]|(.)\1")
+_DOUBLED, _TRIPLED = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_TWO_SINGLES = re.compile(r"\s\S\s+\S(?!\S)")
 
 
 @dataclass
@@ -63,6 +67,7 @@ class CharModel:
             self.singles[gram[2]] += n
         self.total = sum(self.singles.values()) or 1
         self.memo: dict[str, float] = {}
+        self.meant: dict[str, bool] = {}
 
     def logp(self, a: str, b: str, c: str) -> float:
         key = a + b + c
@@ -76,6 +81,14 @@ class CharModel:
             found = self.memo[key] = math.log(min(p, 1.0))
         return found
 
+    def doubled(self, a: str, b: str, c: str) -> bool:
+        """Whether of ``a b b c`` both letters are meant, not one that the channel repeated."""
+        key = a + b + c
+        found = self.meant.get(key)
+        if found is None:
+            found = self.meant[key] = self.logp(a, b, b) + self.logp(b, b, c) >= REPEATED + self.logp(a, b, c)
+        return found
+
 
 def readings(c: str, before: str) -> list[tuple[str, float]]:
     """What the sign ``c`` can stand for behind the sign ``before``, with the channel's log cost."""
@@ -118,26 +131,48 @@ def restore(token: str, model: CharModel) -> str:
     return "".join(settled) + max((score + model.logp(a, b, "^"), text) for (a, b), (score, text) in paths.items())[1]
 
 
+def undoubled(word: str, model: CharModel) -> str:
+    """:func:`restore` of a word of letters, none more than twice in a row.
+
+    Behind the sign after a doubled letter both its paths are in one state, so the best path
+    is found pair by pair.
+    """
+    found, at = [], 0
+    for pair in _DOUBLED.finditer(word):
+        i = pair.start()
+        if not model.doubled(word[i - 1] if i else "^", word[i], word[i + 2:i + 3] or "^"):
+            found.append(word[at:i + 1])
+            at = i + 2
+    return "".join(found) + word[at:]
+
+
 def restored(token: str, model: CharModel) -> list[str]:
     """The words behind one token: itself, unless it bears marks of the channel."""
     if " " in token:
         return restore(token, model).split()
-    word = token.rstrip(EDGE).lstrip(EDGE.replace("$", ""))  # a sign in front may be a letter
+    word = token.rstrip(EDGE).lstrip(FRONT)
     if not word.isdecimal() and _MARKED.search(word):
+        if word.isalpha() and not _TRIPLED.search(word):
+            return [undoubled(word, model)]
         return restore(word, model).split()
     return [word] if word else []
 
 
 def features(word: str) -> list[str]:
-    found = [word + "$"] if len(word) <= 8 else []
-    return found + [word[:n] for n in (4, 6) if len(word) > n]
+    size = len(word)
+    if size <= 4:
+        return [word + "$"]
+    if size <= 6:
+        return [word + "$", word[:4]]
+    return [word + "$", word[:4], word[:6]] if size <= 8 else [word[:4], word[:6]]
 
 
 def tokens(text: str) -> set[str]:
     """Distinct tokens of a text, and its runs of single characters as one token each."""
     low = text.lower()
     found = set(low.split())
-    found.update(re.sub(r"\s+", " ", m.group()) for m in _SPACED.finditer(low))
+    if _TWO_SINGLES.search(low):  # every run has them, few texts do, and they are found faster
+        found.update(re.sub(r"\s+", " ", m.group()) for m in _SPACED.finditer(low))
     return found
 
 
@@ -163,8 +198,10 @@ class _Evidence(dict):
         self.model = model
 
     def __missing__(self, token: str) -> float:
-        words = dict.fromkeys(restored(token, self.model.chars))
-        weight = sum(max((self.model.lexicon.get(f, 0.0) for f in features(w)), default=0.0) for w in words)
+        weight_of = self.model.lexicon.get
+        weight = 0.0
+        for word in dict.fromkeys(restored(token, self.model.chars)):
+            weight += max([weight_of(f, 0.0) for f in features(word)])
         if len(token) <= REMEMBERED_LENGTH:
             self[token] = weight
         return weight
@@ -210,14 +247,14 @@ def _counted(train: DataFrame, schema: str, count) -> DataFrame:
 
 
 def _char_counts(texts, toxic):
-    words = Counter(w for text in texts for w in text.lower().split())
-    grams: Counter = Counter()
+    words = Counter(chain.from_iterable(map(str.split, map(str.lower, texts))))
+    grams: dict[str, int] = {}
     for word, n in words.items():
         word = word.strip(EDGE)
         if word.isalpha():
             padded = f"^^{word}^"
-            for i in range(len(padded) - 2):
-                grams[padded[i:i + 3]] += n
+            for gram in map("".join, zip(padded, padded[1:], padded[2:])):
+                grams[gram] = grams.get(gram, 0) + n
     return {k: (v,) for k, v in grams.items()}
 
 

@@ -165,6 +165,16 @@ def chars():
     return toxicity.CharModel(dict(grams))
 
 
+def test_doubled_letters_are_settled_pair_by_pair():
+    model, other = chars(), toxicity.CharModel({"^^a": 5, "^aa": 3, "aab": 2, "abb": 4, "bb^": 1, "ab^": 3, "^ab": 1})
+    for letters in itertools.chain.from_iterable(itertools.product("ab", repeat=n) for n in range(9)):
+        word = "".join(letters)
+        if not re.search(r"(.)\1\1", word):
+            assert toxicity.undoubled(word, other) == toxicity.restore(word, other)
+    for word in ("iidiioot", "mooron", "stuupiid", "ttrraasshh", "committee", "book", "aardvark", "éétéé", "a", ""):
+        assert toxicity.undoubled(word, model) == toxicity.restore(word, model)
+
+
 @pytest.mark.parametrize("written, meant", [
     ("1d10t", "idiot"), ("m0r0n", "moron"), ("$tup1d", "stupid"), ("tr@sh", "trash"), ("i d i o t", "idiot"), ("m.o.r.o.n", "moron"),
     ("idiiiiot", "idiot"), ("cl0wn!!", "clown"), ("the", "the"), ("people,", "people"), ("12", "12"), ("***", "")])
