@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -18,6 +19,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+SHUFFLES_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "pitspark", scratch: str = "/tmp/pitspark") -> SparkSession:
     """A single-JVM session for tests and the bench; a cluster brings its own, with ``spark.checkpoint.dir`` set."""
@@ -64,6 +67,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries begun in here are removed when each ends, not when the driver collects its garbage.
+
+    For steps that are written and read back, and whose plans do not run again.
+    """
+    before = spark.conf.get(SHUFFLES_REMOVED, None)
+    spark.conf.set(SHUFFLES_REMOVED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_REMOVED)
+        else:
+            spark.conf.set(SHUFFLES_REMOVED, before)
+
+
 def read_if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
     """What ``read`` reads, or nothing where its path has not been written yet."""
     try:

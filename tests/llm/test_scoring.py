@@ -1,6 +1,8 @@
 import itertools
 import math
+import pathlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -8,6 +10,7 @@ import numpy as np
 import pytest
 from pitspark.llm import katz, toxicity
 from pitspark.llm.common import dataset
+from pitspark.session import shared_folder
 from pyspark.sql import functions as F
 from rows import clashing
 
@@ -154,6 +157,27 @@ def test_katz_beats_single_words_on_held_out_texts(spark, sf_dir):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_katz_leaves_little_on_disk(spark):
+    """Shuffle files of its steps go with them, and what n-grams of one block settle is neither sent nor written."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.3, 400) % 20_000) for _ in range(200)]
+    docs = clashing(spark, [(d, t, "s") for d, t in enumerate(texts)]).repartition(4)
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before, there = shuffled(), set(folder.glob("*"))
+    rows = katz.score(docs, ~toxicity.in_fold(F.col("doc_id"), 7, 2), order=3)
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    written = sum(p.stat().st_size for d in set(folder.glob("*")) - there for p in d.rglob("*.parquet"))
+    assert not left and written < 5 * 401 * len(texts) and rows.count() == len(texts)
+
+
 ENGLISH = "the idiot and moron went with a stupid clown to this worthless trash place where people there are for that other thing".split()
 
 
