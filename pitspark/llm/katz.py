@@ -237,7 +237,7 @@ class _Block:
         shared = held | (sums(level.counts) < seen)  # other blocks may have it
         asked = ~whole & ((sums(~kept) > 0) | (sums(kept) > 0) & (freed < 0.5))
         backs_off = held | (MIN_COUNT > 1)
-        told = (sums(mine) > 0) & shared & (backs_off | (seen > K) | model.frees_little(n))
+        told = (sums(mine) > 0) & shared & (backs_off | (seen >= model.least(n)))
         return _Histories(seen, freed, lower, np.stack([sums(each * mine), np.where(backs_off, sums(shorter * mine), 0.0)]), asked, told, hashes)
 
     def tell(self, n: int, model: _Model) -> list[tuple]:
@@ -363,9 +363,9 @@ class _Model:
         p = seen * self.d_word[np.minimum(counts, K + 1)] * counts / self.total
         return np.where(counts > 0, p, unknown)
 
-    def frees_little(self, n: int) -> bool:
-        """Whether an n-gram can be discounted by less than what a history keeps for unseen words at least."""
-        return any(r * (1.0 - self.d[n][r]) < 0.5 for r in range(1, K + 1))
+    def least(self, n: int) -> int:
+        """The smallest count at which an n-gram's discount frees less than what a history keeps for unseen words at least."""
+        return next((r for r in range(1, K + 1) if r * (1.0 - self.d[n][r]) < 0.5), K + 1)
 
     def mass(self, n: int, counts: np.ndarray) -> np.ndarray:
         return self.d[n][np.minimum(counts, K + 1)] * counts
